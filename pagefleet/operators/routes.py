@@ -11,9 +11,8 @@ Scale notes
   (row_count desc, first appearance asc) only becomes a global sort when a
   route cap is asked for, and then it is a bounded TakeOrderedAndProject.
 * F1 needs rank order only inside a *family* of paths that can collide, so it
-  shuffles route rows (not data rows) by family and resolves families that
-  hold a duplicate with ``applyInPandas``; all other routes keep their path
-  without leaving the JVM.
+  shuffles route rows (not data rows) by family, sorts inside partitions and
+  resolves all families in one streaming ``mapInPandas`` pass.
 * D8 joins data rows to routes on the key columns. The route side is
   broadcast only when a route cap bounds it; otherwise it is a shuffle join and
   AQE's skew-join split handles a hot route key on the row side.
@@ -21,8 +20,7 @@ Scale notes
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,7 +61,6 @@ def _empty_routes(spark) -> DataFrame:
         T.StructField("title", T.StringType()),
         T.StructField("description", T.StringType()),
         T.StructField("row_count", T.LongType()),
-        T.StructField("first_pos", T.StringType()),
     ])
     return spark.createDataFrame([], schema)
 
@@ -102,7 +99,7 @@ def build_routes(
     """Route table ``path, params, columns_used, title, description, row_count``.
 
     ``max_routes=None`` routes the whole dataset. ``keep_keys`` also returns the
-    key texts ``k0..kn`` (used by D8) and ``first_pos``.
+    key texts ``k0..kn`` (used by D8).
     """
     cols = pick_route_columns(df, route_columns, max_dimensions)
     if not cols:
@@ -125,7 +122,7 @@ def build_routes(
         text.route_title(label, niche_title).alias("title"),
         text.route_description(label, F.col("row_count"), niche_title).alias("description"),
         F.col("row_count"),
-        *([*keys, F.col("first_pos")] if keep_keys else []),
+        *(keys if keep_keys else []),
     )
     return out
 
@@ -136,24 +133,37 @@ def build_routes(
 FAMILY_PATTERN = r"(-[0-9]+)+$"
 
 
-def _resolve_family(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential rule inside one family: a taken path tries -2, -3, ... until free."""
-    pdf = pdf.sort_values("_rank").reset_index(drop=True)
+def _resolve_sorted(batches):
+    """Stream route rows sorted by (family, rank) and assign paths in order.
+
+    The state is the set of names taken in the current family; it is reset
+    at every family boundary, so memory is bounded by the largest family,
+    never by the partition.
+    """
+    family = None
     taken: set[str] = set()
     next_suffix: dict[str, int] = {}
-    out = []
-    for p in pdf["_natural"]:
-        cand = p
-        if cand in taken:
-            s = next_suffix.get(p, 2)
-            cand = f"{p}-{s}"
-            while cand in taken:
-                s += 1
+    for pdf in batches:
+        fams = pdf["_family"].to_numpy()
+        nats = pdf["_natural"].to_numpy()
+        out = [None] * len(pdf)
+        for i in range(len(pdf)):
+            if fams[i] != family:
+                family = fams[i]
+                taken = set()
+                next_suffix = {}
+            p = nats[i]
+            cand = p
+            if cand in taken:
+                s = next_suffix.get(p, 2)
                 cand = f"{p}-{s}"
-            next_suffix[p] = s + 1  # names only get taken, so later copies start here
-        taken.add(cand)
-        out.append(cand)
-    return pd.DataFrame({"_rid": pdf["_rid"], "path": out})
+                while cand in taken:
+                    s += 1
+                    cand = f"{p}-{s}"
+                next_suffix[p] = s + 1  # names only get taken: later copies start here
+            taken.add(cand)
+            out[i] = cand
+        yield pdf.drop(columns=["_family", "_natural"]).assign(path=out)
 
 
 def disambiguate_paths(
@@ -164,37 +174,25 @@ def disambiguate_paths(
     In rank order a path already taken becomes ``p-2``, ``p-3``, ... until free;
     a generated ``x-2`` can itself collide with a natural ``x-2``. Two paths can
     only interact when they agree after stripping ``(-[0-9]+)+$`` (their
-    family), so families are resolved independently and in parallel. Families
-    without a duplicate natural path keep every path unchanged and never leave
-    the JVM.
+    family), so route rows are hash-partitioned by family, sorted by rank
+    inside each partition (spillable sort) and resolved in one streaming
+    ``mapInPandas`` pass: no union, no join back, no second evaluation of the
+    input. Rank columns are consumed by the sort and not passed to Python.
     """
     fam = F.regexp_replace(F.col(path_col), FAMILY_PATTERN, "")
-    w_path = Window.partitionBy("_family", path_col)
-    w_fam = Window.partitionBy("_family")
-    marked = (
+    order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in zip(rank_cols, ascending)]
+    keep = [c for c in df.columns if c not in rank_cols or c == "row_count"]
+    staged = (
         df.withColumn("_family", fam)
-        .withColumn("_copies", F.count(F.lit(1)).over(w_path))
-        .withColumn("_family_dup", F.max("_copies").over(w_fam) > 1)
+        .repartition("_family")
+        .sortWithinPartitions(F.col("_family"), *order, F.col(path_col))
+        .select(*[F.col(c) for c in keep], F.col("_family"), F.col(path_col).alias("_natural"))
     )
-    clean = marked.filter(~F.col("_family_dup")).withColumn("path", F.col(path_col))
-    dup = marked.filter(F.col("_family_dup"))
-    # Rank inside the family with a total order (rank columns, then the
-    # natural path), so (_family, _rid) is deterministic on recomputation.
-    order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in zip(rank_cols, ascending)]
-    ranked = dup.withColumn(
-        "_rid", F.row_number().over(Window.partitionBy("_family").orderBy(*order, F.col(path_col))).cast("long")
+    out_schema = T.StructType(
+        [f for f in staged.schema.fields if f.name not in ("_family", "_natural")]
+        + [T.StructField("path", T.StringType())]
     )
-    slim = ranked.select("_family", "_rid", F.col("_rid").alias("_rank"), F.col(path_col).alias("_natural"))
-    resolved = slim.groupBy("_family").applyInPandas(_resolve_family_keyed, "_family string, _rid long, path string")
-    fixed = ranked.join(resolved, ["_family", "_rid"])
-    cols = [c for c in df.columns] + ["path"]
-    return clean.select(*cols).unionByName(fixed.select(*cols))
-
-
-def _resolve_family_keyed(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = _resolve_family(pdf)
-    out.insert(0, "_family", pdf["_family"].iloc[0] if len(pdf) else "")
-    return out
+    return staged.mapInPandas(_resolve_sorted, out_schema)
 
 
 # --------------------------------------------------------------------------

@@ -1,3 +1,4 @@
 """Import every query module so the registry is complete."""
 
 from pagefleet.plans import route_queries  # noqa: F401
+from pagefleet.plans import candidate_queries  # noqa: F401
