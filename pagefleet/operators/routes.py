@@ -20,7 +20,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,20 +70,27 @@ def route_groups(
     cols: list[str],
     max_routes: int | None = schemas.MAX_ROUTES,
     order_by: list[str] | None = None,
+    site: str | None = None,
 ) -> DataFrame:
-    """E1 grouping part: ``k0..kn, row_count, first_pos`` per non-blank key combination.
+    """E1 grouping part: ``[site,] k0..kn, row_count, first_pos`` per non-blank key combination.
 
     With ``max_routes`` the groups are ranked (size desc, first appearance asc)
-    and cut **before** empty-slug groups are dropped (Q8).
+    and cut **before** empty-slug groups are dropped (Q8); with a ``site``
+    column the cap applies per site (a per-site group limit before the
+    shuffle, then a window).
     """
-    keyed = df.select(*route_keys(df, cols), row_order(df, order_by).alias("_pos"))
+    scope = [F.col(site)] if site else []
+    keyed = df.select(*scope, *route_keys(df, cols), row_order(df, order_by).alias("_pos"))
     for i in range(len(cols)):
         keyed = keyed.filter(~text.is_blank(F.col(f"k{i}")))  # C6
-    groups = keyed.groupBy(*[f"k{i}" for i in range(len(cols))]).agg(
+    groups = keyed.groupBy(*scope, *[f"k{i}" for i in range(len(cols))]).agg(
         F.count(F.lit(1)).alias("row_count"), F.min("_pos").alias("first_pos")
     )
-    if max_routes is not None:
+    if max_routes is not None and site is None:
         groups = groups.orderBy(F.desc("row_count"), F.asc("first_pos")).limit(max(max_routes, 0))
+    elif max_routes is not None:
+        w = Window.partitionBy(site).orderBy(F.desc("row_count"), F.asc("first_pos"))
+        groups = groups.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_routes).drop("_rn")
     return groups
 
 
@@ -95,16 +102,19 @@ def build_routes(
     max_dimensions: int = schemas.MAX_DIMENSIONS,
     order_by: list[str] | None = None,
     keep_keys: bool = False,
+    site: str | None = None,
 ) -> DataFrame:
     """Route table ``path, params, columns_used, title, description, row_count``.
 
     ``max_routes=None`` routes the whole dataset. ``keep_keys`` also returns the
-    key texts ``k0..kn`` (used by D8).
+    key texts ``k0..kn`` (used by D8). ``site`` names a column that splits the
+    input into independent sites (routes, caps and paths are per site);
+    ``niche_title`` may then be a Column evaluated per site.
     """
     cols = pick_route_columns(df, route_columns, max_dimensions)
     if not cols:
         return _empty_routes(df.sparkSession)
-    groups = route_groups(df, cols, max_routes=max_routes, order_by=order_by)
+    groups = route_groups(df, cols, max_routes=max_routes, order_by=order_by, site=site)
     keys = [F.col(f"k{i}") for i in range(len(cols))]
     segments = [text.route_slug(k) for k in keys]
     non_empty = F.lit(True)
@@ -113,9 +123,11 @@ def build_routes(
     natural = groups.filter(non_empty).withColumn(
         "natural_path", F.concat(F.lit("/"), F.concat_ws("/", *segments))
     )
-    resolved = disambiguate_paths(natural, "natural_path", ["row_count", "first_pos"], [False, True])
+    resolved = disambiguate_paths(natural, "natural_path", ["row_count", "first_pos"], [False, True],
+                                  scope=[site] if site else None)
     label = text.route_label(keys)
     out = resolved.select(
+        *([F.col(site)] if site else []),
         F.col("path"),
         F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*keys)).alias("params"),  # I14
         F.array(*[F.lit(c) for c in cols]).alias("columns_used"),
@@ -167,7 +179,7 @@ def _resolve_sorted(batches):
 
 
 def disambiguate_paths(
-    df: DataFrame, path_col: str, rank_cols: list[str], ascending: list[bool]
+    df: DataFrame, path_col: str, rank_cols: list[str], ascending: list[bool], scope: list[str] | None = None
 ) -> DataFrame:
     """give every row a unique ``path`` following the sequential rule.
 
@@ -180,6 +192,8 @@ def disambiguate_paths(
     input. Rank columns are consumed by the sort and not passed to Python.
     """
     fam = F.regexp_replace(F.col(path_col), FAMILY_PATTERN, "")
+    if scope:  # independent namespaces (sites): the family includes the scope
+        fam = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope], fam)
     order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in zip(rank_cols, ascending)]
     keep = [c for c in df.columns if c not in rank_cols or c == "row_count"]
     staged = (
@@ -204,6 +218,7 @@ def route_rows(
     route_columns: list[str],
     max_dimensions: int = schemas.MAX_DIMENSIONS,
     route_limit: int | None = None,
+    site: str | None = None,
 ) -> DataFrame:
     """Every data row with the ``path`` of its route (flat membership table).
 
@@ -212,11 +227,12 @@ def route_rows(
     bounds its size.
     """
     cols = pick_route_columns(df, route_columns, max_dimensions)
+    keys = [f"k{i}" for i in range(len(cols))] + ([site] if site else [])
     keyed = df.select("*", *route_keys(df, cols))
-    side = routes.select("path", *[f"k{i}" for i in range(len(cols))])
+    side = routes.select("path", *keys)
     if route_limit is not None and route_limit <= BROADCAST_ROUTE_LIMIT:
         side = F.broadcast(side)
-    joined = keyed.join(side, [f"k{i}" for i in range(len(cols))], "inner")
+    joined = keyed.join(side, keys, "inner")
     return joined.drop(*[f"k{i}" for i in range(len(cols))])
 
 

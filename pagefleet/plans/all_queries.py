@@ -3,3 +3,4 @@
 from pagefleet.plans import route_queries  # noqa: F401
 from pagefleet.plans import candidate_queries  # noqa: F401
 from pagefleet.plans import fleet_queries  # noqa: F401
+from pagefleet.plans import page_queries  # noqa: F401
