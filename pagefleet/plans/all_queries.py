@@ -5,3 +5,4 @@ from pagefleet.plans import candidate_queries  # noqa: F401
 from pagefleet.plans import fleet_queries  # noqa: F401
 from pagefleet.plans import page_queries  # noqa: F401
 from pagefleet.plans import agent_queries  # noqa: F401
+from pagefleet.plans import stream_queries  # noqa: F401
