@@ -189,13 +189,16 @@ def disambiguate_paths(
     family), so route rows are hash-partitioned by family, sorted by rank
     inside each partition (spillable sort) and resolved in one streaming
     ``mapInPandas`` pass: no union, no join back, no second evaluation of the
-    input. Rank columns are consumed by the sort and not passed to Python.
+    input. Nested rank columns are consumed by the sort and not passed on.
     """
     fam = F.regexp_replace(F.col(path_col), FAMILY_PATTERN, "")
     if scope:  # independent namespaces (sites): the family includes the scope
         fam = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope], fam)
     order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in zip(rank_cols, ascending)]
-    keep = [c for c in df.columns if c not in rank_cols or c == "row_count"]
+    # Nested rank keys (e.g. a struct position) are used by the sort only; they
+    # are not shipped to Python. Every flat column is passed through.
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    keep = [f.name for f in df.schema.fields if not (f.name in rank_cols and isinstance(f.dataType, nested))]
     staged = (
         df.withColumn("_family", fam)
         .repartition("_family")
