@@ -41,14 +41,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
         )
         active = builder.getOrCreate()
         active.sparkContext.setLogLevel("ERROR")
-    for key, value in SQL_CONF.items():
-        active.conf.set(key, value)
+    configure(active)
     if shuffle_partitions:
         active.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    _ensure_checkpoint_dir(active)
     return active
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the session-level settings every operator relies on to any
+    session (also one handed in by a caller) and make sure a checkpoint
+    folder is known."""
+    for key, value in SQL_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    _ensure_checkpoint_dir(spark)
+    return spark
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
