@@ -36,14 +36,19 @@ def pick_route_columns(df: DataFrame, wanted: list[str], max_dimensions: int = s
     return [c for c in wanted if c in names][: max(max_dimensions, 0)]
 
 
-def row_order(df: DataFrame, order_by: list[str] | None) -> Column:
+def row_order(df: DataFrame, order_by: list[str | Column] | None) -> Column:
     """A deterministic row position used for "first appearance" ties.
 
     Files have no inherent row order in Spark, so callers pass ``order_by``;
-    without it the scan order id is used.
+    without it the scan order id is used. A single numeric column (or a
+    packed ``Column``) keeps ``min`` inside the hash aggregate; several
+    columns become a struct, whose ``min`` needs a sort-based aggregate.
     """
+    if order_by and len(order_by) == 1:
+        c = order_by[0]
+        return F.col(c) if isinstance(c, str) else c
     if order_by:
-        return F.struct(*[F.col(c) for c in order_by])
+        return F.struct(*[F.col(c) if isinstance(c, str) else c for c in order_by])
     return F.monotonically_increasing_id()
 
 

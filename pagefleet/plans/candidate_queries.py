@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pagefleet.operators import scoring as S
 from pagefleet.plans.registry import register, table
 from pagefleet.plans.route_queries import WORD_SPLIT
+from pagefleet.session import spread
 
 SOURCE_LIST = ["csv", "json", "parquet", "api"]
 
@@ -302,7 +303,7 @@ best AS (
 
 def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-overview rows: every word of every document is a keyword of its doc."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = docs.select("doc_id", F.posexplode(F.split("text", WORD_SPLIT)).alias("pos", "keyword"))
     words = words.filter(F.col("keyword") != "")
     return words.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagefleet.operators import routes as R
 from pagefleet.plans.registry import register, slug_sql, table
+from pagefleet.session import spread
 from pagefleet.sources import files
 
 # Whitespace for word splitting, identical in Java regex and RE2.
@@ -24,10 +25,17 @@ def customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# First appearance of a word = (doc_id, position in the doc), packed into one
+# long so the route aggregate stays a hash aggregate: positions stay below
+# 2**20 words per document, doc ids below 2**43.
+POS_BITS = 20
+
+
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document (whole texts), with its position."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.posexplode(F.split("text", WORD_SPLIT)).alias("pos", "word"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = docs.select("doc_id", F.posexplode(F.split("text", WORD_SPLIT)).alias("pos", "word"))
+    return words.withColumn("first_key", F.col("doc_id") * (1 << POS_BITS) + F.col("pos"))
 
 
 _GEO_CTE = """
@@ -122,13 +130,13 @@ ds AS (
 @register(
     "word_routes",
     "{0} SELECT {1} FROM p".format(
-        *_route_sql(_WORDS_CTE, "word", None, "doc_id * 1000000000 + pos", "Document Words", None)),
+        *_route_sql(_WORDS_CTE, "word", None, f"doc_id * {1 << POS_BITS} + pos", "Document Words", None)),
 )
 def word_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 + F1 over every word of every document: case and punctuation variants
     of a word share a slug, so paths collide and are disambiguated."""
     words = document_words(spark, sf_dir)
-    routes = R.build_routes(words, ["word"], "Document Words", max_routes=None, order_by=["doc_id", "pos"])
+    routes = R.build_routes(words, ["word"], "Document Words", max_routes=None, order_by=["first_key"])
     return routes.select("path", "title", "description", "row_count")
 
 

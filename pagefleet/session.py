@@ -75,3 +75,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     root = _ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df):
+    """Spread an input that arrives in fewer partitions than the cluster has
+    cores (e.g. one Parquet row group) before CPU-heavy row work.
+
+    Planning-only check (no job): a large input already has many splits and
+    is returned untouched, so this never adds a shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
