@@ -57,7 +57,7 @@ _DETAIL_SQL = """CASE WHEN uniqueness_potential_ratio > 1
 
 def part_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed candidate columns from ``part ⋈ lineitem`` (one row per part)."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     li = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.max("l_extendedprice").alias("max_price")
     )
@@ -95,8 +95,10 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_SCORE_SQL} AS arbitrage_score FROM cand WHERE ({_REASON_SQL}) IS NULL",
 )
 def candidates_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted candidates with their leverage score, ranked."""
-    accepted = S.rank_accepted(_classified(spark, sf_dir))
+    """Accepted candidates with their leverage score (the ranked
+    order, G1, is ``top_candidates``; a full global sort adds nothing to a
+    result set)."""
+    accepted = _classified(spark, sf_dir).filter(F.col("reason").isNull())
     return accepted.select("niche_id", "estimated_monthly_volume", "average_cpc",
                            "keyword_difficulty", "arbitrage_score")
 

@@ -15,6 +15,10 @@ SQL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # AQE sizes coalesced partitions by bytes; small-but-CPU-heavy stages
+    # (variant validation, regex text work) keep more than one task. No
+    # effect once shuffles are large.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Later map entries win when candidate keys are overridden.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
