@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,18 +27,21 @@ def append_ledger(df: DataFrame, root: str, table: str) -> None:
     conformed.write.mode("append").parquet(f"{root.rstrip('/')}/{table}")
 
 
-def latest_state(
-    log: DataFrame, key: str | list[str], order: list[Column]
-) -> DataFrame:
-    """the current row per key: the first row under ``order`` (newest first).
+def latest_state(log: DataFrame, key: str | list[str], newest_by: list[str | Column]) -> DataFrame:
+    """the current row per key: the row with the largest ``newest_by``
+    (e.g. ``["updated_at", "seq"]``), nulls counting as oldest.
 
-    ``order`` must end in a tie-breaker (e.g. a sequence) since two transitions
-    can share a timestamp. One shuffle on the key; a hot key is sorted within
-    its partition (spillable), never collected.
+    ``newest_by`` must end in a tie-breaker (a sequence or id) since two
+    transitions can share a timestamp. It is one ``max_by`` aggregate: the
+    partial aggregate keeps one row per key and map task before the shuffle,
+    so a key holding a third of all transitions is reduced map-side instead
+    of being sorted in one task.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return log.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    others = [c for c in log.columns if c not in keys]
+    order = F.struct(*[F.col(c) if isinstance(c, str) else c for c in newest_by])
+    latest = log.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_s"))
+    return latest.select(*keys, *[F.col(f"_s.`{c}`").alias(c) for c in others])
 
 
 def assign_keys(df: DataFrame, run_id: str, natural_key: list[str]) -> DataFrame:

@@ -25,6 +25,7 @@ from pagefleet.operators import explore as X
 from pagefleet.operators import ledger as L
 from pagefleet.operators import telemetry as TM
 from pagefleet.plans.registry import register, slug_sql, table
+from pagefleet.session import spread
 
 # ---------------------------------------------------------------- derivations
 _EV_CTE = """
@@ -353,7 +354,7 @@ def errors_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the current row per key (newest date, then highest sequence)."""
     o = table(spark, sf_dir, "orders")
-    out = L.latest_state(o, "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    out = L.latest_state(o, "o_custkey", ["o_orderdate", "o_orderkey"])
     return out.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
 
 
@@ -421,7 +422,7 @@ def keys_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- deployments
 def lineitem_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     return li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.col("l_orderkey").alias("evaluation_id"),

@@ -52,8 +52,8 @@ def register_telemetry_source(name: str, fn: TelemetrySourceFn) -> None:
 
 def _latest(spark: SparkSession, root: str, table: str) -> DataFrame:
     log = read_ledger(spark, root, table)
-    return L.latest_state(log, "id", [F.desc_nulls_last("updated_at" if "updated_at" in log.columns else "created_at"),
-                                      F.desc_nulls_last("created_at")])
+    ts = "updated_at" if "updated_at" in log.columns else "created_at"
+    return L.latest_state(log, "id", [ts, "created_at"])
 
 
 def _stamp_rows(df: DataFrame) -> DataFrame:

@@ -115,4 +115,4 @@ def latest_from_log(spark: SparkSession, out_dir: str, keys: list[str], schema:
                     ) -> DataFrame:
     """The current value per key of an update-mode log (the last batch wins)."""
     log = spark.read.parquet(out_dir) if schema is None else spark.read.schema(schema).parquet(out_dir)
-    return L.latest_state(log, keys, [F.desc("batch_id")]).drop("batch_id")
+    return L.latest_state(log, keys, ["batch_id"]).drop("batch_id")

@@ -36,7 +36,7 @@ def test_latest_state_breaks_timestamp_ties(spark):
     t = datetime(2026, 1, 1)
     log = spark.createDataFrame([("a", "running", t, 1), ("a", "completed", t, 2), ("b", "queued", t, 1)],
                                 "id string, status string, ts timestamp, seq long")
-    out = {r.id: r.status for r in L.latest_state(log, "id", [F.desc("ts"), F.desc("seq")]).collect()}
+    out = {r.id: r.status for r in L.latest_state(log, "id", ["ts", "seq"]).collect()}
     assert out == {"a": "completed", "b": "queued"}
 
 
