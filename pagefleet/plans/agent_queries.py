@@ -238,3 +238,50 @@ def ckan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cands.select("niche_id", "target_dataset_url",
                         F.array_join("primary_keywords", ",").alias("primary_keywords"),
                         F.array_join("data_sources_available", ",").alias("data_sources_available"))
+
+
+@register(
+    "default_answers",
+    "WITH a AS (SELECT round(avg(quality), 4) AS conf FROM labels) "
+    "SELECT p_partkey AS opportunity_id, CASE WHEN a.conf >= 0.5 THEN 'APPROVED' ELSE 'REJECTED' END AS status, "
+    "a.conf AS confidence, 'premium_cpc' AS monetization_pattern FROM part, a",
+)
+def default_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: one answer file for a task (written from the labels), used as the
+    answer to every pending opportunity (one-row side, broadcast)."""
+    lb = table(spark, sf_dir, "labels")
+    doc = lb.agg(F.round(F.avg("quality"), 4).alias("confidence")).select(F.to_json(F.struct(
+        F.lit("premium_cpc").alias("monetization_pattern"), F.lit("calculator").alias("architectural_layout"),
+        "confidence", F.struct(F.lit("/").alias("route_pattern")).alias("seo_keyword_layout"),
+    )).alias("value"))
+    path = scratch_dir(spark, "answers")
+    doc.coalesce(1).write.text(path)  # one aggregate row -> one document
+    answer = V.default_answers(spark, path, "evaluate")
+    opps = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("opportunity_id"),
+                                               F.lit("evaluate").alias("request_id"))
+    answers = answer.select(F.col("task").alias("request_id"), "ok", "result", "error")
+    out = V.apply_verdicts(opps, F.broadcast(answers))
+    return out.select("opportunity_id", "status", "confidence", "monetization_pattern")
+
+
+@register(
+    "site_meta_read",
+    "SELECT lower(r_name) || '_customers' AS site, "
+    "array_to_string(list_transform(regexp_extract_all(replace(replace(lower(r_name) || '_customers', '_', ' '), "
+    "'-', ' '), '(\\p{L}+|[^\\p{L}]+)', 1), lambda r: upper(r[1]) || lower(r[2:])), '') AS title FROM region",
+)
+def site_meta_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-site meta documents written, then read back by path."""
+    from pagefleet.plans.page_queries import region_dataset, region_sites
+    from pagefleet.sinks import writers as W
+
+    sites = region_sites(region_dataset(spark, sf_dir))
+    meta = sites.select("site", F.struct(F.col("niche").alias("title"), F.col("base").alias("canonical_base"))
+                        .alias("meta"))
+    path = scratch_dir(spark, "meta")
+    W.write_meta(meta, path)
+    docs = PL.read_site_meta(spark, path)
+    return docs.select(
+        F.regexp_extract("site_path", r"site=([^/]+)", 1).alias("site"),
+        F.try_variant_get("meta", "$.title", "string").alias("title"),
+    )

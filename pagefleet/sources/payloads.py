@@ -18,9 +18,9 @@ from pagefleet.functions import text
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ``doc_path, value`` (whole text)."""
+    """One row per file: ``doc_path`` (decoded from the file URI), ``value`` (whole text)."""
     return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("doc_path"), F.col("value")
+        F.url_decode(F.col("_metadata.file_path")).alias("doc_path"), F.col("value")
     )
 
 
