@@ -183,38 +183,112 @@ def _resolve_sorted(batches):
         yield pdf.drop(columns=["_family", "_natural"]).assign(path=out)
 
 
+def _components(rows: DataFrame, path_col: str) -> DataFrame:
+    """Exact interaction components of the natural paths of dup families.
+
+    A route with natural path ``p`` only ever takes ``p`` or ``p-k``, so it
+    can only meet routes of its own path or of its parent (``p`` minus its
+    last ``-digits`` group). The parent's routes take child names only when
+    the parent is *active*: present with duplicates, or itself linked to an
+    active parent. The component of ``p`` is therefore the top of its chain
+    of active, present ancestors. Each path's ancestor chain (one per
+    trailing ``-digits`` group, a handful) is joined with the present paths
+    and folded top-down with ``aggregate``; nothing is gathered per family.
+    """
+    nat = rows.groupBy("_family", path_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    sfx = F.regexp_extract(F.col(path_col), r"((-[0-9]+)+)$", 1)
+    parts = F.when(sfx == "", F.array().cast("array<string>")).otherwise(
+        F.split(F.substring(sfx, 2, 1 << 30), "-"))
+    chain = F.transform(
+        F.sequence(F.lit(0), F.size(parts)),
+        lambda i: F.when(i == 0, F.col("_family")).otherwise(
+            F.concat(F.col("_family"), F.lit("-"), F.array_join(F.slice(parts, F.lit(1), i), "-"))),
+    )
+    nodes = nat.select("_family", path_col, F.posexplode(chain).alias("_lvl", "_node"))
+    present = nat.select("_family", F.col(path_col).alias("_node"), F.col("_cnt").alias("_ncnt"))
+    flagged = nodes.join(present, ["_family", "_node"], "left")
+    chains = flagged.groupBy("_family", path_col).agg(
+        F.array_sort(F.collect_list(F.struct("_lvl", "_node", "_ncnt"))).alias("_chain"))
+    init = F.struct(F.lit(False).alias("active"), F.lit(False).alias("present"), F.lit("").alias("comp"))
+
+    def step(acc, x):
+        linked = acc["present"] & acc["active"]
+        here = x["_ncnt"].isNotNull()
+        return F.struct(
+            (here & ((F.coalesce(x["_ncnt"], F.lit(0)) >= 2) | linked)).alias("active"),
+            here.alias("present"),
+            F.when(linked, acc["comp"]).otherwise(x["_node"]).alias("comp"),
+        )
+
+    comp = F.aggregate("_chain", init, step)["comp"]
+    return chains.select("_family", path_col, comp.alias("_comp"))
+
+
 def disambiguate_paths(
     df: DataFrame, path_col: str, rank_cols: list[str], ascending: list[bool], scope: list[str] | None = None
 ) -> DataFrame:
     """give every row a unique ``path`` following the sequential rule.
 
     In rank order a path already taken becomes ``p-2``, ``p-3``, ... until free;
-    a generated ``x-2`` can itself collide with a natural ``x-2``. Two paths can
-    only interact when they agree after stripping ``(-[0-9]+)+$`` (their
-    family), so route rows are hash-partitioned by family, sorted by rank
-    inside each partition (spillable sort) and resolved in one streaming
-    ``mapInPandas`` pass: no union, no join back, no second evaluation of the
-    input. Nested rank columns are consumed by the sort and not passed on.
+    a generated ``x-2`` can itself collide with a natural ``x-2``.
+
+    * Paths can only interact inside a *family* (same path after stripping
+      ``(-[0-9]+)+$``). Route rows are hash-partitioned by family once;
+      windows on that partitioning classify families. Families without a
+      duplicate keep their paths; families that repeat one single natural
+      path number the copies with ``row_number`` -- both in the JVM.
+    * Families holding several natural paths and a duplicate are split into
+      exact interaction components
+      (``_components``), so a wide family (e.g. every date of a year) does not
+      land in one task. Components are resolved in one streaming
+      ``mapInPandas`` pass over rank-sorted partitions; its memory is the
+      taken set of one component.
+    * The marked route table is checkpointed once and read by both branches.
+      Nested rank columns are consumed by the sort and not passed on.
     """
     fam = F.regexp_replace(F.col(path_col), FAMILY_PATTERN, "")
     if scope:  # independent namespaces (sites): the family includes the scope
         fam = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope], fam)
+    staged = df.withColumn("_family", fam).repartition("_family")
+    copies = F.count(F.lit(1)).over(Window.partitionBy("_family", path_col))
+    # The route table is read by both branches and by the component step:
+    # materialise it once (reliable checkpoint in spark.checkpoint.dir; route
+    # rows, not data rows) so the input scan and aggregation run once and a
+    # lost executor recomputes from here.
+    w_fam = Window.partitionBy("_family")
+    marked = (
+        staged.withColumn("_copies", copies)
+        .withColumn("_dup_family", F.max("_copies").over(w_fam) > 1)
+        .withColumn("_one_path", F.min(path_col).over(w_fam) == F.max(path_col).over(w_fam))
+        .checkpoint()
+    )
+    cols = list(df.columns)
     order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in zip(rank_cols, ascending)]
-    # Nested rank keys (e.g. a struct position) are used by the sort only; they
-    # are not shipped to Python. Every flat column is passed through.
+    # No duplicate in the family: every path stays as it is.
+    clean = marked.filter(~F.col("_dup_family")).select(*cols, F.col(path_col).alias("path"))
+    # One natural path repeated: copies take p, p-2, p-3, ... in rank order.
+    copy_no = F.row_number().over(Window.partitionBy("_family").orderBy(*order))
+    single = marked.filter(F.col("_dup_family") & F.col("_one_path")).withColumn(
+        "path", F.when(copy_no == 1, F.col(path_col)).otherwise(
+            F.concat(F.col(path_col), F.lit("-"), copy_no.cast("string")))).select(*cols, "path")
+
+    dup = marked.filter(F.col("_dup_family") & ~F.col("_one_path")).drop("_copies", "_dup_family", "_one_path")
+    comps = _components(dup, path_col)
+    keyed = dup.join(comps, ["_family", path_col]).drop("_family").withColumnRenamed("_comp", "_family")
     nested = (T.StructType, T.ArrayType, T.MapType)
     keep = [f.name for f in df.schema.fields if not (f.name in rank_cols and isinstance(f.dataType, nested))]
-    staged = (
-        df.withColumn("_family", fam)
-        .repartition("_family")
+    sorted_rows = (
+        keyed.repartition("_family")
         .sortWithinPartitions(F.col("_family"), *order, F.col(path_col))
         .select(*[F.col(c) for c in keep], F.col("_family"), F.col(path_col).alias("_natural"))
     )
     out_schema = T.StructType(
-        [f for f in staged.schema.fields if f.name not in ("_family", "_natural")]
+        [f for f in sorted_rows.schema.fields if f.name not in ("_family", "_natural")]
         + [T.StructField("path", T.StringType())]
     )
-    return staged.mapInPandas(_resolve_sorted, out_schema)
+    resolved = sorted_rows.mapInPandas(_resolve_sorted, out_schema)
+    return (clean.select(*keep, "path").unionByName(single.select(*keep, "path"))
+            .unionByName(resolved.select(*keep, "path")))
 
 
 # --------------------------------------------------------------------------

@@ -133,3 +133,27 @@ def test_per_site_routes_are_independent(spark):
            for r in R.build_routes(df, ["city"], "X", site="site", max_routes=None).collect()}
     assert out[("s2", "austin")] == "/austin"
     assert sorted([out[("s1", "Austin")], out[("s1", "austin")]]) == ["/austin", "/austin-2"]
+
+
+def test_disambiguation_deep_chains_random(spark):
+    stems = ["/a", "/a-2", "/a-2-2", "/a-2-2-3", "/a-3", "/a-10", "/a-02", "/b-2", "/x-1-2", "/x-1", "/x"]
+    for seed in range(4):
+        rng = random.Random(seed)
+        paths = [rng.choice(stems) for _ in range(300)]
+        rows = [(i, p, rng.randint(1, 4)) for i, p in enumerate(paths)]
+        df = spark.createDataFrame(rows, "rank long, natural string, row_count long")
+        out = R.disambiguate_paths(df, "natural", ["row_count", "rank"], [False, True]).collect()
+        ranked = sorted(rows, key=lambda r: (-r[2], r[0], r[1]))
+        expected = dict(zip([r[0] for r in ranked], _sequential([r[1] for r in ranked])))
+        assert {r["rank"]: r.path for r in out} == expected
+
+
+def test_wide_family_splits_into_components(spark):
+    # every date of a year shares the family '/2024'; only '/2024-01-05' has a
+    # duplicate and its only present child is '/2024-01-05-2'.
+    paths = [f"/2024-01-{d:02d}" for d in range(1, 29)] + ["/2024-01-05", "/2024-01-05-2"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "rank long, natural string") \
+        .withColumn("_family", F.lit("/2024"))
+    comps = {r.natural: r._comp for r in R._components(df, "natural").collect()}
+    assert comps["/2024-01-05-2"] == "/2024-01-05"
+    assert len(set(comps.values())) == 28
