@@ -192,3 +192,18 @@ def lookup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagefleet.operators.ledger import lookup_by_id as lookup
 
     return lookup(table(spark, sf_dir, "orders"), "o_orderkey", 7)
+
+
+@register(
+    "route_params",
+    "{0} SELECT {1}, CAST(json_object('n_name', n_name, 'c_mktsegment', c_mktsegment) AS VARCHAR) AS params_json, "
+    "CAST(json_array('n_name', 'c_mktsegment') AS VARCHAR) AS columns_used_json FROM p".format(
+        *_route_sql(_GEO_CTE, "n_name", "c_mktsegment", "c_custkey", "Customer Segments", None)),
+)
+def route_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each route's params map and columns used (as JSON text)."""
+    ds = customer_geo(spark, sf_dir)
+    routes = R.build_routes(ds, ["n_name", "c_mktsegment"], "Customer Segments", max_routes=None,
+                            order_by=["c_custkey"])
+    return routes.select("path", "title", "description", "row_count",
+                         F.to_json("params").alias("params_json"), F.to_json("columns_used").alias("columns_used_json"))
