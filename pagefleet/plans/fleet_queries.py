@@ -301,8 +301,7 @@ def eval_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ERR_BRANCHES = [
     ("scout_job", "SELECT o_orderkey AS id, 'priority ' || o_orderpriority AS trace FROM orders "
                   "WHERE o_orderstatus = 'P'"),
-    ("site_generation", "SELECT l_orderkey * 10 + l_linenumber AS id, 'line status ' || l_linestatus AS trace "
-                        "FROM lineitem WHERE l_returnflag = 'R'"),
+    ("site_generation", "SELECT p_partkey AS id, 'build of ' || p_name AS trace FROM part WHERE p_size > 45"),
     ("deployment", "SELECT event_id AS id, props AS trace FROM events WHERE event_type = 'error'"),
     ("optimization", "SELECT doc_id AS id, 'toxic' AS trace FROM labels WHERE toxic = 1"),
 ]
@@ -324,10 +323,10 @@ def errors_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", "failed").otherwise("ok").alias("status"),
         F.concat(F.lit("priority "), F.col("o_orderpriority")).alias("trace"),
     )
-    li = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-        F.when(F.col("l_returnflag") == "R", "failed").otherwise("ok").alias("status"),
-        F.concat(F.lit("line status "), F.col("l_linestatus")).alias("trace"),
+    li = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.when(F.col("p_size") > 45, "failed").otherwise("ok").alias("status"),
+        F.concat(F.lit("build of "), F.col("p_name")).alias("trace"),
     )
     ev = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
