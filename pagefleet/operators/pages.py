@@ -184,3 +184,39 @@ def render_route_pages(routes: DataFrame, route_rows: DataFrame, columns: list[s
         F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("line"),
     )
     return head.unionByName(body).unionByName(foot)
+
+
+def render_index_pages(routes: DataFrame, sites: DataFrame) -> DataFrame:
+    """B7 (index): each site's index page as ordered lines ``site, part, rank_key,
+    path_key, line``: head (title, description, canonical, Dataset JSON-LD),
+    a navigation list with one link per route (route order: size, then path),
+    and the closing lines. ``routes``: ``site, path, title, row_count``;
+    ``sites``: ``site, title, description, base``. One line per route, so a
+    site's navigation is built by every task, never gathered.
+    """
+    desc = F.coalesce(F.col("description"), F.lit(""))
+    ld = json_ld_index(F.col("title"), desc, F.col("base"))
+    head_lines = F.array(
+        F.lit("<!doctype html>"),
+        F.lit('<html lang="en">'),
+        F.lit("<head>"),
+        F.concat(F.lit("<title>"), text.html_escape("title"), F.lit("</title>")),
+        F.when(desc != "", F.concat(F.lit('<meta name="description" content="'), text.html_escape(desc),
+                                    F.lit('" />'))).otherwise(F.lit("")),
+        F.when(F.col("base") != "", F.concat(F.lit('<link rel="canonical" href="'), F.col("base"), F.lit('/" />')))
+        .otherwise(F.lit("")),
+        F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>")),
+        F.lit("</head>"),
+        F.lit("<body>"),
+        F.concat(F.lit("<h1>"), text.html_escape("title"), F.lit("</h1>")),
+        F.lit("<nav>"),
+    )
+    head = sites.select("site", F.posexplode(head_lines).alias("_i", "line")).select(
+        "site", F.lit(0).alias("part"), F.col("_i").cast("long").alias("rank_key"), F.lit("").alias("path_key"), "line")
+    nav = routes.select(
+        "site", F.lit(1).alias("part"), (-F.col("row_count")).alias("rank_key"), F.col("path").alias("path_key"),
+        F.concat(F.lit('<a href="'), text.html_escape("path"), F.lit('">'), text.html_escape("title"),
+                 F.lit("</a>")).alias("line"))
+    foot = sites.select("site", F.lit(2).alias("part"), F.lit(0).cast("long").alias("rank_key"),
+                        F.lit("").alias("path_key"), F.lit("</nav></body></html>").alias("line"))
+    return head.unionByName(nav).unionByName(foot)

@@ -225,7 +225,8 @@ def _components(rows: DataFrame, path_col: str) -> DataFrame:
 
 
 def disambiguate_paths(
-    df: DataFrame, path_col: str, rank_cols: list[str], ascending: list[bool], scope: list[str] | None = None
+    df: DataFrame, path_col: str, rank_cols: list[str], ascending: list[bool], scope: list[str] | None = None,
+    materialize: bool = True,
 ) -> DataFrame:
     """give every row a unique ``path`` following the sequential rule.
 
@@ -243,7 +244,10 @@ def disambiguate_paths(
       land in one task. Components are resolved in one streaming
       ``mapInPandas`` pass over rank-sorted partitions; its memory is the
       taken set of one component.
-    * The marked route table is checkpointed once and read by both branches.
+    * The marked route table is checkpointed once (reliable, in
+      ``spark.checkpoint.dir``) and read by all three branches; without it
+      each branch would re-run the input scan and aggregation. Pass
+      ``materialize=False`` only when ``df`` is already materialised.
       Nested rank columns are consumed by the sort and not passed on.
     """
     fam = F.regexp_replace(F.col(path_col), FAMILY_PATTERN, "")
@@ -260,8 +264,9 @@ def disambiguate_paths(
         staged.withColumn("_copies", copies)
         .withColumn("_dup_family", F.max("_copies").over(w_fam) > 1)
         .withColumn("_one_path", F.min(path_col).over(w_fam) == F.max(path_col).over(w_fam))
-        .checkpoint()
     )
+    if materialize:
+        marked = marked.checkpoint()
     cols = list(df.columns)
     order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in zip(rank_cols, ascending)]
     # No duplicate in the family: every path stays as it is.

@@ -241,3 +241,37 @@ def site_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     meta = P.site_meta(meta_in, counts)
     return meta.select("site", F.to_json("meta", {"ignoreNullFields": "false"}).alias("meta_json"))
+
+
+_INDEX_HEAD_SQL = [
+    "'<!doctype html>'",
+    "'<html lang=\"en\">'",
+    "'<head>'",
+    f"'<title>' || {_esc('niche')} || '</title>'",
+    f"CASE WHEN site <> '' THEN '<meta name=\"description\" content=\"' || {_esc('site')} || '\" />' ELSE '' END",
+    "CASE WHEN base <> '' THEN '<link rel=\"canonical\" href=\"' || base || '/\" />' ELSE '' END",
+    "'<script type=\"application/ld+json\">' || CAST(json_object('@context', 'https://schema.org', '@type', "
+    "'Dataset', 'name', niche, 'description', CASE WHEN site = '' THEN niche ELSE site END, 'url', base) AS VARCHAR) "
+    "|| '</script>'",
+    "'</head>'",
+    "'<body>'",
+    f"'<h1>' || {_esc('niche')} || '</h1>'",
+    "'<nav>'",
+]
+
+
+@register(
+    "index_pages",
+    f"WITH {_SITE_CTE} "
+    + " UNION ALL ".join(
+        f"SELECT site, 0 AS part, CAST({i} AS BIGINT) AS rank_key, '' AS path_key, {expr} AS line FROM sites"
+        for i, expr in enumerate(_INDEX_HEAD_SQL)
+    )
+    + f" UNION ALL SELECT site, 1, -row_count, path, '<a href=\"' || {_esc('path')} || '\">' || {_esc('title')} "
+    "|| '</a>' FROM rt UNION ALL SELECT site, 2, CAST(0 AS BIGINT), '', '</nav></body></html>' FROM sites",
+)
+def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each site's index page with its navigation list of route links."""
+    _, sites, routes = region_routes(spark, sf_dir)
+    site_docs = sites.select("site", F.col("niche").alias("title"), F.col("site").alias("description"), "base")
+    return P.render_index_pages(routes.select("site", "path", "title", "row_count"), site_docs)

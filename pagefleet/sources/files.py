@@ -114,3 +114,12 @@ def read_ledger(spark: SparkSession, root: str, table: str) -> DataFrame:
     if not fs.exists(jvm_path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mergeSchema", "true").parquet(path)
+
+
+def profile_file(spark: SparkSession, path: str, limit: int = schemas.PROFILE_SAMPLE,
+                 order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A3 for a file: as ``profile_dataset``, with ``path`` and ``reader`` in the stats."""
+    df = open_dataset(spark, path)
+    catalogue, stats, sample = profile_dataset(df, limit, order_by)
+    stats = stats.select(F.lit(path).alias("path"), F.lit(reader_for(path)).alias("reader"), "*")
+    return catalogue, stats, sample

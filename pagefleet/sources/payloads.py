@@ -58,7 +58,14 @@ def manifest_candidates(docs: DataFrame, value: str = "value", source_id: str =
 
 
 def read_manifest(spark: SparkSession, path: str, source_id: str = "manifest") -> DataFrame:
-    """A4: candidates from manifest files (a file, folder or glob)."""
+    """A4: candidates from manifest files (a file, folder or glob); a missing
+    path is one error row (a source error), not an exception."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - existence check only
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    if not fs.globStatus(jvm_path):
+        return spark.createDataFrame([(path, f"manifest not found: {path}")], "doc_path string, error string") \
+            .select("doc_path", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("variant").alias("candidate"),
+                    "error")
     return manifest_candidates(_documents(spark, path), source_id=source_id)
 
 

@@ -54,3 +54,18 @@ def test_write_lines_keeps_document_order_across_parts(spark, tmp_dir):
     assert len(parts) > 1  # the big document is split over several ordered files
     text = "".join(open(p).read() for p in parts).splitlines()
     assert text == [f"line {i:05d}" for i in range(2000)]
+
+
+def test_missing_manifest_is_an_error_row(spark, tmp_dir):
+    out = PL.read_manifest(spark, f"{tmp_dir}/nope.json").collect()
+    assert len(out) == 1 and out[0].candidate is None and "not found" in out[0].error
+
+
+def test_profile_file_reports_reader(spark, tmp_dir):
+    from pagefleet.sources import files
+
+    with open(f"{tmp_dir}/d.tsv", "w") as fh:
+        fh.write("a\tb\n1\tx\n2\ty\n")
+    _, stats, _ = files.profile_file(spark, f"{tmp_dir}/d.tsv")
+    r = stats.first()
+    assert (r.reader, r.row_count, r.column_count) == ("tsv", 2, 2)
