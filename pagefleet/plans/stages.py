@@ -220,6 +220,10 @@ def run_compile(
                   f"{out_dir}/sitemap", "site", ["section", "rank_key", "path_key"])
     P.robots_txt(site_rows).select("site", F.col("body").alias("line")).write.mode("overwrite") \
         .partitionBy("site").text(f"{out_dir}/robots")
+    index_site = site_rows.select("site", F.lit(niche_title).alias("title"),
+                                  F.lit(e.target_dataset_url or "").alias("description"), "base")
+    W.write_lines(P.render_index_pages(routes.select(F.lit("site").alias("site"), "path", "title", "row_count"),
+                                       index_site), f"{out_dir}/index", "site", ["part", "rank_key", "path_key"])
     if members is not None and len(order_by) == 1:
         pages = P.render_route_pages(routes, members, data.columns, base, order_by[0])
         W.write_lines(pages, f"{out_dir}/pages", "path", ["part", "seq"])

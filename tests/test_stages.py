@@ -61,6 +61,8 @@ def test_five_stages(spark, tmp_dir):
     assert comp["routes"].count() == 4
     sitemap = spark.read.text(f"{tmp_dir}/site/sitemap").count()
     assert sitemap == 2 + 1 + 4 + 1
+    index = [r.value for r in spark.read.text(f"{tmp_dir}/site/index").collect()]
+    assert sum(1 for line in index if line.startswith("<a href=")) == 4
 
     dep = ST.run_deploy_records(spark, ledger)
     plan = dep["plan"].first()
