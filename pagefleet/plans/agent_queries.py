@@ -272,10 +272,10 @@ def default_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def site_meta_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-site meta documents written, then read back by path."""
-    from pagefleet.plans.page_queries import region_dataset, region_sites
+    from pagefleet.plans.page_queries import region_sites
     from pagefleet.sinks import writers as W
 
-    sites = region_sites(region_dataset(spark, sf_dir))
+    sites = region_sites(spark, sf_dir)
     meta = sites.select("site", F.struct(F.col("niche").alias("title"), F.col("base").alias("canonical_base"))
                         .alias("meta"))
     path = scratch_dir(spark, "meta")

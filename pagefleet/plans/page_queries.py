@@ -25,9 +25,9 @@ ds AS (
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
 sites AS (
-  SELECT DISTINCT site, 'https://' || coalesce(nullif({slug_sql('site')}, ''), 'site') || '.pages.dev' AS base,
+  SELECT site, 'https://' || coalesce(nullif({slug_sql('site')}, ''), 'site') || '.pages.dev' AS base,
          {_TITLE_SQL.format(x="replace(replace(site, '_', ' '), '-', ' ')")} AS niche
-  FROM ds
+  FROM (SELECT lower(r_name) || '_customers' AS site FROM region)
 ),
 g AS (
   SELECT site, n_name, c_mktsegment, count(*) AS row_count
@@ -52,8 +52,10 @@ def region_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lower("r_name"), F.lit("_customers")).alias("site"))
 
 
-def region_sites(ds: DataFrame) -> DataFrame:
-    sites = ds.select("site").distinct()
+def region_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One site per region (read from the 5-row region table, not from the
+    customer rows, so every use of the site list is a tiny scan)."""
+    sites = table(spark, sf_dir, "region").select(F.concat(F.lower("r_name"), F.lit("_customers")).alias("site"))
     return sites.select(
         "site",
         text.canonical_base("site").alias("base"),
@@ -64,7 +66,7 @@ def region_sites(ds: DataFrame) -> DataFrame:
 
 def region_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     ds = region_dataset(spark, sf_dir)
-    sites = region_sites(ds)
+    sites = region_sites(spark, sf_dir)
     routes = R.build_routes(ds, ["n_name", "c_mktsegment"], None, max_routes=None,
                             order_by=["c_custkey"], keep_keys=True, site="site")
     # Titles carry the per-site niche: attach it after grouping (one row per site).
@@ -110,7 +112,7 @@ def sitemap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def robots_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robots.txt per site."""
-    return P.robots_txt(region_sites(region_dataset(spark, sf_dir)))
+    return P.robots_txt(region_sites(spark, sf_dir))
 
 
 @register(
@@ -132,7 +134,7 @@ def route_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def site_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Dataset structured data of every site index (no description -> the title)."""
-    sites = region_sites(region_dataset(spark, sf_dir))
+    sites = region_sites(spark, sf_dir)
     return sites.select("site", P.json_ld_index(F.col("niche"), F.lit(""), F.col("base")).alias("json_ld"))
 
 
