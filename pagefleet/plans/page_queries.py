@@ -75,7 +75,9 @@ def region_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         "title": text.route_title(label, F.col("niche")),
         "description": text.route_description(label, F.col("row_count"), F.col("niche")),
     }).drop("niche")
-    return ds, sites, routes
+    # Pages, sitemaps and links all read the route table: materialise it once
+    # (route rows, reliable checkpoint) instead of re-deriving it per use.
+    return ds, sites, routes.checkpoint()
 
 
 @register(
