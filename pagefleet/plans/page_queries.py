@@ -191,7 +191,23 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CATALOG_TABLES = ["lineitem", "orders", "part", "customer", "supplier", "events"]
 
 
-@register("calculator_blocks")
+_CALC_SQL = (
+    "WITH num AS (SELECT * FROM (SELECT table_name AS dataset, column_name, ordinal_position AS ordinal, "
+    "row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position) AS rn "
+    "FROM information_schema.columns WHERE table_name IN ({tables}) AND regexp_full_match(data_type, "
+    "'(TINYINT|SMALLINT|INTEGER|BIGINT|FLOAT|DOUBLE|DECIMAL.*)')) WHERE rn <= 5) "
+    "SELECT dataset, CAST(json_object('base', 0, 'result_label', 'Estimated Value', 'inputs', "
+    "to_json(list(json_object('key', column_name, 'label', {label}, 'default', 1, 'weight', 1) "
+    "ORDER BY ordinal))) AS VARCHAR) AS calculator FROM num GROUP BY dataset"
+)
+
+
+@register(
+    "calculator_blocks",
+    _CALC_SQL.format(tables=", ".join(f"'{t}'" for t in ["lineitem", "orders", "part", "customer", "supplier",
+                                                          "events"]),
+                     label=_TITLE_SQL.format(x="replace(column_name, '_', ' ')")),
+)
 def calculator_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calculator config of each dataset from its profiled catalogue."""
     cats = None
