@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from pagefleet import schemas
 from pagefleet.functions import scalar, text
+from pagefleet.session import checkpointed
 
 BROADCAST_ROUTE_LIMIT = 100_000  # routes; a capped route table at most this large is broadcast
 
@@ -266,7 +267,7 @@ def disambiguate_paths(
         .withColumn("_one_path", F.min(path_col).over(w_fam) == F.max(path_col).over(w_fam))
     )
     if materialize:
-        marked = marked.checkpoint()
+        marked = checkpointed(marked)
     cols = list(df.columns)
     order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in zip(rank_cols, ascending)]
     # No duplicate in the family: every path stays as it is.

@@ -14,6 +14,7 @@ from pagefleet.functions import text
 from pagefleet.operators import pages as P
 from pagefleet.operators import routes as R
 from pagefleet.plans.registry import register, slug_sql, table
+from pagefleet.session import checkpointed
 from pagefleet.sources import files
 
 _TITLE_SQL = ("array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|[^\\p{{L}}]+)', 1), "
@@ -77,7 +78,7 @@ def region_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     }).drop("niche")
     # Pages, sitemaps and links all read the route table: materialise it once
     # (route rows, reliable checkpoint) instead of re-deriving it per use.
-    return ds, sites, routes.checkpoint()
+    return ds, sites, checkpointed(routes)
 
 
 @register(

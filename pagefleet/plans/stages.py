@@ -29,6 +29,7 @@ from pagefleet.operators import scoring as S
 from pagefleet.operators import telemetry as TM
 from pagefleet.operators import verdicts as V
 from pagefleet.sinks import writers as W
+from pagefleet.session import checkpointed
 from pagefleet.sources.files import read_ledger
 
 # ---------------------------------------------------------------- K1 / K2
@@ -100,8 +101,8 @@ def run_scout(
         pool = S.override_metrics(pool, measured.withColumnRenamed("niche_id", "niche_key"), key="niche_key")
     if answers is not None:
         pool = S.fill_missing_metrics(pool, answers, key="niche_key")
-    classified = S.classify_candidates(S.validate_candidates(pool.drop("niche_key")), max_difficulty,
-                                       min_uniqueness).checkpoint()
+    classified = checkpointed(S.classify_candidates(S.validate_candidates(pool.drop("niche_key")),
+                                                    max_difficulty, min_uniqueness))
     accepted = S.rank_accepted(classified.withColumn("pos_key", F.struct("source_ordinal", "pos")), "pos_key")
     keyed = L.assign_keys(accepted, run_id, ["source_ordinal", "pos"])
     rows = _stamp_rows(keyed.withColumn("status", F.lit("pending")).withColumn(
@@ -142,7 +143,7 @@ def run_evaluate(
     work = pending.select(F.col("id").alias("opportunity_id"), "niche_id",
                           V.request_id("evaluate", F.col("id")).alias("request_id"))
     outcomes = V.apply_verdicts(work, V.unwrap_agent_responses(answer_bodies), min_confidence=min_confidence)
-    outcomes = outcomes.checkpoint()
+    outcomes = checkpointed(outcomes)
     ok = outcomes.filter(F.col("status") != "FAILED")
     evals = ok.select(
         F.xxhash64(F.lit("evaluation"), "opportunity_id").alias("id"), "opportunity_id", "monetization_pattern",
@@ -192,7 +193,7 @@ def run_compile(
     data = R.cap_rows(dataset, row_limit, order_by) if row_limit is not None else dataset
     niche_title = spark.range(1).select(text.title_from(F.lit(e.niche_id)).alias("t")).first().t
     routes = R.build_routes(data, cols, niche_title, max_routes=route_limit, order_by=order_by, keep_keys=True)
-    routes = routes.checkpoint()
+    routes = checkpointed(routes)
     members = R.route_rows(data, routes, cols, route_limit=route_limit) if cols else None
     W.write_rows(data, f"{out_dir}/rows")
     W.write_routes(routes, f"{out_dir}/routes", members)
@@ -245,7 +246,7 @@ def run_deploy_records(spark: SparkSession, ledger: str) -> dict[str, DataFrame]
     sites = _latest(spark, ledger, "site_generations")
     evals = _latest(spark, ledger, "evaluations")
     opps = _latest(spark, ledger, "arbitrage_opportunities")
-    plan = DP.deployment_plan(DP.resolve_targets(sites, evals, opps)).checkpoint()
+    plan = checkpointed(DP.deployment_plan(DP.resolve_targets(sites, evals, opps)))
     done = plan.filter(F.col("outcome") == "COMPLETED").select(
         F.xxhash64(F.lit("deployment"), "site_generation_id").alias("id"), "site_generation_id", "project_slug",
         "live_url", F.lit("completed").alias("status"))
@@ -274,7 +275,7 @@ def run_optimize(
     """
     deps = _latest(spark, ledger, "deployments").filter(F.col("status") == "completed")
     m = metrics.join(deps.select(F.col("id").alias("deployment_id"), "site_generation_id"), "deployment_id")
-    m = m.checkpoint()
+    m = checkpointed(m)
     logs = m.select(F.xxhash64(F.lit("log"), "deployment_id", "page_path", "pos").alias("id"), "deployment_id",
                     "page_path", "impressions", "clicks", "revenue_cents", scalar.stamp().alias("captured_at"))
     L.append_ledger(logs, ledger, "analytics_logs")
@@ -292,7 +293,7 @@ def run_optimize(
                         F.coalesce(F.try_variant_get("result", "$.keywords", "array<string>"),
                                    F.array().cast("array<string>")).alias("keywords"))
     rewritten = TM.apply_rewrites(meta, capped.select("site_id", "seq"), ans)
-    outcomes = TM.optimization_outcomes(capped, ans, meta).checkpoint()
+    outcomes = checkpointed(TM.optimization_outcomes(capped, ans, meta))
     opt = outcomes.select(
         F.xxhash64(F.lit("opt"), "deployment_id", "page_path").alias("id"), "deployment_id", "page_path",
         "impressions", "clicks", scalar.ctr("clicks", "impressions", 4).alias("ctr"), "action", "detail",

@@ -92,3 +92,11 @@ def spread(df):
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def checkpointed(df):
+    """Reliable checkpoint (eager) into the shared checkpoint folder; the
+    folder is taken from ``spark.checkpoint.dir`` and only set locally when
+    the session has none (tests)."""
+    _ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
