@@ -71,6 +71,16 @@ def stamp() -> Column:
     return F.current_timestamp()
 
 
+def optimizer_fence() -> Column:
+    """An always-true, nondeterministic predicate that no optimizer rule folds
+    away. And-ed into a filter (or guarding a projected value), it keeps that
+    step where it is written: Catalyst does not push nondeterministic
+    predicates below projections or aggregates. Used where pushing down would
+    *add* work (a per-group test re-run per row, or a large projection
+    inlined into a pushed predicate)."""
+    return F.monotonically_increasing_id() >= F.lit(0)
+
+
 # --------------------------------------------------------------------------
 # JSON list codec
 # --------------------------------------------------------------------------

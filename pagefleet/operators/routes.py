@@ -87,11 +87,17 @@ def route_groups(
     """
     scope = [F.col(site)] if site else []
     keyed = df.select(*scope, *route_keys(df, cols), row_order(df, order_by).alias("_pos"))
-    for i in range(len(cols)):
-        keyed = keyed.filter(~text.is_blank(F.col(f"k{i}")))  # C6
     groups = keyed.groupBy(*scope, *[f"k{i}" for i in range(len(cols))]).agg(
         F.count(F.lit(1)).alias("row_count"), F.min("_pos").alias("first_pos")
     )
+    # C6 on groups: every row of a group has the same key, so dropping blank
+    # groups equals skipping blank rows, and it happens before any cap. The
+    # fence keeps the regex test here (once per group) instead of letting it
+    # be pushed below the aggregate (once per row).
+    non_blank = scalar.optimizer_fence()
+    for i in range(len(cols)):
+        non_blank = non_blank & ~text.is_blank(F.col(f"k{i}"))
+    groups = groups.filter(non_blank)
     if max_routes is not None and site is None:
         groups = groups.orderBy(F.desc("row_count"), F.asc("first_pos")).limit(max(max_routes, 0))
     elif max_routes is not None:
@@ -123,7 +129,7 @@ def build_routes(
     groups = route_groups(df, cols, max_routes=max_routes, order_by=order_by, site=site)
     keys = [F.col(f"k{i}") for i in range(len(cols))]
     segments = [text.route_slug(k) for k in keys]
-    non_empty = F.lit(True)
+    non_empty = scalar.optimizer_fence()  # slugs once per group, not per row
     for s in segments:
         non_empty = non_empty & (s != "")
     natural = groups.filter(non_empty).withColumn(

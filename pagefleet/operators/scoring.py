@@ -230,7 +230,7 @@ def classify_candidates(
     # per row. A nondeterministic guard that is always true (and that no rule
     # folds away, unlike comparisons of rand with constants) keeps this
     # projection in place; the value is always ``reason``.
-    fenced_reason = F.when(F.monotonically_increasing_id() >= F.lit(0), reason)
+    fenced_reason = F.when(scalar.optimizer_fence(), reason)
     others = [F.col(c) for c in validated.columns if c not in ("reason", "detail", "arbitrage_score")]
     return validated.select(
         *others,
