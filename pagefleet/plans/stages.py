@@ -264,8 +264,10 @@ def run_optimize(
     min_impressions: int = schemas.MIN_IMPRESSIONS,
     max_ctr: float = schemas.MAX_CTR,
     max_pages: int = schemas.MAX_FLAGGED_PAGES,
+    deployment_id: int | None = None,
 ) -> dict[str, DataFrame]:
-    """P5: page metrics of completed deployments -> analytics_logs append ->
+    """P5: page metrics of completed deployments (or of one named deployment,
+    whatever its status, Q16) -> analytics_logs append ->
     flags (uncapped count) -> first ``max_pages`` per deployment -> rewrite
     answers -> site meta rewrites + optimization rows.
 
@@ -273,7 +275,9 @@ def run_optimize(
     revenue_cents, pos``; ``answer_bodies``: ``request_id, body``; ``meta``:
     ``site_id, title, description`` keyed by site generation id.
     """
-    deps = _latest(spark, ledger, "deployments").filter(F.col("status") == "completed")
+    deps = _latest(spark, ledger, "deployments")
+    deps = deps.filter(F.col("id") == deployment_id) if deployment_id is not None else \
+        deps.filter(F.col("status") == "completed")
     m = metrics.join(deps.select(F.col("id").alias("deployment_id"), "site_generation_id"), "deployment_id")
     m = checkpointed(m)
     logs = m.select(F.xxhash64(F.lit("log"), "deployment_id", "page_path", "pos").alias("id"), "deployment_id",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -34,9 +33,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
     """
     active = SparkSession.getActiveSession()
     if active is None:
+        from pyspark import SparkConf
+
         builder = SparkSession.builder.appName("pagefleet")
-        if master or not os.environ.get("SPARK_MASTER"):
-            builder = builder.master(master or "local[8]")
+        # Under spark-submit the master comes from the launcher; only a bare
+        # local process (tests, benches) falls back to local mode.
+        if master:
+            builder = builder.master(master)
+        elif not SparkConf().get("spark.master", None):
+            builder = builder.master("local[8]")
         builder = (
             builder.config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
