@@ -46,6 +46,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
             builder.config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "16g")
+            # Checkpoint files of unreferenced DataFrames are removed.
+            .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
             .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         )
         active = builder.getOrCreate()
