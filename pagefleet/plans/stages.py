@@ -234,8 +234,12 @@ def run_compile(
         F.concat(F.lit(out_dir.rstrip("/") + "/"),
                  text.build_name(F.lit(niche), F.lit(evaluation_id), F.lit(site))).alias("build_path"))
     L.append_ledger(_stamp_rows(gen), ledger, "site_generations")
+    report = data.agg(F.count(F.lit(1)).alias("row_count")).crossJoin(
+        routes.agg(F.count(F.lit(1)).alias("route_count"))).select(
+        F.lit("COMPLETED").alias("status"), F.lit(evaluation_id).cast("long").alias("evaluation_id"),
+        F.lit(niche).alias("niche_id"), F.lit(e.template_type).alias("template_type"), "row_count", "route_count")
     return {"status": spark.createDataFrame([("COMPLETED", None)], "status string, message string"),
-            "routes": routes, "site_generation": gen}
+            "routes": routes, "site_generation": gen, "report": report}
 
 
 # ---------------------------------------------------------------- P4 deploy records
@@ -249,6 +253,9 @@ def run_deploy_records(spark: SparkSession, ledger: str) -> dict[str, DataFrame]
     plan = checkpointed(DP.deployment_plan(DP.resolve_targets(sites, evals, opps)))
     done = plan.filter(F.col("outcome") == "COMPLETED").select(
         F.xxhash64(F.lit("deployment"), "site_generation_id").alias("id"), "site_generation_id", "project_slug",
+        # records only (no upload): a deterministic dry-run deployment id
+        F.concat(F.lit("dryrun-"), F.substring(F.sha2(F.col("site_generation_id").cast("string"), 256), 1, 12))
+        .alias("hosting_deployment_id"),
         "live_url", F.lit("completed").alias("status"))
     L.append_ledger(_stamp_rows(done), ledger, "deployments")
     return {"plan": plan}

@@ -59,6 +59,8 @@ def test_five_stages(spark, tmp_dir):
     comp = ST.run_compile(spark, ledger, eval_id, data, f"{tmp_dir}/site", order_by=["pos"])
     assert comp["status"].first().status == "COMPLETED"
     assert comp["routes"].count() == 4
+    rep = comp["report"].first()
+    assert (rep.row_count, rep.route_count, rep.niche_id) == (8, 4, "b2b_chemical_compliance")
     sitemap = spark.read.text(f"{tmp_dir}/site/sitemap").count()
     assert sitemap == 2 + 1 + 4 + 1
     index = [r.value for r in spark.read.text(f"{tmp_dir}/site/index").collect()]
@@ -68,7 +70,9 @@ def test_five_stages(spark, tmp_dir):
     plan = dep["plan"].first()
     assert plan.outcome == "COMPLETED" and plan.live_url == "https://b2b-chemical-compliance.pages.dev"
 
-    dep_id = read_ledger(spark, ledger, "deployments").first().id
+    dep_row = read_ledger(spark, ledger, "deployments").first()
+    assert dep_row.hosting_deployment_id.startswith("dryrun-")
+    dep_id = dep_row.id
     site_id = read_ledger(spark, ledger, "site_generations").first().id
     metrics = spark.createDataFrame([(dep_id, "/", 1010, 5, 0, 0), (dep_id, "/directory", 240, 18, 4200, 1)],
                                     "deployment_id long, page_path string, impressions long, clicks long, "
