@@ -26,7 +26,7 @@ ans AS (
          CASE WHEN quality = 1 AND toxic = 0 THEN 'local_lead_generation'
               WHEN quality = 1 THEN 'premium_cpc' ELSE 'unknown' END AS pattern,
          CASE WHEN toxic = 0 THEN 'directory' ELSE 'calculator' END AS layout,
-         CASE WHEN toxic = 0 THEN 0.9 ELSE 0.3 END AS conf
+         CASE WHEN toxic = 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END AS conf
   FROM labels
 ),
 v AS (
