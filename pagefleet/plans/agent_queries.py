@@ -110,6 +110,7 @@ def requests_emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- landed payloads
+DOC_ROWS = 500  # rows per derived landed document (bounded, count grows with data)
 def _write_docs(docs: DataFrame, spark: SparkSession, name: str, group: str) -> str:
     """Write one document per group value (one file per group folder)."""
     out = scratch_dir(spark, name)
@@ -133,10 +134,14 @@ def manifest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split("p_name", " ").alias("primary_keywords"),
         F.when(F.col("p_size") > 45, F.lit("curated")).alias("source"),
     )
-    grouped = part.groupBy("p_brand", "p_type").agg(F.collect_list(cand).alias("cands"))
-    doc = F.when(F.col("p_type").isin("ECONOMY", "SMALL", "LARGE"), F.to_json(F.struct(F.col("cands").alias("candidates")))) \
+    # One manifest file per key range: a document holds at most DOC_ROWS
+    # candidates and the number of documents grows with the table. Even
+    # ranges use the {candidates: [...]} shape, odd ranges a bare array.
+    chunk = F.floor(F.col("p_partkey") / DOC_ROWS)
+    grouped = part.groupBy(chunk.alias("chunk")).agg(F.collect_list(cand).alias("cands"))
+    doc = F.when(F.col("chunk") % 2 == 0, F.to_json(F.struct(F.col("cands").alias("candidates")))) \
         .otherwise(F.to_json("cands"))
-    docs = grouped.select(F.concat_ws("_", "p_brand", "p_type").alias("grp"), doc.alias("value"))
+    docs = grouped.select(F.col("chunk").cast("string").alias("grp"), doc.alias("value"))
     path = _write_docs(docs, spark, "manifests", "grp")
     out = PL.read_manifest(spark, path)
     c = F.col("candidate")
@@ -159,7 +164,9 @@ def rum_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("clicks").alias("visits")).alias("sum"),
         F.struct(F.col("page_path").alias("requestPath")).alias("dimensions"),
     )
-    payloads = pm.groupBy("deployment_id").agg(F.collect_list(group).alias("groups")).select(
+    # At most 100 groups per payload (the analytics API's page size).
+    payloads = pm.groupBy("deployment_id", F.floor(F.col("k") / 100).alias("chunk")).agg(
+        F.collect_list(group).alias("groups")).select(
         "deployment_id",
         F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.col("groups").alias(
             "rumPageloadEventsAdaptiveGroups"))).alias("accounts")).alias("viewer")).alias("data"))).alias("value"),
@@ -181,8 +188,11 @@ def overview_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyword_rows(spark, sf_dir)
     item = F.struct(F.col("keyword"), F.col("volume").cast("string").alias("volume"), F.col("cpc"),
                     F.col("difficulty"), F.col("keyword_difficulty"), F.col("pos"))
-    per_doc = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item), lambda a, b: (
-        F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))).alias("items"))
+    # One payload per (document, range of word positions): at most DOC_ROWS
+    # keyword rows each; E2 then reduces across a document's payloads.
+    per_doc = rows.groupBy("doc_id", F.floor(F.col("pos") / DOC_ROWS).alias("chunk")).agg(
+        F.array_sort(F.collect_list(item), lambda a, b: (
+            F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))).alias("items"))
     payload = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("items").alias("keywords")))) \
         .otherwise(F.to_json("items"))
     raw = per_doc.select(F.col("doc_id").alias("key"), payload.alias("value"))
@@ -231,7 +241,9 @@ def ckan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
                        lambda t: F.struct(t.alias("name")))
     pkg = F.struct(name.alias("name"), F.concat(F.lit("pkg-"), F.col("p_partkey").cast("string")).alias("id"),
                    tags.alias("tags"), res.alias("resources"))
-    per_brand = part.groupBy("p_brand").agg(F.collect_list(pkg).alias("results"))
+    # One search response per (brand, key range): at most DOC_ROWS packages each.
+    per_brand = part.groupBy("p_brand", F.floor(F.col("p_partkey") / DOC_ROWS).alias("chunk")).agg(
+        F.collect_list(pkg).alias("results"))
     payload = F.to_json(F.struct((F.col("p_brand") != "Brand#1").alias("success"),
                                  F.struct(F.col("results").alias("results")).alias("result")))
     cands, _errors = PL.parse_ckan_packages(per_brand.select(payload.alias("value")))

@@ -23,7 +23,9 @@ def telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     pm = page_metric_rows(spark, sf_dir)
     group = F.struct(F.col("impressions").alias("count"), F.struct(F.col("clicks").alias("visits")).alias("sum"),
                      F.struct(F.col("page_path").alias("requestPath")).alias("dimensions"))
-    payloads = pm.groupBy("deployment_id").agg(F.collect_list(group).alias("g")).select(
+    # At most 100 groups per payload (the analytics API's page size).
+    payloads = pm.groupBy("deployment_id", F.floor(F.col("k") / 100).alias("chunk")).agg(
+        F.collect_list(group).alias("g")).select(
         "deployment_id",
         F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.col("g").alias(
             "rumPageloadEventsAdaptiveGroups"))).alias("accounts")).alias("viewer")).alias("data"))).alias("value"),
