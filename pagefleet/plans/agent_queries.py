@@ -195,9 +195,14 @@ def overview_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))).alias("items"))
     payload = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("items").alias("keywords")))) \
         .otherwise(F.to_json("items"))
-    raw = per_doc.select(F.col("doc_id").alias("key"), payload.alias("value"))
+    raw = per_doc.select(F.struct("doc_id", "chunk").alias("key"), payload.alias("value"))
     parsed = PL.parse_keyword_overview(raw)
-    best = S.representative_keyword(parsed.withColumnRenamed("key", "doc_id"), key="doc_id")
+    # Order across a document's payloads: chunk first, then the row's index
+    # inside its payload (a chunk holds fewer than DOC_ROWS rows).
+    parsed = parsed.select(F.col("key.doc_id").alias("doc_id"),
+                           (F.col("key.chunk") * DOC_ROWS + F.col("pos")).alias("pos"),
+                           "keyword", "volume", "cpc", "difficulty", "keyword_difficulty")
+    best = S.representative_keyword(parsed, key="doc_id")
     return best.select("doc_id", "keyword", "estimated_monthly_volume", "average_cpc", "keyword_difficulty")
 
 
