@@ -64,3 +64,31 @@ def test_flag_stream_on_closed_windows(spark, tmp_dir):
     q.awaitTermination()
     out = [(r.page_path, r.impressions, r.clicks) for r in spark.read.parquet(f"{tmp_dir}/out").collect()]
     assert out == [("/p", 40, 1)]  # window closed by the watermark; /q's window is still open
+
+
+def test_hot_route_key_join_is_split_by_aqe(spark):
+    """D8 uncapped: the hot key's partition is split by AQE's skew join
+    (thresholds lowered to local scale for the test, restored after)."""
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB"}
+    saved = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        df = spark.range(300_000).select(
+            F.col("id").alias("pos"),
+            F.when(F.col("id") % 3 == 0, F.lit("Hot City"))
+            .otherwise(F.concat(F.lit("city "), (F.col("id") % 5000).cast("string"))).alias("city"),
+            F.lit("x" * 40).alias("pad"))
+        routes = R.build_routes(df, ["city"], "X", max_routes=None, order_by=["pos"], keep_keys=True)
+        members = R.route_rows(df, routes, ["city"]).select("pos", "path")
+        assert len(members.collect()) == 300_000
+        assert "SortMergeJoin(skew=true)" in members._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
