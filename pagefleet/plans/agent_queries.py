@@ -302,3 +302,15 @@ def site_meta_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("site_path", r"site=([^/]+)", 1).alias("site"),
         F.try_variant_get("meta", "$.title", "string").alias("title"),
     )
+
+
+@register(
+    "rpc_unwrap",
+    "SELECT substr(sha256('evaluate' || chr(1) || CAST(doc_id AS VARCHAR)), 1, 32) AS request_id, "
+    "NOT (quality = 0 AND toxic = 0) AS ok, "
+    "CASE WHEN quality = 0 AND toxic = 0 "
+    "THEN 'agent returned JSON-RPC error: {\"code\":-32000,\"message\":\"busy\"}' END AS error FROM labels",
+)
+def rpc_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed JSON-RPC responses -> ok / error per request."""
+    return verdict_answers(spark, sf_dir).select("request_id", "ok", "error")
