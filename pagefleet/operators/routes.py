@@ -276,19 +276,34 @@ def disambiguate_paths(
         marked = checkpointed(marked)
     cols = list(df.columns)
     order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in zip(rank_cols, ascending)]
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    keep = [f.name for f in df.schema.fields if not (f.name in rank_cols and isinstance(f.dataType, nested))]
     # No duplicate in the family: every path stays as it is.
     clean = marked.filter(~F.col("_dup_family")).select(*cols, F.col(path_col).alias("path"))
+    if materialize:
+        # One pass over the materialised route rows says which branches have
+        # work; branches without rows are left out of the plan.
+        need = marked.agg(
+            F.max(F.col("_dup_family").cast("int")).alias("dup"),
+            F.max((F.col("_dup_family") & ~F.col("_one_path")).cast("int")).alias("complex"),
+        ).first()
+        need_single, need_complex = bool(need.dup), bool(need.complex)
+    else:
+        need_single = need_complex = True
+    result = clean.select(*keep, "path")
     # One natural path repeated: copies take p, p-2, p-3, ... in rank order.
     copy_no = F.row_number().over(Window.partitionBy("_family").orderBy(*order))
     single = marked.filter(F.col("_dup_family") & F.col("_one_path")).withColumn(
         "path", F.when(copy_no == 1, F.col(path_col)).otherwise(
             F.concat(F.col(path_col), F.lit("-"), copy_no.cast("string")))).select(*cols, "path")
+    if need_single:
+        result = result.unionByName(single.select(*keep, "path"))
+    if not need_complex:
+        return result
 
     dup = marked.filter(F.col("_dup_family") & ~F.col("_one_path")).drop("_copies", "_dup_family", "_one_path")
     comps = _components(dup, path_col)
     keyed = dup.join(comps, ["_family", path_col]).drop("_family").withColumnRenamed("_comp", "_family")
-    nested = (T.StructType, T.ArrayType, T.MapType)
-    keep = [f.name for f in df.schema.fields if not (f.name in rank_cols and isinstance(f.dataType, nested))]
     sorted_rows = (
         keyed.repartition("_family")
         .sortWithinPartitions(F.col("_family"), *order, F.col(path_col))
@@ -299,8 +314,7 @@ def disambiguate_paths(
         + [T.StructField("path", T.StringType())]
     )
     resolved = sorted_rows.mapInPandas(_resolve_sorted, out_schema)
-    return (clean.select(*keep, "path").unionByName(single.select(*keep, "path"))
-            .unionByName(resolved.select(*keep, "path")))
+    return result.unionByName(resolved.select(*keep, "path"))
 
 
 # --------------------------------------------------------------------------
