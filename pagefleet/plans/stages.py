@@ -265,7 +265,7 @@ def run_deploy_records(spark: SparkSession, ledger: str) -> dict[str, DataFrame]
 def run_optimize(
     spark: SparkSession,
     ledger: str,
-    metrics: DataFrame,
+    metrics: DataFrame | str,
     answer_bodies: DataFrame,
     meta: DataFrame,
     min_impressions: int = schemas.MIN_IMPRESSIONS,
@@ -279,12 +279,16 @@ def run_optimize(
     answers -> site meta rewrites + optimization rows.
 
     ``metrics``: ``deployment_id, page_path, impressions, clicks,
-    revenue_cents, pos``; ``answer_bodies``: ``request_id, body``; ``meta``:
-    ``site_id, title, description`` keyed by site generation id.
+    revenue_cents, pos``, or the name of a registered telemetry source (K2)
+    that produces them for the selected deployments; ``answer_bodies``:
+    ``request_id, body``; ``meta``: ``site_id, title, description`` keyed by
+    site generation id.
     """
     deps = _latest(spark, ledger, "deployments")
     deps = deps.filter(F.col("id") == deployment_id) if deployment_id is not None else \
         deps.filter(F.col("status") == "completed")
+    if isinstance(metrics, str):
+        metrics = TELEMETRY_SOURCES[metrics](spark, deps)
     m = metrics.join(deps.select(F.col("id").alias("deployment_id"), "site_generation_id"), "deployment_id")
     m = checkpointed(m)
     logs = m.select(F.xxhash64(F.lit("log"), "deployment_id", "page_path", "pos").alias("id"), "deployment_id",

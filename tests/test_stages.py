@@ -82,7 +82,9 @@ def test_five_stages(spark, tmp_dir):
         V.request_id("optimize_content", F.col("k")).alias("request_id"),
         F.lit(json.dumps({"result": {"title": "Better", "description": "", "keywords": ["a"]}})).alias("body"))
     meta = spark.createDataFrame([(site_id, "Old", "d")], "site_id long, title string, description string")
-    opt = ST.run_optimize(spark, ledger, metrics, bodies, meta)
+    ST.register_telemetry_source("landed", lambda s, deps: metrics.join(
+        deps.select(F.col("id").alias("deployment_id")), "deployment_id", "left_semi"))
+    opt = ST.run_optimize(spark, ledger, "landed", bodies, meta)
     r = opt["report"].first()
     assert (r.pages_ingested, r.flagged, r.reinforced) == (2, 1, 1)
     assert opt["meta"].first().title == "Better"
