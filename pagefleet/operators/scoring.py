@@ -326,7 +326,10 @@ def representative_keyword(rows: DataFrame, key: str = "niche_id") -> DataFrame:
     """
     vol = scalar.to_number("volume")
     diff_primary = scalar.to_number("difficulty")
-    diff = F.when(diff_primary != 0, diff_primary).otherwise(scalar.to_number("keyword_difficulty"))
+    # ``difficulty or keyword_difficulty`` (Q17): with raw JSON rows the
+    # parser supplies ``difficulty_truthy``; typed rows fall through on 0/null.
+    primary_set = F.col("difficulty_truthy") if "difficulty_truthy" in rows.columns else (diff_primary != 0)
+    diff = F.when(primary_set, diff_primary).otherwise(scalar.to_number("keyword_difficulty"))
     best = rows.groupBy(key).agg(
         F.max_by(
             F.struct(F.col("keyword"), vol.alias("v"), scalar.to_number("cpc").alias("c"), diff.alias("d")),

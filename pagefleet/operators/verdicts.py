@@ -39,7 +39,7 @@ def agent_requests(df: DataFrame, task: str, params: Column, key: str) -> DataFr
     return df.select(F.col(key), rid.alias("request_id"), body.alias("body"))
 
 
-def _truthy(v: Column) -> Column:
+def json_truthy(v: Column) -> Column:
     """Python truthiness of a JSON value (null/false/0/""/[]/{} are falsy)."""
     kind = F.schema_of_variant(v)
     as_text = F.to_json(v)
@@ -67,7 +67,7 @@ def unwrap_agent_responses(raw: DataFrame, body: str = "body") -> DataFrame:
     error = (
         F.when(v.isNull(), F.lit("agent response was not valid JSON"))
         .when(~kind.startswith("OBJECT"), F.lit("agent response was not a JSON object"))
-        .when(_truthy(err), F.concat(F.lit("agent returned JSON-RPC error: "), F.to_json(err)))
+        .when(json_truthy(err), F.concat(F.lit("agent returned JSON-RPC error: "), F.to_json(err)))
         .when(res.isNotNull() & ~res_kind.startswith("OBJECT"), F.lit("agent JSON-RPC 'result' was not an object"))
     )
     result = F.when(res.isNull(), F.parse_json(F.lit("{}"))).otherwise(res)

@@ -201,7 +201,7 @@ def overview_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     # inside its payload (a chunk holds fewer than DOC_ROWS rows).
     parsed = parsed.select(F.col("key.doc_id").alias("doc_id"),
                            (F.col("key.chunk") * DOC_ROWS + F.col("pos")).alias("pos"),
-                           "keyword", "volume", "cpc", "difficulty", "keyword_difficulty")
+                           "keyword", "volume", "cpc", "difficulty", "keyword_difficulty", "difficulty_truthy")
     best = S.representative_keyword(parsed, key="doc_id")
     return best.select("doc_id", "keyword", "estimated_monthly_volume", "average_cpc", "keyword_difficulty")
 

@@ -132,8 +132,13 @@ def parse_keyword_overview(raw: DataFrame, value: str = "value", key: str = "key
     def field(name: str) -> Column:
         return F.try_variant_get(F.col("r"), f"$.{name}", "string").alias(name)
 
+    from pagefleet.operators.verdicts import json_truthy
+
+    # Falsy (null, 0, false, "", [], {}) difficulty falls through to
+    # keyword_difficulty; the test needs the raw JSON value, not its text.
+    truthy = F.coalesce(json_truthy(F.variant_get(F.col("r"), "$.difficulty", "variant")), F.lit(False))
     return rows.select(key, "pos", field("keyword"), field("volume"), field("cpc"), field("difficulty"),
-                       field("keyword_difficulty"))
+                       field("keyword_difficulty"), truthy.alias("difficulty_truthy"))
 
 
 _RUM = T.StructType([T.StructField("data", T.StructType([T.StructField("viewer", T.StructType([

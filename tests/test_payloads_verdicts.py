@@ -113,3 +113,15 @@ def test_request_ids_are_deterministic(spark):
     a = [r.request_id for r in V.agent_requests(df, "t", F.struct("k"), "k").collect()]
     b = [r.request_id for r in V.agent_requests(df, "t", F.struct("k"), "k").collect()]
     assert a == b and len(set(a)) == 2 and all(len(x) == 32 for x in a)
+
+
+def test_keyword_difficulty_falls_through_only_when_falsy(spark):
+    from pagefleet.operators import scoring as S
+
+    rows = [{"keyword": "k", "volume": 10, "cpc": 100, "difficulty": d, "keyword_difficulty": 7}
+            for d in (0, "0", None, "", "abc", 5)]
+    raw = spark.createDataFrame([(i, json.dumps([r])) for i, r in enumerate(rows)], "key long, value string")
+    best = S.representative_keyword(PL.parse_keyword_overview(raw).withColumnRenamed("key", "niche_id"))
+    got = {r.niche_id: r.keyword_difficulty for r in best.collect()}
+    # 0, None and "" are falsy -> 7; "0" and "abc" are truthy strings -> their number (0)
+    assert got == {0: 7, 1: 0, 2: 7, 3: 7, 4: 0, 5: 5}
