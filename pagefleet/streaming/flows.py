@@ -34,20 +34,38 @@ def _batch_log_writer(out_dir: str):
 
 
 def ingest_telemetry_stream(
-    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, available_now: bool = True
+    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, available_now: bool = True,
+    quarantine_dir: str | None = None,
 ) -> StreamingQuery:
     """New analytics payload files -> parsed page metrics -> appended rows
     with ``captured_at``. One payload per line; the deployment id comes from
     the ``deployment_id=<n>`` folder of the file. Unparseable payloads give no
     rows (isolated), the others are unaffected.
+
+    Without ``quarantine_dir`` the rows go to a Parquet file sink
+    (exactly-once through its commit log). With it, each micro-batch writes
+    its rows to ``out_dir/batch_id=<n>`` and its unparseable payload lines
+    to ``quarantine_dir/batch_id=<n>``; a replayed batch overwrites its own
+    folders.
     """
     raw = spark.readStream.text(in_dir).select(
         F.regexp_extract(F.input_file_name(), r"deployment_id=([0-9]+)", 1).cast("long").alias("deployment_id"),
         F.col("value"),
     )
-    rows = PL.parse_rum_groups(raw, keep=["deployment_id"]).withColumn("captured_at", scalar.stamp())
-    writer = rows.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint) \
-        .outputMode("append")
+    if quarantine_dir is None:
+        rows = PL.parse_rum_groups(raw, keep=["deployment_id"]).withColumn("captured_at", scalar.stamp())
+        writer = rows.writeStream.format("parquet").option("path", out_dir) \
+            .option("checkpointLocation", checkpoint).outputMode("append")
+    else:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            valid = F.try_parse_json(F.col("value")).isNotNull() & F.col("value").rlike(r"^\s*\{")
+            batch.filter(~valid).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
+                .parquet(f"{quarantine_dir.rstrip('/')}/batch_id={batch_id}")
+            rows = PL.parse_rum_groups(batch.filter(valid), keep=["deployment_id"]) \
+                .withColumn("captured_at", scalar.stamp())
+            rows.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+
+        writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 

@@ -110,3 +110,20 @@ def test_entry_and_registry(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 60
+
+
+def test_telemetry_stream_quarantines_bad_payloads(spark, tmp_dir):
+    import json as _json
+    import os
+
+    good = {"data": {"viewer": {"accounts": [{"rumPageloadEventsAdaptiveGroups": [
+        {"count": 900, "sum": {"visits": 6}, "dimensions": {"requestPath": "/"}}]}]}}}
+    os.makedirs(f"{tmp_dir}/in/deployment_id=7")
+    with open(f"{tmp_dir}/in/deployment_id=7/p.txt", "w") as fh:
+        fh.write(_json.dumps(good) + "\n" + "{broken\n")
+    q = flows.ingest_telemetry_stream(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ck",
+                                      quarantine_dir=f"{tmp_dir}/bad")
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{tmp_dir}/out").collect()
+    assert [(r.deployment_id, r.page_path, r.impressions) for r in rows] == [(7, "/", 900)]
+    assert spark.read.parquet(f"{tmp_dir}/bad").count() == 1
