@@ -158,11 +158,12 @@ FAMILY_PATTERN = r"(-[0-9]+)+$"
 
 
 def _resolve_sorted(batches):
-    """Stream route rows sorted by (family, rank) and assign paths in order.
+    """Stream route rows sorted by (group, rank) and assign paths in order.
 
-    The state is the set of names taken in the current family; it is reset
-    at every family boundary, so memory is bounded by the largest family,
-    never by the partition.
+    ``_family`` holds the interaction component here. The state is the set
+    of names taken in the current component; it is reset at every component
+    boundary, so memory is bounded by the largest component, never by the
+    partition.
     """
     family = None
     taken: set[str] = set()
@@ -262,7 +263,7 @@ def disambiguate_paths(
         fam = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope], fam)
     staged = df.withColumn("_family", fam).repartition("_family")
     copies = F.count(F.lit(1)).over(Window.partitionBy("_family", path_col))
-    # The route table is read by both branches and by the component step:
+    # The route table is read by all three branches and the component step:
     # materialise it once (reliable checkpoint in spark.checkpoint.dir; route
     # rows, not data rows) so the input scan and aggregation run once and a
     # lost executor recomputes from here.
