@@ -157,3 +157,27 @@ def test_wide_family_splits_into_components(spark):
     comps = {r.natural: r._comp for r in R._components(df, "natural").collect()}
     assert comps["/2024-01-05-2"] == "/2024-01-05"
     assert len(set(comps.values())) == 28
+
+
+def test_large_component_is_exact(spark):
+    # one path repeated 20k times next to natural children '/item-k'
+    n = 20_000
+    df = spark.range(n).select(
+        F.col("id").alias("rank"),
+        F.when(F.col("id") % 500 == 7, F.concat(F.lit("/item-"), (F.col("id") / 500 + 2).cast("long").cast("string")))
+        .otherwise(F.lit("/item")).alias("natural"))
+    got = {r["rank"]: r.path for r in R.disambiguate_paths(df, "natural", ["rank"], [True]).collect()}
+    src = {r["rank"]: r.natural for r in df.collect()}
+    seen, nxt, want = set(), {}, {}
+    for i in range(n):  # the sequential rule, linear form
+        p = c = src[i]
+        if c in seen:
+            k = nxt.get(p, 2)
+            c = f"{p}-{k}"
+            while c in seen:
+                k += 1
+                c = f"{p}-{k}"
+            nxt[p] = k + 1
+        seen.add(c)
+        want[i] = c
+    assert got == want
