@@ -36,43 +36,48 @@ class GenerationalCache:
         return list(missing)
 
 
-class SegmentEncoder:
-    """Whole texts to ids (little-endian unsigned 32-bit, as bytes)."""
+class LibraryCodec:
+    """The tokenizers library behind ``segments`` and ``whole``."""
 
-    def __init__(self, path: str, cache: int = CACHE_SEGMENTS):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first, self.rest = GenerationalCache(cache // 4), GenerationalCache(cache)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def segments(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(texts), 20_000):
+            part = texts[lo:lo + 20_000]
+            enc = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            cut = np.searchsorted(np.asarray(enc.word_ids, dtype=np.int64), np.arange(len(part) + 1))
+            raw, cut = np.asarray(enc.ids, dtype="<u4").tobytes(), (cut * 4).tolist()
+            out += [raw[a:b] for a, b in zip(cut, cut[1:])]
+        return out
+
+
+class SegmentEncoder:
+    """Whole texts to ids (little-endian unsigned 32-bit, as bytes)."""
+
+    def __init__(self, codec, cache: int = CACHE_SEGMENTS):
+        self.codec = codec
+        self.first, self.rest = GenerationalCache(cache // 4), GenerationalCache(cache)
+
     def _fill(self, cache: GenerationalCache, keys: set, lead: str) -> None:
         missing = cache.prepare(keys)
-        young = cache.young
-        usable = []
-        for k in missing:
-            if not k or k[0].isspace() or k[-1].isspace():
-                young[k] = None
-            else:
-                usable.append(k)
-        for lo in range(0, len(usable), 20_000):
-            part = usable[lo:lo + 20_000]
-            enc = self.tokenizer.encode([lead + k for k in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(enc.ids, dtype="<u4")
-            cut = np.searchsorted(np.asarray(enc.word_ids, dtype=np.int64), np.arange(len(part) + 1))
-            raw, cut = ids.tobytes(), (cut * 4).tolist()
-            young.update(zip(part, (raw[a:b] for a, b in zip(cut, cut[1:]))))
+        usable = [k for k in missing if k and not k[0].isspace() and not k[-1].isspace()]
+        cache.young.update(dict.fromkeys(missing))
+        cache.young.update(zip(usable, self.codec.segments([lead + k for k in usable])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        heads = [s[0] for s in split]
         words: set = set()
         for s in split:
             words.update(s[1:])
-        self._fill(self.first, set(heads), "")
+        self._fill(self.first, {s[0] for s in split}, "")
         self._fill(self.rest, words, " ")
         head, rest = self.first.young, self.rest.young
         out = []
@@ -80,18 +85,18 @@ class SegmentEncoder:
             try:
                 out.append(head[s[0]] + b"".join([rest[x] for x in s[1:]]))
             except TypeError:  # a None: white space that touches a cut
-                out.append(self.whole(text))
+                out.append(self.codec.whole(text))
         return out
 
 
 _ENCODERS: dict = {}
 
 
-def encoder(path: str) -> SegmentEncoder:
+def encoder(path: str, codec=LibraryCodec) -> SegmentEncoder:
     """One encoder per worker process and vocabulary file; it outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = SegmentEncoder(path)
-    return _ENCODERS[path]
+    if (path, codec) not in _ENCODERS:
+        _ENCODERS[path, codec] = SegmentEncoder(codec(path))
+    return _ENCODERS[path, codec]
 
 
 def batches(column, max_chars: int = 2_000_000):

@@ -127,7 +127,7 @@ def _writer(path: str, end_id: int, file_ids: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, enc = TaskContext.get().partitionId(), 0, encoder(path)
-        narrow = enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
+        narrow = enc.codec.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         doc_ids, ids, size = [], [], 0
 
         def file():
