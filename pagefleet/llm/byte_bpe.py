@@ -36,6 +36,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BacktrackCodec:
     """Ids of a byte-level BPE given by merge ranks (``pattern`` cuts the text first)."""
 
+    #: Whether case makes no difference.
+    folds = False
+
     def __init__(self, path: str, pattern: str):
         import ahocorasick
         import regex
@@ -54,7 +57,7 @@ class BacktrackCodec:
         self.prefix: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
 
-    def split(self, token: int) -> tuple[int, int]:
+    def halves_of(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge made ``token`` (itself twice if none did)."""
         if token not in self.halves:
             parts = list(self.text[token])
@@ -93,11 +96,11 @@ class BacktrackCodec:
             if across is not None and across < undone:
                 return False
             for side in ("left", "right") if left > right else ("right", "left"):
-                if side == "left" and self.split(left)[1] != left:
-                    undone, left = left, self.split(left)[1]
+                if side == "left" and self.halves_of(left)[1] != left:
+                    undone, left = left, self.halves_of(left)[1]
                     break
-                if side == "right" and self.split(right)[0] != right:
-                    undone, right = right + 1, self.split(right)[0]
+                if side == "right" and self.halves_of(right)[0] != right:
+                    undone, right = right + 1, self.halves_of(right)[0]
                     break
             else:
                 return True
@@ -134,8 +137,11 @@ class BacktrackCodec:
             out += self.piece(match.encode().decode("latin-1"))
         return np.array(out, dtype="<u4").tobytes()
 
-    def segments(self, texts: list[str]) -> list[bytes]:
-        return [self.whole(t) for t in texts]
+    def split(self, text: str) -> list[str]:
+        return text.split(" ")
+
+    def segments(self, texts: list[str], lead: str) -> list[bytes]:
+        return [self.whole(lead + t) for t in texts]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))

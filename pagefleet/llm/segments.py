@@ -9,10 +9,16 @@ such cut; it is encoded whole.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Distinct segments kept by a worker, in two generations of half of it each.
-CACHE_SEGMENTS = 800_000
+CACHE_SEGMENTS = 1_200_000
+
+
+#: What str.split takes for white space and Unicode does not.
+OTHER_SPACES = re.compile("[\x1c-\x1f]")
 
 
 class GenerationalCache:
@@ -29,10 +35,11 @@ class GenerationalCache:
             self.old, self.young = self.young, {}
         missing = keys.difference(self.young)
         if self.old and missing:
-            known = missing.intersection(self.old)
+            old = self.old
+            known = [k for k in missing if k in old]  # a set's intersection would walk the dict
             for k in known:
-                self.young[k] = self.old[k]
-            missing -= known
+                self.young[k] = old[k]
+            missing.difference_update(known)
         return list(missing)
 
 
@@ -44,20 +51,49 @@ class LibraryCodec:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.starts = self.ends.copy()
+        for token, i in vocabulary.items():
+            self.ends[i], self.starts[i] = token.endswith("</w>"), token.startswith("\u0120")
+        self.word_ends = bool(self.ends.any())
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        #: Whether case makes no difference.
+        self.folds = self._ids(letters) == self._ids(letters.upper())
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.asarray(self._ids(text), dtype="<u4").tobytes()
 
-    def segments(self, texts: list[str]) -> list[bytes]:
+    def split(self, text: str) -> list[str]:
+        """Segments; at any white space where the tokenizer drops it (str.split knows four more)."""
+        return text.split() or [""] if self.word_ends and not OTHER_SPACES.search(text) else text.split(" ")
+
+    def segments(self, texts: list[str], lead: str) -> list[bytes]:
         out = []
         for lo in range(0, len(texts), 20_000):
-            part = texts[lo:lo + 20_000]
-            enc = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            cut = np.searchsorted(np.asarray(enc.word_ids, dtype=np.int64), np.arange(len(part) + 1))
-            raw, cut = np.asarray(enc.ids, dtype="<u4").tobytes(), (cut * 4).tolist()
-            out += [raw[a:b] for a, b in zip(cut, cut[1:])]
+            out += self._some(texts[lo:lo + 20_000], lead)
         return out
 
+    def _some(self, texts: list[str], lead: str) -> list[bytes]:
+        """Ids of segments, encoded as one text where its tokens show their borders."""
+        if lead and not self.word_ends:  # a token that begins with a space begins a segment
+            ids = np.asarray(self._ids("".join([lead + t for t in texts])), dtype="<u4")
+            cut = np.append(np.flatnonzero(self.starts[ids]), len(ids))
+        elif self.word_ends and all(map(str.isalpha, texts)):  # a word is letters only: one token ends it
+            ids = np.asarray(self._ids(" ".join(texts)), dtype="<u4")
+            cut = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        else:
+            ids, cut = np.zeros(0, "<u4"), np.zeros(0, int)
+        if len(cut) != len(texts) + 1:
+            enc = self.tokenizer.encode([lead + t for t in texts], is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(enc.ids, dtype="<u4")
+            cut = np.searchsorted(np.asarray(enc.word_ids, dtype=np.int64), np.arange(len(texts) + 1))
+        raw, cut = ids.tobytes(), (cut * 4).tolist()
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
 
 class SegmentEncoder:
     """Whole texts to ids (little-endian unsigned 32-bit, as bytes)."""
@@ -65,15 +101,43 @@ class SegmentEncoder:
     def __init__(self, codec, cache: int = CACHE_SEGMENTS):
         self.codec = codec
         self.first, self.rest = GenerationalCache(cache // 4), GenerationalCache(cache)
+        #: Marks that pre-tokenizers cut from the letters before them, and their ids.
+        self.tails = dict(zip(".,", codec.segments([".", ","], "")))
 
     def _fill(self, cache: GenerationalCache, keys: set, lead: str) -> None:
+        """Make every key's ids known; None for one that white space touches.
+
+        Letters with one mark behind them are the letters' ids and the mark's,
+        and words are encoded in lower case where the tokenizer folds case.
+        """
         missing = cache.prepare(keys)
-        usable = [k for k in missing if k and not k[0].isspace() and not k[-1].isspace()]
-        cache.young.update(dict.fromkeys(missing))
-        cache.young.update(zip(usable, self.codec.segments([lead + k for k in usable])))
+        young, old, tails, folds = cache.young, cache.old, self.tails, self.codec.folds
+        later, words, others = [], set(), []
+        for k in missing:
+            if not k or k[0].isspace() or k[-1].isspace():
+                young[k] = None
+                continue
+            tail = k[-1] if k[-1] in tails else ""
+            word = k[:-1] if tail else k
+            if not (word.isalpha() and (word.isascii() or word.lower().isalpha())):
+                others.append(k)
+                continue
+            if folds and word.isascii():
+                word = word.lower()
+            later.append((k, word, tail))
+            if word not in young:
+                words.add(word)
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+        fresh = [w for w in words if w not in young]
+        young.update(zip(fresh, self.codec.segments(fresh, lead)))
+        young.update(zip(others, self.codec.segments(others, lead)))
+        for k, word, tail in later:
+            young[k] = young[word] + tails[tail] if tail else young[word]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        split = [self.codec.split(t) for t in texts]
         words: set = set()
         for s in split:
             words.update(s[1:])
@@ -83,7 +147,7 @@ class SegmentEncoder:
         out = []
         for text, s in zip(texts, split):
             try:
-                out.append(head[s[0]] + b"".join([rest[x] for x in s[1:]]))
+                out.append(b"".join([head[s[0]], *map(rest.__getitem__, s[1:])]))
             except TypeError:  # a None: white space that touches a cut
                 out.append(self.codec.whole(text))
         return out
