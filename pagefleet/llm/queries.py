@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagefleet.llm import byte_bpe, packing, quality_rules, simhash, token_files
+from pagefleet.llm import byte_bpe, packing, quality_mil, quality_rules, simhash, token_files, toxicity_pu
 from pagefleet.plans.registry import table
 from pagefleet.session import configure
 
@@ -60,3 +60,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op1_quality_rules"] = quality_rules.oracle_sql()
+
+
+@query
+def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_mil.score(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_pu.score(docs, toxicity_pu.train(docs, table(spark, sf_dir, "labels")))
