@@ -18,10 +18,12 @@ each pair that is left. Exact copies share a fingerprint and are one code.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from pagefleet.llm.common import spool
 
@@ -210,8 +212,6 @@ def code_links(codes: DataFrame, distance: int) -> DataFrame:
     blocks = spool(ordered.mapInArrow(_blocks, "node long, first long, mask long, pattern long, codes binary"), "simhash-blocks")
     flips = [0]
     for depth in range(1, distance + 1):
-        from itertools import combinations
-
         flips += [sum(1 << i for i in c) for c in combinations(range(bits), depth)]
     left = blocks.select(*(F.col(c).alias(f"{c}_a") for c in blocks.columns)).withColumn(
         "node_b", F.explode(F.transform(F.array(*map(F.lit, flips)).cast("array<bigint>"),
@@ -249,9 +249,9 @@ def connected_codes(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """``doc_id, key, code, component_id`` for every row of ``docs``.
+    """``doc_id, key, code, label, component_id`` for every row of ``docs``.
 
-    ``component_id`` is the smallest doc_id among all rows that links of at most
+    ``label`` is the component's smallest code, ``component_id`` is the smallest doc_id among all rows that links of at most
     ``distance`` bits reach. Null and empty texts have fingerprint zero and
     link like any other; a text of fewer words than a shingle is one shingle;
     repeated rows keep their places in the result. Null doc_ids count as
@@ -266,5 +266,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
         .unionByName(named.where("label != code"))
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     component = spool(named.join(least, "label", "left").select(
-        "code", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
-    return rows.join(component, "code", "left").select("doc_id", "key", "code", "component_id")
+        "code", "label", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
+    return rows.join(component, "code", "left").select("doc_id", "key", "code", "label", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
+    """One row of every component, with the columns of ``docs``: that with the smallest doc_id.
+
+    Among rows of one doc_id the text with the smallest md5 stays, among
+    repeated rows any one (they differ in no doc_id and no text). Rows with a
+    null doc_id come last in a component.
+    """
+    found = near_duplicates(docs, words, distance)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    # component_id alone can be shared by components of rows without an id, or of a repeated one.
+    kept = found.groupBy("label").agg(F.min(order).alias("k")).select("k.doc_id", "k.key")
+    fields = [F.col(f"`{f.name}`") for f in docs.schema.fields]
+    rows = docs.select(F.struct(*fields).alias("row"), F.col("doc_id").alias("doc_id"), text_key(F.col("text")).alias("key"))
+    kept = kept.distinct().select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
+    one = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["key"] == kept["kept_key"]), "left_semi")
+    alone = Window.partitionBy("doc_id", "key").orderBy("doc_id")
+    return one.withColumn("n", F.row_number().over(alone)).where("n = 1").select("row.*")
