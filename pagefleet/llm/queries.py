@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagefleet.llm import byte_bpe, multi_index, packing, quality_mil, quality_rules, simhash, token_files, toxicity_pu, warc
+from pagefleet.llm import byte_bpe, multi_index, ngram_lm, packing, quality_mil, quality_rules, simhash, token_files, toxicity_pu, warc
 from pagefleet.plans.registry import table
 from pagefleet.session import configure
 
@@ -82,3 +82,8 @@ def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"), least=0)
+
+
+@query
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
