@@ -10,12 +10,12 @@ Scale notes
 * The route table holds one row per distinct key combination. Ranking by
   (row_count desc, first appearance asc) only becomes a global sort when a
   route cap is asked for, and then it is a bounded TakeOrderedAndProject.
-* F1 needs rank order only inside a *family* of paths that can collide, so it
-  shuffles route rows (not data rows) by family, sorts inside partitions and
-  resolves all families in one streaming ``mapInPandas`` pass.
-* D8 joins data rows to routes on the key columns. The route side is
-  broadcast only when a route cap bounds it; otherwise it is a shuffle join and
-  AQE's skew-join split handles a hot route key on the row side.
+* F1 needs rank order only among paths that can collide. Partial aggregates
+  find the families of paths with a duplicate; only their route rows (not
+  data rows) are split into components, sorted and resolved in one streaming
+  ``mapInPandas`` pass.
+* D8 joins data rows to routes on the key columns. The strategy is left to
+  statistics; in a shuffle join AQE splits a hot route key on the row side.
 """
 
 from __future__ import annotations
@@ -28,13 +28,12 @@ from pagefleet import schemas
 from pagefleet.functions import scalar, text
 from pagefleet.session import checkpointed
 
-BROADCAST_ROUTE_LIMIT = 100_000  # routes; a capped route table at most this large is broadcast
 
-
-def pick_route_columns(df: DataFrame, wanted: list[str], max_dimensions: int = schemas.MAX_DIMENSIONS) -> list[str]:
-    """C11: requested columns that exist, in requested order, first ``max_dimensions``."""
+def pick_route_columns(df: DataFrame, wanted: list[str], max_dimensions: int | None = None) -> list[str]:
+    """C11: requested columns that exist, in requested order; the first ``max_dimensions`` if given."""
     names = set(df.columns)
-    return [c for c in wanted if c in names][: max(max_dimensions, 0)]
+    found = [c for c in wanted if c in names]
+    return found if max_dimensions is None else found[: max(max_dimensions, 0)]
 
 
 def row_order(df: DataFrame, order_by: list[str | Column] | None) -> Column:
@@ -74,7 +73,7 @@ def _empty_routes(spark) -> DataFrame:
 def route_groups(
     df: DataFrame,
     cols: list[str],
-    max_routes: int | None = schemas.MAX_ROUTES,
+    max_routes: int | None = None,
     order_by: list[str] | None = None,
     site: str | None = None,
 ) -> DataFrame:
@@ -110,15 +109,16 @@ def build_routes(
     df: DataFrame,
     route_columns: list[str],
     niche_title: str | None,
-    max_routes: int | None = schemas.MAX_ROUTES,
-    max_dimensions: int = schemas.MAX_DIMENSIONS,
+    max_routes: int | None = None,
+    max_dimensions: int | None = None,
     order_by: list[str] | None = None,
     keep_keys: bool = False,
     site: str | None = None,
 ) -> DataFrame:
     """Route table ``path, params, columns_used, title, description, row_count``.
 
-    ``max_routes=None`` routes the whole dataset. ``keep_keys`` also returns the
+    All routes are built; a cap only applies when ``max_routes`` or
+    ``max_dimensions`` asks for one. ``keep_keys`` also returns the
     key texts ``k0..kn`` (used by D8). ``site`` names a column that splits the
     input into independent sites (routes, caps and paths are per site);
     ``niche_title`` may then be a Column evaluated per site.
@@ -203,14 +203,16 @@ def _components(rows: DataFrame, path_col: str) -> DataFrame:
     trailing ``-digits`` group, a handful) is joined with the present paths
     and folded top-down with ``aggregate``; nothing is gathered per family.
     """
-    nat = rows.groupBy("_family", path_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    if "_stem" not in rows.columns:  # one namespace: the family is the path without its numbers
+        rows = rows.withColumn("_stem", F.col("_family"))
+    nat = rows.groupBy("_family", "_stem", path_col).agg(F.count(F.lit(1)).alias("_cnt"))
     sfx = F.regexp_extract(F.col(path_col), r"((-[0-9]+)+)$", 1)
     parts = F.when(sfx == "", F.array().cast("array<string>")).otherwise(
         F.split(F.substring(sfx, 2, 1 << 30), "-"))
     chain = F.transform(
         F.sequence(F.lit(0), F.size(parts)),
-        lambda i: F.when(i == 0, F.col("_family")).otherwise(
-            F.concat(F.col("_family"), F.lit("-"), F.array_join(F.slice(parts, F.lit(1), i), "-"))),
+        lambda i: F.when(i == 0, F.col("_stem")).otherwise(
+            F.concat(F.col("_stem"), F.lit("-"), F.array_join(F.slice(parts, F.lit(1), i), "-"))),
     )
     nodes = nat.select("_family", path_col, F.posexplode(chain).alias("_lvl", "_node"))
     present = nat.select("_family", F.col(path_col).alias("_node"), F.col("_cnt").alias("_ncnt"))
@@ -242,39 +244,40 @@ def disambiguate_paths(
     a generated ``x-2`` can itself collide with a natural ``x-2``.
 
     * Paths can only interact inside a *family* (same path after stripping
-      ``(-[0-9]+)+$``). Route rows are hash-partitioned by family once;
-      windows on that partitioning classify families. Families without a
-      duplicate keep their paths; families that repeat one single natural
-      path number the copies with ``row_number`` -- both in the JVM.
+      ``(-[0-9]+)+$``) and scope. Partial aggregates classify families.
+      Families without a duplicate keep their paths; families that repeat one
+      single natural path number the copies with ``row_number`` -- both in
+      the JVM.
     * Families holding several natural paths and a duplicate are split into
       exact interaction components
       (``_components``), so a wide family (e.g. every date of a year) does not
       land in one task. Components are resolved in one streaming
       ``mapInPandas`` pass over rank-sorted partitions; its memory is the
       taken set of one component.
-    * The marked route table is checkpointed once (reliable, in
+    * The route table is checkpointed once (reliable, in
       ``spark.checkpoint.dir``) and read by all three branches; without it
       each branch would re-run the input scan and aggregation. Pass
       ``materialize=False`` only when ``df`` is already materialised.
       Nested rank columns are consumed by the sort and not passed on.
     """
-    fam = F.regexp_replace(F.col(path_col), FAMILY_PATTERN, "")
-    if scope:  # independent namespaces (sites): the family includes the scope
-        fam = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope], fam)
-    staged = df.withColumn("_family", fam).repartition("_family")
-    copies = F.count(F.lit(1)).over(Window.partitionBy("_family", path_col))
+    # Independent namespaces (sites): a null scope is a namespace of its own, and
+    # lengths keep neighbouring scopes apart. The path itself stays unscoped.
+    names = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+             for c in (F.col(x).cast("string") for x in scope or [])]
+    staged = df.withColumn("_scope", F.concat(F.lit(""), *names)).withColumn(
+        "_stem", F.regexp_replace(F.col(path_col), FAMILY_PATTERN, "")).withColumn("_family", F.concat("_scope", "_stem"))
     # The route table is read by all three branches and the component step:
     # materialise it once (reliable checkpoint in spark.checkpoint.dir; route
     # rows, not data rows) so the input scan and aggregation run once and a
     # lost executor recomputes from here.
-    w_fam = Window.partitionBy("_family")
-    marked = (
-        staged.withColumn("_copies", copies)
-        .withColumn("_dup_family", F.max("_copies").over(w_fam) > 1)
-        .withColumn("_one_path", F.min(path_col).over(w_fam) == F.max(path_col).over(w_fam))
-    )
     if materialize:
-        marked = checkpointed(marked)
+        staged = checkpointed(staged)
+    # Families are classified by partial aggregates and joined back, so a family
+    # with a large share of all routes is neither sorted nor held in one task.
+    paths = staged.groupBy("_family", path_col).agg(F.count(F.lit(1)).alias("_copies"))
+    families = paths.groupBy("_family").agg(
+        (F.max("_copies") > 1).alias("_dup_family"), (F.min(path_col) == F.max(path_col)).alias("_one_path"))
+    marked = staged.join(families, "_family")
     cols = list(df.columns)
     order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in zip(rank_cols, ascending)]
     nested = (T.StructType, T.ArrayType, T.MapType)
@@ -284,7 +287,7 @@ def disambiguate_paths(
     if materialize:
         # One pass over the materialised route rows says which branches have
         # work; branches without rows are left out of the plan.
-        need = marked.agg(
+        need = families.agg(
             F.max(F.col("_dup_family").cast("int")).alias("dup"),
             F.max((F.col("_dup_family") & ~F.col("_one_path")).cast("int")).alias("complex"),
         ).first()
@@ -302,9 +305,9 @@ def disambiguate_paths(
     if not need_complex:
         return result
 
-    dup = marked.filter(F.col("_dup_family") & ~F.col("_one_path")).drop("_copies", "_dup_family", "_one_path")
+    dup = marked.filter(F.col("_dup_family") & ~F.col("_one_path")).drop("_dup_family", "_one_path")
     comps = _components(dup, path_col)
-    keyed = dup.join(comps, ["_family", path_col]).drop("_family").withColumnRenamed("_comp", "_family")
+    keyed = dup.join(comps, ["_family", path_col]).withColumn("_family", F.concat("_scope", "_comp"))
     sorted_rows = (
         keyed.repartition("_family")
         .sortWithinPartitions(F.col("_family"), *order, F.col(path_col))
@@ -325,22 +328,21 @@ def route_rows(
     df: DataFrame,
     routes: DataFrame,
     route_columns: list[str],
-    max_dimensions: int = schemas.MAX_DIMENSIONS,
-    route_limit: int | None = None,
+    max_dimensions: int | None = None,
     site: str | None = None,
 ) -> DataFrame:
     """Every data row with the ``path`` of its route (flat membership table).
 
-    ``routes`` must come from ``build_routes(..., keep_keys=True)``. The route
-    side is broadcast only when ``route_limit`` (the cap it was built with)
-    bounds its size.
+    ``routes`` must come from ``build_routes(..., keep_keys=True)``. The join
+    strategy is left to table statistics and AQE. Without route columns no
+    row belongs to a route.
     """
     cols = pick_route_columns(df, route_columns, max_dimensions)
+    if not cols:
+        return df.withColumn("path", F.lit(None).cast("string")).limit(0)
     keys = [f"k{i}" for i in range(len(cols))] + ([site] if site else [])
     keyed = df.select("*", *route_keys(df, cols))
     side = routes.select("path", *keys)
-    if route_limit is not None and route_limit <= BROADCAST_ROUTE_LIMIT:
-        side = F.broadcast(side)
     joined = keyed.join(side, keys, "inner")
     return joined.drop(*[f"k{i}" for i in range(len(cols))])
 

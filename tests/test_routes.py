@@ -74,7 +74,9 @@ def test_sum_of_row_counts_equals_non_blank_rows(spark):
 
 def test_max_dimensions_and_requested_order(spark):
     df = _compliance(spark)
-    assert R.pick_route_columns(df, ["category", "nope", "city", "company"]) == ["category", "city"]
+    wanted = ["category", "nope", "city", "company"]
+    assert R.pick_route_columns(df, wanted, max_dimensions=2) == ["category", "city"]
+    assert R.pick_route_columns(df, wanted) == ["category", "city", "company"]  # a cap only when asked for
 
 
 def test_keys_come_from_sanitised_cells(spark):
