@@ -50,14 +50,17 @@ def flag_underperformers(
 
 
 def cap_flagged_pages(
-    flagged: DataFrame, partition: str, order_by: list[str], max_pages: int = schemas.MAX_FLAGGED_PAGES
+    flagged: DataFrame, partition: str, order_by: list[str], max_pages: int | None = None
 ) -> DataFrame:
-    """the first ``max_pages`` flagged pages per deployment in source order.
+    """the first ``max_pages`` flagged pages per deployment in source order; all without a cap.
 
     ``row_number() <= n`` lets Spark insert a per-partition group limit before
-    the shuffle, so a deployment holding most flagged pages ships at most n
-    rows per map task.
+    the shuffle while n is at most ``spark.sql.optimizer.windowGroupLimitThreshold``
+    (1000), so a deployment holding most flagged pages ships at most n rows per
+    map task. Beyond that threshold its rows are sorted in one task.
     """
+    if max_pages is None:
+        return flagged
     w = Window.partitionBy(partition).orderBy(*order_by)
     return flagged.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_pages).drop("_rn")
 
@@ -75,17 +78,20 @@ def deployment_sites(deployments: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def apply_rewrites(meta: DataFrame, flagged: DataFrame, answers: DataFrame, site: str = "site_id",
-                   seq: str = "seq") -> DataFrame:
+                   seq: str = "seq", key: list[str] | None = None) -> DataFrame:
     """Site meta ⟕ rewrite answers of its flagged pages.
 
     Several flagged pages of one site overwrite the site document in order:
     the last non-empty title / description / keyword list wins (Q9);
     ``optimized`` is true when any answer was applied. Sites without an answer
     keep their meta. ``answers``: ``site_id, seq, ok, title, description,
-    keywords``; ``meta``: ``site_id, title, description``.
+    keywords``; ``meta``: ``site_id, title, description``. ``key`` names the
+    columns that identify a flagged page where (site, seq) doesn't: two
+    deployments of one site repeat it, (deployment, page) is unique.
     """
+    key = key or [site, seq]
     ok = answers.filter(F.col("ok"))
-    per_site = ok.join(flagged.select(site, seq), [site, seq], "inner").groupBy(site).agg(
+    per_site = ok.join(flagged.select(*key).distinct(), key, "left_semi").groupBy(site).agg(
         F.max_by("title", F.when(F.col("title") != "", F.col(seq))).alias("new_title"),
         F.max_by("description", F.when(F.col("description") != "", F.col(seq))).alias("new_description"),
         F.max_by("keywords", F.when(F.size("keywords") > 0, F.col(seq))).alias("new_keywords"),
@@ -101,13 +107,25 @@ def apply_rewrites(meta: DataFrame, flagged: DataFrame, answers: DataFrame, site
     )
 
 
+def quoted(c: Column) -> Column:
+    """Text in single quotes, or in double quotes where it holds single ones only; backslashes are doubled."""
+    inner = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    double = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(inner, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def optimization_outcomes(capped: DataFrame, answers: DataFrame, meta: DataFrame, site: str = "site_id",
-                          seq: str = "seq") -> DataFrame:
+                          seq: str = "seq", key: list[str] | None = None) -> DataFrame:
     """Per flagged page outcome: ``meta_rewrite`` / ``meta_unavailable`` when an
-    answer exists (COMPLETED), ``failed`` (FAILED) otherwise."""
-    a = answers.select(site, seq, F.col("ok").alias("_ok"), F.col("title").alias("_title"))
+    answer exists (COMPLETED), ``failed`` (FAILED) otherwise, with the answer's
+    ``error`` as detail where ``answers`` has that column. ``key`` as in
+    ``apply_rewrites``."""
+    key = key or [site, seq]
+    problem = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
+    a = answers.select(*key, F.col("ok").alias("_ok"), F.col("title").alias("_title"), problem.alias("_error"))
     m = meta.select(site, F.lit(True).alias("_has_meta"))
-    j = capped.join(a, [site, seq], "left").join(m, site, "left")
+    j = capped.join(a, key, "left").join(m, site, "left")
     answered = F.coalesce(F.col("_ok"), F.lit(False))
     return j.select(
         *capped.columns,
@@ -115,6 +133,6 @@ def optimization_outcomes(capped: DataFrame, answers: DataFrame, meta: DataFrame
         .when(F.coalesce(F.col("_has_meta"), F.lit(False)), F.lit("meta_rewrite"))
         .otherwise(F.lit("meta_unavailable")).alias("action"),
         F.when(answered, F.lit("COMPLETED")).otherwise(F.lit("FAILED")).alias("status"),
-        F.when(answered & (F.col("_title") != ""), F.format_string("title=%s", F.col("_title")))
-        .when(answered, F.lit("no title returned")).alias("detail"),
+        F.when(answered & (F.col("_title") != ""), F.concat(F.lit("title="), quoted(F.col("_title"))))
+        .when(answered, F.lit("no title returned")).otherwise(F.col("_error")).alias("detail"),
     )

@@ -113,18 +113,21 @@ def apply_verdicts(
     """Pending opportunities ⟕ answers -> outcome rows.
 
     No or failed answer -> FAILED with the error; an answer failing validation
-    (enums, confidence in [0, 1], required fields) -> FAILED with the field
+    (enums, confidence in [0, 1], the layout an object) -> FAILED with the field
     messages; otherwise APPROVED iff confidence >= ``min_confidence`` else
     REJECTED. ``answers``: ``key, ok, result, error``.
     """
-    a = answers.select(F.col(key).alias("_k"), F.col("ok").alias("_ok"), F.col("result").alias("_r"),
-                       F.col("error").alias("_e"))
+    # An answer that landed more than once counts once: a good one before a failed one.
+    text = F.struct(F.coalesce("ok", F.lit(False)).alias("ok"), F.to_json("result").alias("r"), F.col("error").alias("e"))
+    a = answers.groupBy(F.col(key).alias("_k")).agg(F.max(text).alias("_a")).select(
+        "_k", F.col("_a.ok").alias("_ok"), F.parse_json("_a.r").alias("_r"), F.col("_a.e").alias("_e"))
     j = opportunities.join(a, F.col(key) == F.col("_k"), "left")
     r = F.col("_r")
     pattern = F.try_variant_get(r, "$.monetization_pattern", "string")
     layout = F.try_variant_get(r, "$.architectural_layout", "string")
     conf_kind = F.schema_of_variant(F.variant_get(r, "$.confidence", "variant"))
-    conf = F.try_variant_get(r, "$.confidence", "double")
+    # Absent, the confidence is 0.0 and the layout empty; an explicit null is neither.
+    conf = F.when(conf_kind.isNull(), F.lit(0.0)).otherwise(F.try_variant_get(r, "$.confidence", "double"))
     seo = F.variant_get(r, "$.seo_keyword_layout", "variant")
     problems = F.filter(F.array(
         F.when(pattern.isNull() | ~pattern.isin(*schemas.MONETIZATION_PATTERNS),
@@ -132,12 +135,13 @@ def apply_verdicts(
                      "or 'premium_cpc'")),
         F.when(layout.isNull() | ~layout.isin(*schemas.TEMPLATE_TYPES),
                F.lit("architectural_layout: Input should be 'directory' or 'calculator'")),
-        F.when(conf_kind.isNull(), F.lit(f"confidence: {schemas.MSG_REQUIRED}"))
+        F.when(conf_kind.isNull(), F.lit(None))
         .when(conf.isNull() | ~conf_kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*|STRING)$"),
               F.lit(f"confidence: {schemas.MSG_NUMBER}"))
         .when(F.isnan(conf) | (conf < 0), F.lit(f"confidence: {schemas.MSG_GE.format(0)}"))
         .when(conf > 1, F.lit(f"confidence: {schemas.MSG_LE.format(1)}")),
-        F.when(seo.isNull(), F.lit(f"seo_keyword_layout: {schemas.MSG_REQUIRED}")),
+        F.when(~F.schema_of_variant(seo).startswith("OBJECT"),
+               F.lit("seo_keyword_layout: Input should be a valid dictionary")),
     ), lambda e: e.isNotNull())
     answered = F.coalesce(F.col("_ok"), F.lit(False))
     error = (

@@ -208,7 +208,7 @@ def rewrites_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     "CASE WHEN NOT coalesce(a.ok, false) THEN 'failed' "
     "     WHEN m.site_id IS NOT NULL THEN 'meta_rewrite' ELSE 'meta_unavailable' END AS action, "
     "CASE WHEN coalesce(a.ok, false) THEN 'COMPLETED' ELSE 'FAILED' END AS status, "
-    "CASE WHEN coalesce(a.ok, false) AND a.title <> '' THEN 'title=' || a.title "
+    "CASE WHEN coalesce(a.ok, false) AND a.title <> '' THEN 'title=''' || a.title || '''' "
     "     WHEN coalesce(a.ok, false) THEN 'no title returned' END AS detail "
     "FROM fl f LEFT JOIN ans a ON a.site_id = f.deployment_id AND a.seq = f.k "
     "LEFT JOIN meta m ON m.site_id = f.deployment_id WHERE f.rn <= 2",

@@ -167,14 +167,14 @@ def run_compile(
     out_dir: str,
     order_by: list[str],
     row_limit: int | None = None,
-    route_limit: int | None = schemas.MAX_ROUTES,
+    route_limit: int | None = None,
     site_id: int | None = None,
 ) -> dict[str, DataFrame]:
     """Approved evaluation + dataset -> rows, routes, membership, meta,
     sitemap, robots and route pages written under ``out_dir``; a
     site_generations row records the build.
 
-    ``row_limit=None`` routes the whole dataset (Q7); 500 gives parity.
+    All rows and routes are compiled; ``row_limit`` and ``route_limit`` cap them when given (Q7).
     """
     ev = _latest(spark, ledger, "evaluations").filter(F.col("id") == evaluation_id)
     opp = _latest(spark, ledger, "arbitrage_opportunities").select(
@@ -194,7 +194,7 @@ def run_compile(
     niche_title = spark.range(1).select(text.title_from(F.lit(e.niche_id)).alias("t")).first().t
     routes = R.build_routes(data, cols, niche_title, max_routes=route_limit, order_by=order_by, keep_keys=True)
     routes = checkpointed(routes)
-    members = R.route_rows(data, routes, cols, route_limit=route_limit) if cols else None
+    members = R.route_rows(data, routes, cols) if R.pick_route_columns(data, cols) else None
     W.write_rows(data, f"{out_dir}/rows")
     W.write_routes(routes, f"{out_dir}/routes", members)
     base = spark.range(1).select(text.canonical_base(F.lit(e.niche_id)).alias("b")).first().b
@@ -255,7 +255,7 @@ def run_deploy_records(spark: SparkSession, ledger: str) -> dict[str, DataFrame]
         F.xxhash64(F.lit("deployment"), "site_generation_id").alias("id"), "site_generation_id", "project_slug",
         # records only (no upload): a deterministic dry-run deployment id
         F.concat(F.lit("dryrun-"), F.substring(F.sha2(F.col("site_generation_id").cast("string"), 256), 1, 12))
-        .alias("hosting_deployment_id"),
+        .alias("cloudflare_deployment_id"),
         "live_url", F.lit("completed").alias("status"))
     L.append_ledger(_stamp_rows(done), ledger, "deployments")
     return {"plan": plan}
@@ -270,12 +270,12 @@ def run_optimize(
     meta: DataFrame,
     min_impressions: int = schemas.MIN_IMPRESSIONS,
     max_ctr: float = schemas.MAX_CTR,
-    max_pages: int = schemas.MAX_FLAGGED_PAGES,
+    max_pages: int | None = None,
     deployment_id: int | None = None,
 ) -> dict[str, DataFrame]:
     """P5: page metrics of completed deployments (or of one named deployment,
     whatever its status, Q16) -> analytics_logs append ->
-    flags (uncapped count) -> first ``max_pages`` per deployment -> rewrite
+    flags (uncapped count) -> per deployment all, or the first ``max_pages`` -> rewrite
     answers -> site meta rewrites + optimization rows.
 
     ``metrics``: ``deployment_id, page_path, impressions, clicks,
@@ -302,13 +302,16 @@ def run_optimize(
     answers = V.unwrap_agent_responses(answer_bodies)
     joined = capped.withColumn("request_id", V.request_id("optimize_content", F.col("_key"))).join(
         answers, "request_id", "left")
-    ans = joined.select("site_id", "seq", F.coalesce("ok", F.lit(False)).alias("ok"),
+    # (site, seq) repeats where two deployments serve one generation.
+    page = ["deployment_id", "page_path"]
+    ans = joined.select("site_id", "seq", *page, F.coalesce("ok", F.lit(False)).alias("ok"),
+                        F.when(F.col("ok").isNull(), F.lit("no answer")).otherwise(F.col("error")).alias("error"),
                         F.try_variant_get("result", "$.title", "string").alias("title"),
                         F.try_variant_get("result", "$.description", "string").alias("description"),
                         F.coalesce(F.try_variant_get("result", "$.keywords", "array<string>"),
                                    F.array().cast("array<string>")).alias("keywords"))
-    rewritten = TM.apply_rewrites(meta, capped.select("site_id", "seq"), ans)
-    outcomes = checkpointed(TM.optimization_outcomes(capped, ans, meta))
+    rewritten = TM.apply_rewrites(meta, capped, ans, key=page)
+    outcomes = checkpointed(TM.optimization_outcomes(capped, ans.drop("seq"), meta, key=page))
     opt = outcomes.select(
         F.xxhash64(F.lit("opt"), "deployment_id", "page_path").alias("id"), "deployment_id", "page_path",
         "impressions", "clicks", scalar.ctr("clicks", "impressions", 4).alias("ctr"), "action", "detail",

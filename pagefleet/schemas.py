@@ -94,7 +94,7 @@ LEDGER = {
     ),
     "dataset_profiles": _schema(
         ("id", L), ("source_dataset", S), ("source_path", S), ("row_count", L),
-        ("column_count", L), ("schema_profile", S), ("view_name", S),
+        ("column_count", L), ("schema_profile", S), ("duckdb_view", S),
         ("created_at", TS), ("updated_at", TS),
     ),
     "site_generations": _schema(
@@ -104,7 +104,7 @@ LEDGER = {
     ),
     "deployments": _schema(
         ("id", L), ("site_generation_id", L), ("project_slug", S),
-        ("hosting_project_id", S), ("hosting_deployment_id", S), ("live_url", S),
+        ("cloudflare_project_id", S), ("cloudflare_deployment_id", S), ("live_url", S),
         ("status", S), ("log_trace", S), ("created_at", TS), ("updated_at", TS),
     ),
     "arbitrage_opportunities": _schema(

@@ -71,7 +71,7 @@ def test_five_stages(spark, tmp_dir):
     assert plan.outcome == "COMPLETED" and plan.live_url == "https://b2b-chemical-compliance.pages.dev"
 
     dep_row = read_ledger(spark, ledger, "deployments").first()
-    assert dep_row.hosting_deployment_id.startswith("dryrun-")
+    assert dep_row.cloudflare_deployment_id.startswith("dryrun-")
     dep_id = dep_row.id
     site_id = read_ledger(spark, ledger, "site_generations").first().id
     metrics = spark.createDataFrame([(dep_id, "/", 1010, 5, 0, 0), (dep_id, "/directory", 240, 18, 4200, 1)],
