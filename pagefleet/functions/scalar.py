@@ -52,8 +52,9 @@ def ctr(clicks: ColumnOrName, impressions: ColumnOrName, digits: int | None = No
 
 
 def to_number(c: ColumnOrName) -> Column:
-    """A float, or 0.0 when absent or not numeric."""
-    return F.coalesce(_col(c).cast("string").try_cast("double"), F.lit(0.0))
+    """A finite float, or 0.0 when absent, not numeric, NaN or infinite."""
+    x = _col(c).cast("string").try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x).otherwise(F.lit(0.0))
 
 
 def cents_to_usd(c: ColumnOrName) -> Column:

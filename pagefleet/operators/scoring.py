@@ -78,7 +78,12 @@ def _extract(v: Column, name: str) -> list[Column]:
         .when(k == "STRING", F.trim(text).try_cast("double"))
         .when(k.isin(*_INT_TYPES, "DOUBLE", "FLOAT") | k.startswith("DECIMAL"), raw)
     )
-    return [k.alias(f"_k_{name}"), text.alias(f"_s_{name}"), num.alias(f"_d_{name}")]
+    whole = (  # exact beyond 2^53; null where no 64-bit integer holds it
+        F.when(k.isin(*_INT_TYPES), F.try_variant_get(v, f"$.{name}", "bigint"))
+        .when(k == "STRING", F.trim(text).try_cast("bigint"))
+        .otherwise(num.try_cast("bigint"))
+    )
+    return [k.alias(f"_k_{name}"), text.alias(f"_s_{name}"), num.alias(f"_d_{name}"), whole.alias(f"_i_{name}")]
 
 
 def _int_error(name: str) -> Column:
@@ -170,13 +175,15 @@ def validate_candidates(df: DataFrame, candidate: str = "candidate") -> DataFram
             val = _s(name)
             errors.append(one(name, _str_error(name, kind == "str_req")))
         elif kind == "int":
-            val = F.when(present, _d(name).cast("long")).otherwise(F.lit(default).cast("long"))
+            val = F.when(present, F.col(f"_i_{name}")).otherwise(F.lit(default).cast("long"))
             err = _int_error(name)
             if name in RANGES:
-                err = F.coalesce(err, _range_error(val.cast("double"), *RANGES[name]))
+                given = F.when(present, _d(name)).otherwise(F.lit(float(default)))
+                err = F.coalesce(err, _range_error(F.coalesce(val.cast("double"), given), *RANGES[name]))
+            err = F.coalesce(err, F.when(present & val.isNull(), F.lit(schemas.MSG_INT)))
             errors.append(one(name, err))
             if name == "keyword_difficulty":
-                val = val.cast("int")
+                val = val.try_cast("int")
         elif kind == "float":
             val = F.when(present, _d(name)).otherwise(F.lit(float(default)))
             err = _float_error(name)
@@ -191,7 +198,7 @@ def validate_candidates(df: DataFrame, candidate: str = "candidate") -> DataFram
             errors.append(one(name, _enum_error(name)))
         typed.append(val.alias(name))
     all_errors = F.filter(F.flatten(F.array(*errors)), lambda e: e.isNotNull())
-    temp = [f"_{p}_{name}" for name, _, _ in FIELDS for p in "ksd"]
+    temp = [f"_{p}_{name}" for name, _, _ in FIELDS for p in "ksdi"]
     return extracted.select(*[F.col(c) for c in df.columns], *typed, all_errors.alias("errors")).drop(*temp)
 
 
@@ -339,9 +346,9 @@ def representative_keyword(rows: DataFrame, key: str = "niche_id") -> DataFrame:
     return best.select(
         key,
         F.col("b.keyword").alias("keyword"),
-        F.col("b.v").cast("long").alias("estimated_monthly_volume"),
+        F.col("b.v").try_cast("long").alias("estimated_monthly_volume"),
         scalar.cents_to_usd(F.col("b.c")).alias("average_cpc"),
-        F.col("b.d").cast("long").alias("keyword_difficulty"),
+        F.col("b.d").try_cast("long").alias("keyword_difficulty"),
     )
 
 

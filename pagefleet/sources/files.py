@@ -38,8 +38,8 @@ def open_dataset(spark: SparkSession, path: str, schema: T.StructType | str | No
     """A1: open a CSV/TSV/JSON/NDJSON/Parquet file (or folder) by its suffix.
 
     CSV/TSV infer the schema unless one is given (inference is an extra pass;
-    supply ``schema`` for large inputs). ``.json`` accepts an array document or
-    line-delimited records, ``.ndjson`` is line-delimited only.
+    supply ``schema`` for large inputs). Each ``.json`` file is line-delimited
+    records, an array document or one object; ``.ndjson`` is line-delimited only.
     """
     kind = reader_for(path)
     reader = spark.read
@@ -50,13 +50,27 @@ def open_dataset(spark: SparkSession, path: str, schema: T.StructType | str | No
     if kind == "ndjson":
         return reader.json(path)
     if kind == "json":
-        # An array document needs multiLine; line-delimited records do not.
-        first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-        multi = bool(first) and first[0][0].lstrip().startswith("[")
-        return reader.option("multiLine", multi).json(path)
+        return _read_json(spark, reader, path)
     return reader.parquet(path)
 
 
+def _read_json(spark: SparkSession, reader, path: str) -> DataFrame:
+    """Each file by its own form: line-delimited if its first line is a whole
+    object, else one document (an array of records, or a pretty-printed object)."""
+    line = F.regexp_replace("value", "^[\ufeff\\s]+|\\s+$", "")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), line.alias("line"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")).where("line != ''")
+    kind = F.schema_of_variant(F.try_parse_json(F.min_by("line", "at")))
+    # One row per file, as many as a listing holds.
+    files = lines.groupBy("file").agg(F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("by_line")).collect()
+    parts = [reader.option("multiLine", not by_line).json(sorted(f["file"] for f in files if f["by_line"] is by_line))
+             for by_line in (True, False) if any(f["by_line"] is by_line for f in files)]
+    if not parts:
+        return reader.json(path)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
 def register_dataset(spark: SparkSession, name: str, path: str) -> str:
     """A2: expose a file as a named, replaceable temporary view."""
     if not _IDENTIFIER.match(name or ""):

@@ -163,7 +163,8 @@ def parse_rum_groups(raw: DataFrame, value: str = "value", keep: list[str] | Non
                      .alias("group_pos", "g"))
 
     def num(c: Column) -> Column:
-        return F.coalesce(c.try_cast("double"), F.lit(0.0)).cast("long")
+        x = c.try_cast("double")  # NaN, and what no 64-bit integer holds, count as missing
+        return F.coalesce(F.when(~F.isnan(x), x).try_cast("long"), F.lit(0).cast("long"))
 
     return grp.select(
         *keep, "group_pos",
@@ -174,6 +175,17 @@ def parse_rum_groups(raw: DataFrame, value: str = "value", keep: list[str] | Non
     )
 
 
+def parse_rum_errors(raw: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Analytics payloads that carry ``errors`` or don't parse -> ``error``, one row per payload.
+
+    Such a payload has no groups, so its source failed rather than being idle.
+    """
+    errors = F.from_json(F.col(value), "errors array<struct<message: string>>")["errors"]
+    told = F.array_join(F.transform(errors, lambda e: F.coalesce(e["message"], F.lit("unknown error"))), "; ")
+    error = F.when(F.try_parse_json(F.col(value)).isNull(), F.lit("payload is not JSON")).when(F.size(errors) > 0, told)
+    return raw.select(*(keep or []), error.alias("error")).where(F.col("error").isNotNull())
+
+
 def read_site_meta(spark: SparkSession, path: str) -> DataFrame:
     """Existing site meta documents ``site_path, meta``; unreadable -> ``{}``."""
     docs = _documents(spark, path)
