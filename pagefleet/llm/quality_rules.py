@@ -33,31 +33,25 @@ from pagefleet.llm.common import SPACES
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject where ``value > cutoff * scale`` (``above``) or ``value < cutoff * scale``."""
+    """Reject where ``value > cutoff * scale`` (``sign`` ">") or ``value < cutoff * scale``; SQL over the statistics."""
 
     name: str
-    value: Callable[[], Column]
-    scale: Callable[[], Column]
+    value: str
+    scale: str
     cutoffs: tuple[int, ...]
-    above: bool = True
+    sign: str = ">"
 
-    def rejects(self, cutoff) -> Column:
-        cutoff = cutoff if isinstance(cutoff, Column) else F.lit(cutoff)
-        edge = cutoff.cast("long") * self.scale()
-        return self.value() > edge if self.above else self.value() < edge
-
-
-def _col(name: str, factor: int = 1) -> Callable[[], Column]:
-    return lambda: F.col(name) * factor
+    def rejects(self, cutoff: int | str) -> str:
+        return f"{self.value} {self.sign} {cutoff} * {self.scale}"
 
 
 #: Whole-number ratios, so that every engine compares alike. Percentages but for the word lengths (tenths of a letter).
 RULES = (
-    Rule("symbols", _col("n_symbols", 100), _col("n_words"), (300, 200, 150, 100, 75, 50, 40, 30, 25, 20, 15, 10)),
-    Rule("duplicate_lines", _col("n_dup_lines", 100), _col("n_lines"), (90, 80, 70, 60, 50, 40, 30, 25, 20)),
-    Rule("repeated_words", _col("n_repeat_words", 100), _col("n_words"), (50, 45, 40, 35, 30, 25, 20, 15)),
-    Rule("long_words", _col("word_chars", 10), _col("n_words"), (300, 200, 150, 120, 110, 100)),
-    Rule("short_words", _col("word_chars", 10), _col("n_words"), (10, 15, 20, 25, 30), above=False),
+    Rule("symbols", "100 * n_symbols", "n_words", (300, 200, 150, 100, 75, 50, 40, 30, 25, 20, 15, 10)),
+    Rule("duplicate_lines", "100 * n_dup_lines", "n_lines", (90, 80, 70, 60, 50, 40, 30, 25, 20)),
+    Rule("repeated_words", "100 * n_repeat_words", "n_words", (50, 45, 40, 35, 30, 25, 20, 15)),
+    Rule("long_words", "10 * word_chars", "n_words", (300, 200, 150, 120, 110, 100)),
+    Rule("short_words", "10 * word_chars", "n_words", (10, 15, 20, 25, 30), "<"),
 )
 STRATA = ("en", "de", "fr", "es")
 OTHER = "other"
@@ -147,24 +141,25 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 def thresholds(labelled: DataFrame, rules: tuple[Rule, ...] = RULES, strata: tuple[str, ...] = STRATA,
                total_risk: float = 0.05, error: float = 0.05, price: int = 10) -> DataFrame:
-    """One row per stratum with labels: the chosen cutoff of each rule (null: none proven).
+    """One row per stratum with a proven cutoff: the chosen one of each rule (null: none proven).
 
     ``labelled`` has the statistics, ``stratum`` and ``good`` of the labelled
     documents. At most ``len(strata) + 1`` rows come back.
     """
     risk, level = total_risk / len(rules), error / (len(rules) * (len(strata) + 1))
     # A filter on base_failed would be pushed down and compute the statistics again.
-    of = {"good": ~F.col("base_failed") & F.col("good"), "bad": ~F.col("base_failed") & ~F.col("good")}
-    counts = [F.count(F.when(r.rejects(c) & of[name], 1)).alias(f"{r.name}_{c}_{name}")
-              for r in rules for c in r.cutoffs for name in of]
-    counted = labelled.groupBy("stratum").agg(F.count(F.when(of["good"], 1)).alias("n"), *counts)
-    picks = []
-    for r in rules:
-        proven = [F.when(binomial_tail(F.col(f"{r.name}_{c}_good"), F.col("n"), risk) <= level, F.struct(
-            (F.col(f"{r.name}_{c}_bad") - price * F.col(f"{r.name}_{c}_good")).alias("gain"),
-            F.lit(-i).alias("lenience"), F.lit(c).cast("long").alias("cut"))) for i, c in enumerate(r.cutoffs)]
-        picks.append(F.array_max(F.array_compact(F.array(*proven))).getField("cut").alias(f"cut_{r.name}"))
-    return counted.select("stratum", *picks)
+    counts = [F.expr(f"count_if({r.rejects(c)} AND NOT base_failed AND {of}) AS {r.name}_{c}_{name}")
+              for r in rules for c in r.cutoffs for name, of in (("good", "good"), ("bad", "NOT good"))]
+    counted = labelled.groupBy("stratum").agg(F.expr("count_if(good AND NOT base_failed) AS n"), *counts)
+    # One row per stratum, rule and cutoff, so that the test is one expression.
+    each = ", ".join(f"struct('{r.name}' AS rule, {-i} AS lenience, {c}L AS cut, {r.name}_{c}_good AS k, {r.name}_{c}_bad AS bad)"
+                     for r in rules for i, c in enumerate(r.cutoffs))
+    tests = counted.selectExpr("stratum", "n", f"inline(array({each}))")
+    proven = tests.where(binomial_tail(F.col("k"), F.col("n"), risk) <= level)
+    best = proven.groupBy("stratum", "rule").agg(
+        F.max(F.struct((F.col("bad") - price * F.col("k")).alias("gain"), "lenience", "cut")).getField("cut").alias("cut"))
+    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r.name, F.col("cut"))).alias(f"cut_{r.name}")
+                                         for r in rules))
 
 
 def judged(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, stratum: str = "lang",
@@ -184,10 +179,8 @@ def judged(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES,
     cuts = thresholds(own.join(good, "doc_id"), rules, strata, total_risk, error, price)
     # At most len(strata) + 1 rows.
     rows = rows.join(F.broadcast(cuts), "stratum", "left")
-    rejected = F.lit(False)
-    for r in rules:
-        rejected = rejected | F.coalesce(r.rejects(F.col(f"cut_{r.name}")), F.lit(False))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    rejected = " OR ".join(f"coalesce({r.rejects(f'cut_{r.name}')}, false)" for r in rules)
+    return rows.withColumn("kept", F.expr(f"NOT base_failed AND NOT ({rejected})"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -199,14 +192,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def oracle_sql(rules: tuple[Rule, ...] = RULES, strata: tuple[str, ...] = STRATA, total_risk: float = 0.05,
                error: float = 0.05, price: int = 10) -> str:
     """The same verdicts in DuckDB's SQL."""
-    ratio = {"symbols": ("100 * n_symbols", "n_words"), "duplicate_lines": ("100 * n_dup_lines", "n_lines"),
-             "repeated_words": ("100 * n_repeat_words", "n_words"), "long_words": ("10 * word_chars", "n_words"),
-             "short_words": ("10 * word_chars", "n_words")}
     risk, level = total_risk / len(rules), error / (len(rules) * (len(strata) + 1))
-    sign = {r.name: ">" if r.above else "<" for r in rules}
     grid = ", ".join(f"('{r.name}', {i}, {c})" for r in rules for i, c in enumerate(r.cutoffs))
-    beyond = lambda cut: " OR ".join(
-        f"(rule = '{n}' AND {a} {sign[n]} {cut} * {b})" for n, (a, b) in ratio.items() if n in sign)
+    beyond = lambda cut: " OR ".join(f"(rule = '{r.name}' AND {r.rejects(cut)})" for r in rules)
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text,
        CASE WHEN lang IN ({', '.join(f"'{s}'" for s in strata)}) THEN lang ELSE '{OTHER}' END AS stratum FROM documents),
