@@ -95,7 +95,7 @@ def _int_error(name: str) -> Column:
         .when(k == "STRING", F.when(~text.rlike(r"^[+-]?[0-9]+$"), F.lit(schemas.MSG_INT)))
         .when(k.isin("DOUBLE", "FLOAT") | k.startswith("DECIMAL"),
               F.when(F.isnan(d) | (F.abs(d) == float("inf")), F.lit(schemas.MSG_INT))
-              .when(d != F.floor(d), F.lit(schemas.MSG_INT_FRACTION)))
+              .when(d % 1 != 0, F.lit(schemas.MSG_INT_FRACTION)))  # floor would saturate
         .otherwise(F.lit(schemas.MSG_INT))
     )
 

@@ -7,3 +7,4 @@ from pagefleet.plans import page_queries  # noqa: F401
 from pagefleet.plans import agent_queries  # noqa: F401
 from pagefleet.plans import stream_queries  # noqa: F401
 from pagefleet.plans import stage_queries  # noqa: F401
+from pagefleet.plans import hostile_queries  # noqa: F401
