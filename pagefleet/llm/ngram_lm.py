@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pagefleet.llm.common import crc_bucket, spool
 
 #: Tokens of a block (one text may exceed it), and text bytes for each shard.
-BLOCK_TOKENS, SHARD_BYTES, LEAST_SHARDS = 400_000, 12_000_000, 64
+BLOCK_TOKENS, SHARD_BYTES, LEAST_SHARDS = 600_000, 12_000_000, 64
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ADD = 0.1
 
@@ -78,13 +78,19 @@ def grams(first: np.ndarray, starts: np.ndarray, order: int) -> list[tuple[np.nd
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Bytes by significance, so that the compression of a shuffle or file finds the empty ones."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+    """Compressed bytes, ordered by significance, so that the empty high ones cost nothing."""
+    import zstandard
+
+    data = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(data.tobytes())
 
 
 def from_planes(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
 def cuts(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -93,47 +99,61 @@ def cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def _blocks(order: int, bits: int):
-    """Rows of kind 0 (the block: its documents and word numbers) and kind n (n-gram keys of a shard with counts)."""
+def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole documents: their distinct word keys, and each place's word by its number among them."""
+    part, number, docs, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+    def block():
+        first, starts = sequence(texts)
+        keys, every = np.unique(first, return_inverse=True)
+        own = [(i, h, n) for (i, h), n in zip(docs, np.diff(starts).tolist())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([f"{part}-{number}"]), pa.array([planes(keys)], pa.binary()),
+             pa.array([planes(every.astype(np.uint32))], pa.binary()),
+             pa.array([own], pa.list_(pa.struct([("doc_id", pa.int64()), ("held", pa.bool_()), ("size", pa.int64())])))],
+            ["block", "a", "b", "docs"])
+
+    for batch in it:
+        for i, h, t in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("text")):
+            docs.append((i, h))
+            texts.append(t.as_py() or "")
+            size += len(texts[-1]) // 6 + 2
+            if size >= BLOCK_TOKENS:
+                yield block()
+                number, docs, texts, size = number + 1, [], [], 0
+    if docs:
+        yield block()
+
+
+def _read_block(row: dict, order: int) -> tuple[list[dict], np.ndarray, np.ndarray, list]:
+    """Documents, word keys, the documents' starts and the counted n-grams of a block."""
+    first = from_planes(row["a"], "<u8")[from_planes(row["b"], "<u4")]
+    starts = np.concatenate([[0], np.cumsum([d["size"] for d in row["docs"]])]).astype(np.int64)
+    return row["docs"], first, starts, grams(first, starts, order)
+
+
+def _requests(order: int, bits: int):
+    """A block's n-gram keys of each length and shard, with the counts of its training documents."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, ids, held, texts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
-
-        def block():
-            name = f"{part}-{number}"
-            first, starts = sequence(texts)
-            training = np.repeat(~np.array(held, dtype=bool), np.diff(starts))
-            counted = grams(first, starts, order)
-            rows = {"block": [name], "kind": [0], "shard": [0], "a": [planes(counted[0][0])],
-                    "b": [planes(counted[0][2].astype(np.uint32))]}
-            for n, (keys, _, every) in enumerate(counted, 1):
-                use = training & (every >= 0) & ((first != BEGIN) | (n > 1))
-                count = np.bincount(every[use], minlength=len(keys)).astype(np.uint32)
-                edge = cuts(keys, bits)
-                for shard in np.flatnonzero(np.diff(edge)).tolist():
-                    lo, hi = edge[shard], edge[shard + 1]
-                    rows["block"].append(name)
-                    rows["kind"].append(n)
-                    rows["shard"].append(shard)
-                    rows["a"].append(planes(np.diff(keys[lo:hi], prepend=np.uint64(0))))
-                    rows["b"].append(planes(count[lo:hi]))
-            docs = pa.array([list(zip(ids, held, np.diff(starts).tolist()))] + [None] * (len(rows["kind"]) - 1), pa.list_(
-                pa.struct([("doc_id", pa.int64()), ("held", pa.bool_()), ("size", pa.int64())])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rows["block"]), pa.array(rows["kind"], pa.int32()), pa.array(rows["shard"], pa.int32()),
-                 pa.array(rows["a"], pa.binary()), pa.array(rows["b"], pa.binary()), docs],
-                ["block", "kind", "shard", "a", "b", "docs"])
-
         for batch in it:
-            for i, h, t in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("text")):
-                ids.append(i)
-                held.append(h)
-                texts.append(t.as_py() or "")
-                size += len(texts[-1]) // 6 + 2
-                if size >= BLOCK_TOKENS:
-                    yield block()
-                    number, ids, held, texts, size = number + 1, [], [], [], 0
-        if ids:
-            yield block()
+            for row in batch.to_pylist():
+                docs, first, starts, counted = _read_block(row, order)
+                training = np.repeat(~np.array([d["held"] for d in docs], dtype=bool), np.diff(starts))
+                out: dict[str, list] = {k: [] for k in ("kind", "shard", "a", "b")}
+                for n, (keys, _, every) in enumerate(counted, 1):
+                    use = training & (every >= 0) & ((first != BEGIN) | (n > 1))
+                    count = np.bincount(every[use], minlength=len(keys)).astype(np.uint32)
+                    edge = cuts(keys, bits)
+                    for shard in np.flatnonzero(np.diff(edge)).tolist():
+                        lo, hi = edge[shard], edge[shard + 1]
+                        out["kind"].append(n)
+                        out["shard"].append(shard)
+                        out["a"].append(planes(np.diff(keys[lo:hi], prepend=np.uint64(0))))
+                        out["b"].append(planes(count[lo:hi]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"]] * len(out["kind"])), pa.array(out["kind"], pa.int32()),
+                     pa.array(out["shard"], pa.int32()), pa.array(out["a"], pa.binary()), pa.array(out["b"], pa.binary())],
+                    ["block", "kind", "shard", "a", "b"])
 
     return run
 
@@ -219,10 +239,7 @@ def _scores(order: int, tokens: int, vocabulary: int, prior: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for row in left.to_pylist():
-            distinct, every = from_planes(row["a"], "<u8"), from_planes(row["b"], "<u4")
-            docs = row["docs"]
-            starts = np.concatenate([[0], np.cumsum([d["size"] for d in docs])]).astype(np.int64)
-            counted = grams(distinct[every], starts, order)
+            docs, _, starts, counted = _read_block(row, order)
             answers = sorted(((r["kind"], r["shard"], r["totals"]) for r in right.to_pylist()), key=lambda r: r[:2])
             totals = [np.concatenate([from_planes(t, "<u8") for kind, _, t in answers if kind == n]).astype(np.float64)
                       for n in range(1, order + 1)]
@@ -254,12 +271,13 @@ def score(docs: DataFrame, order: int = 2, prior: float = 50.0, folds: int = 10,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_bucket("doc_id", folds) == held).alias("held"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(LEAST_SHARDS, -(-size // SHARD_BYTES)).bit_length() - 1
-    kinds = "block string, kind int, shard int, a binary, b binary, docs array<struct<doc_id: long, held: boolean, size: long>>"
-    asked = spool(rows.mapInArrow(_blocks(order, bits), kinds), "lm-blocks")
-    totals = spool(asked.where("kind > 0").drop("docs").groupBy("kind", "shard").applyInArrow(
+    blocks = spool(rows.mapInArrow(_blocks, "block string, a binary, b binary, "
+                                   "docs array<struct<doc_id: long, held: boolean, size: long>>"), "lm-blocks")
+    asked = blocks.mapInArrow(_requests(order, bits), "block string, kind int, shard int, a binary, b binary")
+    totals = spool(asked.groupBy("kind", "shard").applyInArrow(
         _totals, "block string, kind int, shard int, totals binary, tokens long, words long"), "lm-totals")
     n, v = totals.where("kind = 1").agg(F.sum("tokens"), F.sum("words")).first()
-    own = asked.where("kind = 0").select("block", "a", "b", "docs").groupBy("block")
+    own = blocks.groupBy("block")
     answers = totals.select("block", "kind", "shard", "totals").groupBy("block")
     found = own.cogroup(answers).applyInArrow(
         _scores(order, n or 0, v or 0, prior),
