@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagefleet.llm.common import crc_bucket
+from pagefleet.llm.common import crc_bucket, spool
 
 PASSAGE = 1024
 BUCKETS = 256
@@ -158,9 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     The sample is the first rows by a hash of the id among those whose
     crc32(doc_id) mod ``folds`` is not ``held``. Weights undo the even sample,
     so scores follow the share of label 1 among all labels of the training folds.
+    Labels of documents that ``docs`` doesn't hold count nowhere.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", folds) != held)) \
         .select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    known = spool(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "quality-labels")
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     picked = None
     for y in (0, 1):

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagefleet.llm.common import crc_bucket
+from pagefleet.llm.common import crc_bucket, spool
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside whole words (with a hyphen behind them).
@@ -123,12 +123,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     """Fit on at most ``positives`` toxic and ``unlabelled`` other documents, first by a hash of the id.
 
     Labels come only from rows whose crc32(doc_id) mod ``folds`` is not
-    ``held``; the prior is the share of toxic rows among them. Sampled
+    ``held`` and whose document ``docs`` holds; the prior is the share of toxic
+    rows among them. Sampled
     documents have at most ``longest`` characters, which bounds the driver's
     share; all documents are scored, however long.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", folds) != held)) \
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = spool(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "toxicity-labels")
     total = known.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     toxic = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id", "y")
     texts = docs.select("doc_id", "text").where(F.length("text") <= longest)

@@ -78,3 +78,25 @@ def test_filtering_keeps_columns(spark):
     net = quality_mil.GatedAttention.fit([], np.zeros(0, np.float32), np.zeros(0, np.float32))
     kept = quality_mil.keep_good(docs, net)
     assert kept.columns == docs.columns and kept.count() == docs.count()  # a constant score of one half
+
+
+def labelled_documents(spark, label):
+    """240 documents, every sixth with label 1 for toxic (0 for quality), and labels of 3000 documents that are not there."""
+    words = lambda i, k: " ".join(f"w{(i * 7 + j * j) % 83}x" for j in range(k))
+    rows = [(i, f"{i} " + words(i, 30) + (" idiot" * 3 if i % 6 == 0 else "")) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = 1 if label == "toxic" else 0
+    labels = spark.createDataFrame([(i, marked if i % 6 == 0 else 1 - marked) for i, _ in rows], f"doc_id long, {label} int")
+    gone = spark.range(10_000, 13_000).select(F.col("id").alias("doc_id"), F.lit(marked).alias(label))
+    return docs, labels, labels.unionByName(gone)
+
+
+def test_labels_without_documents_change_no_fit(spark):
+    docs, labels, more = labelled_documents(spark, "quality")
+    few, many = (quality_mil.train(docs, known, per_class=20) for known in (labels, more))
+    assert few.p["c"].any()  # not the constant score
+    for name in few.p:
+        np.testing.assert_allclose(few.p[name], many.p[name], atol=1e-5)
+    docs, labels, more = labelled_documents(spark, "toxic")
+    few, many = (toxicity_pu.train(docs, known, positives=25) for known in (labels, more))
+    assert few.weights and few.weights == pytest.approx(many.weights) and few.bias == pytest.approx(many.bias)
