@@ -80,12 +80,20 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between magic lines: ``file, block, seq, value``, in the order of the file within (block, seq)."""
+    """What lies between magic lines: ``file, block, seq, value``, in the order of the file within (block, seq).
+
+    Blocks and numbers hold for one read only: they follow how files are packed into partitions.
+    """
     return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"), "value")
 
 
+def _mark() -> Column:
+    """What tells a piece by its content, alike in every read."""
+    return F.unhex(F.sha2(F.col("value").cast("binary"), 256)).alias("mark")
+
+
 def _field(name: str) -> Column:
     found = F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)", 1)
     return F.when(found != "", found)
@@ -104,7 +112,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         (F.octet_length("head") + 4).cast("long").alias("body"), _field("Content-Length").try_cast("long").alias("n"),
         _field("WARC-Type").alias("type"), _field("WARC-Record-ID").alias("record"), _field("WARC-Refers-To").alias("refers"),
         _field("X-Page-ID").try_cast("long").alias("page_id"), _field("X-Refers-To-Page").try_cast("long").alias("refers_page"),
-        raw.alias("raw"))
+        raw.alias("raw"), _mark())
     whole = (F.col("n") >= 0) & (F.col("size") >= F.col("body") + F.col("n"))
     payload = F.expr("substring(raw, cast(body + 1 AS int), cast(n AS int))")
     rows = rows.withColumn("digest", F.when(whole, base32_sha1(payload))).drop("raw")
@@ -153,8 +161,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     kept = spool(reachable(found), "warc-records")
     # Records whose payload holds the magic: put their pieces together again.
     split = kept.where("digest IS NULL").select("file", F.col("at").alias("start"), "next", "body", "n")
-    parts = found.select("file", "seq", "at").join(split, "file").where("at >= start AND at < next")
-    texts = parts.join(_pieces(spark, path).select("file", "seq", "value"), ["file", "seq"])
+    parts = spool(found.select("file", "mark", "at").join(split, "file").where("at >= start AND at < next"), "warc-parts")
+    # A second read meets the first by content: equal marks are equal pieces, whatever task read them.
+    values = _pieces(spark, path).select("value", _mark()).join(parts.select("mark").distinct(), "mark", "left_semi") \
+        .groupBy("mark").agg(F.first("value").alias("value"))
+    texts = parts.join(values, "mark")
     joined = texts.groupBy("file", "start").agg(
         F.concat_ws(MAGIC, F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])).alias("v"),
         F.first("body").alias("body"), F.first("n").alias("n"))

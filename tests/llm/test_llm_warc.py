@@ -50,3 +50,30 @@ def test_round_trip(spark, compression, split, least):
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archived_pages(none).count() == 0
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_reads_packed_differently(spark, monkeypatch, compression):
+    """Between the two reads of the archives, other partitions are made of the same files."""
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").coalesce(1)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    joined = "spark.sql.adaptive.coalescePartitions.enabled"
+    before, reachable = {k: spark.conf.get(k, None) for k in (*names, joined)}, warc.reachable
+
+    def repacked(found):
+        kept = reachable(found)
+        for k, v in zip(names, ("2500", "1", "64")):
+            spark.conf.set(k, v)
+        return kept
+
+    monkeypatch.setattr(warc, "reachable", repacked)
+    try:
+        spark.conf.set(joined, "false")  # several files
+        path = warc.write_archives(pages, scratch_dir(spark, "warc-test"), compression=compression)
+        for k, v in zip(names, ("128m", "4m", "1")):
+            spark.conf.set(k, v)
+        got = {(r.page_id, r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, path).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {r[:3] for r in brute(ROWS)}
