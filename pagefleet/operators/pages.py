@@ -144,7 +144,7 @@ def robots_txt(sites: DataFrame) -> DataFrame:
 
 
 def render_route_pages(routes: DataFrame, route_rows: DataFrame, columns: list[str], base: Column | str,
-                       order_by: str) -> DataFrame:
+                       order_by: str | list[str]) -> DataFrame:
     """Route pages as ordered HTML lines ``path, part, seq, line``.
 
     Head (title, description, canonical link, JSON-LD), the table header, one
@@ -152,8 +152,18 @@ def render_route_pages(routes: DataFrame, route_rows: DataFrame, columns: list[s
     text is HTML-escaped) and the closing lines. Row lines are produced by the
     rows themselves, so a route with a third of all rows is rendered by all
     tasks; ``part`` 0/1/2 = head/body/foot, ``seq`` (the row's ``order_by``
-    value for body lines) orders inside a part.
+    value for body lines) orders inside a part. One integer column gives a
+    long ``seq``; any other order a struct of all its columns, null in the
+    head and foot, behind the line number.
     """
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    fields = route_rows.select(*order).schema.fields
+    if [f.dataType.typeName() for f in fields] in (["byte"], ["short"], ["integer"], ["long"]):
+        line_seq, row_seq = (lambda i: i.cast("long")), F.col(order[0]).cast("long")
+    else:
+        line_seq = lambda i: F.struct(i.cast("long").alias("line"), *(
+            F.lit(None).cast(f.dataType).alias(f"o{k}") for k, f in enumerate(fields)))
+        row_seq = F.struct(F.lit(0).cast("long").alias("line"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(order)))
     b = F.lit(base) if isinstance(base, str) else base
     canonical = text.canonical_url(b, F.col("path"))
     ld = json_ld_route(F.col("title"), F.col("description"), F.col("row_count"))
@@ -174,13 +184,13 @@ def render_route_pages(routes: DataFrame, route_rows: DataFrame, columns: list[s
         F.lit(f"<table><thead><tr>{header_cells}</tr></thead><tbody>"),
     )
     head = routes.select("path", F.posexplode(head_lines).alias("_i", "line")).select(
-        "path", F.lit(0).alias("part"), F.col("_i").cast("long").alias("seq"), "line")
-    foot = routes.select("path", F.lit(2).alias("part"), F.lit(0).cast("long").alias("seq"),
+        "path", F.lit(0).alias("part"), line_seq(F.col("_i")).alias("seq"), "line")
+    foot = routes.select("path", F.lit(2).alias("part"), line_seq(F.lit(0)).alias("seq"),
                          F.lit("</tbody></table></body></html>").alias("line"))
     cells = [F.concat(F.lit("<td>"), text.html_escape(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))),
                       F.lit("</td>")) for c in columns]
     body = route_rows.select(
-        "path", F.lit(1).alias("part"), F.col(order_by).cast("long").alias("seq"),
+        "path", F.lit(1).alias("part"), row_seq.alias("seq"),
         F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("line"),
     )
     return head.unionByName(body).unionByName(foot)

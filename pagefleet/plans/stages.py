@@ -225,8 +225,8 @@ def run_compile(
                                   F.lit(e.target_dataset_url or "").alias("description"), "base")
     W.write_lines(P.render_index_pages(routes.select(F.lit("site").alias("site"), "path", "title", "row_count"),
                                        index_site), f"{out_dir}/index", "site", ["part", "rank_key", "path_key"])
-    if members is not None and len(order_by) == 1:
-        pages = P.render_route_pages(routes, members, data.columns, base, order_by[0])
+    if members is not None:
+        pages = P.render_route_pages(routes, members, data.columns, base, order_by)
         W.write_lines(pages, f"{out_dir}/pages", "path", ["part", "seq"])
     gen = spark.range(1).select(
         F.lit(site).cast("long").alias("id"), F.lit(evaluation_id).cast("long").alias("evaluation_id"),

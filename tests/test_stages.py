@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+from pathlib import Path
+from urllib.parse import unquote
 
+import pytest
 from pyspark.sql import functions as F
 
+from pagefleet.operators import ledger as L
 from pagefleet.operators import verdicts as V
 from pagefleet.plans import stages as ST
 from pagefleet.sources import payloads as PL
@@ -94,3 +98,27 @@ def test_five_stages(spark, tmp_dir):
     assert counts["opportunities"] == 1 and counts["deployments"] == 1 and counts["optimizations"] == 1
     rev = dash["revenue"].first()
     assert (rev.impressions, rev.clicks, rev.revenue_usd) == (1250, 23, 42.0)
+
+
+@pytest.mark.parametrize("order_by", [["penalty_usd", "company"], ["company"], ["violations", "penalty_usd", "company"], []])
+def test_route_pages_for_any_order(spark, tmp_dir, order_by):
+    ledger, names = f"{tmp_dir}/ledger", ["company", "city", "category", "violations", "penalty_usd"]
+    L.append_ledger(spark.createDataFrame(
+        [(1, 2, "directory", ["city", "category"], "approved", 0.8)],
+        "id long, opportunity_id long, template_type string, seo_high_volume_columns array<string>, verdict string, "
+        "confidence double").withColumn("updated_at", F.current_timestamp()), ledger, "evaluations")
+    L.append_ledger(spark.createDataFrame([(2, "niche")], "id long, niche_id string").withColumn(
+        "updated_at", F.current_timestamp()), ledger, "arbitrage_opportunities")
+    data = spark.createDataFrame(COMPLIANCE, "company string, city string, category string, violations long, penalty_usd long")
+    comp = ST.run_compile(spark, ledger, 1, data, f"{tmp_dir}/site", order_by=order_by)
+    want: dict = {}
+    for row in sorted(COMPLIANCE, key=lambda r: [r[names.index(c)] for c in order_by]):
+        want.setdefault(row[1:3], []).append(row[0])
+    routes = {r.path: (r.params["city"], r.params["category"]) for r in comp["routes"].collect()}
+    got = {}
+    for folder in Path(f"{tmp_dir}/site/pages").glob("path=*"):
+        lines = [x for f in sorted(folder.glob("part-*")) for x in f.read_text().splitlines()]
+        assert lines[0] == "<!doctype html>" and lines[-1] == "</tbody></table></body></html>"
+        rows = [x.split("</td>")[0].removeprefix("<tr><td>") for x in lines if x.startswith("<tr>")]
+        got[routes[unquote(folder.name.removeprefix("path="))]] = rows if order_by else sorted(rows)
+    assert got == {k: v if order_by else sorted(v) for k, v in want.items() if k in routes.values()} and len(got) == len(routes)
