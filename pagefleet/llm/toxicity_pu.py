@@ -118,30 +118,53 @@ def _feature_lists(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found)], ["y", "words"])
 
 
+def _only(names: set[str]):
+    """The feature lists with the named features alone."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = ["\n".join(w for w in x.as_py().split("\n") if w in names) for x in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.string()), batch.column("h")],
+                                             ["y", "words", "h"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = 3000, unlabelled: int = 8000,
-          folds: int = 4, held: int = 2, longest: int = 200_000, seed: int = 7) -> PuClassifier:
+          folds: int = 4, held: int = 2, least: int = 5, seed: int = 7) -> PuClassifier:
     """Fit on at most ``positives`` toxic and ``unlabelled`` other documents, first by a hash of the id.
 
     Labels come only from rows whose crc32(doc_id) mod ``folds`` is not
     ``held`` and whose document ``docs`` holds; the prior is the share of toxic
-    rows among them. Sampled
-    documents have at most ``longest`` characters, which bounds the driver's
-    share; all documents are scored, however long.
+    rows among them. Sampled documents count whole, however long: the driver
+    gets only those of their features that tell, which Spark counts.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", folds) != held)) \
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = spool(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "toxicity-labels")
     total = known.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     toxic = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id", "y")
-    texts = docs.select("doc_id", "text").where(F.length("text") <= longest)
+    texts = docs.select("doc_id", "text")
     # At most `positives` ids.
     p = texts.join(F.broadcast(toxic), "doc_id").select("y", "text")
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
     u = texts.join(F.broadcast(ids.distinct()), "doc_id").select(F.lit(0).alias("y"), "text")
-    take = lambda df, n: [set(r["words"].split("\n")) - {""} for r in df.mapInArrow(
-        _feature_lists, "y int, words string").orderBy(F.xxhash64("words")).limit(n).collect()]
+    sample = spool(p.unionByName(u).mapInArrow(_feature_lists, "y int, words string").select(
+        "y", "words", F.xxhash64("words").alias("h"), F.monotonically_increasing_id().alias("uid")), "toxicity-sample")
+    # A repeated id brings all its rows; at most positives + unlabelled of them stay.
+    first = lambda y, n: sample.where(F.col("y") == y).select("uid", "y").orderBy("h", "uid").limit(n)
+    kept = spool(first(1, positives).unionByName(first(0, unlabelled)), "toxicity-kept")
+    size = {r["y"]: r["count"] for r in kept.groupBy("y").count().collect()}
+    sample = sample.join(F.broadcast(kept.select("uid")), "uid", "left_semi")
+    # As telling() has it.
+    words = sample.select("y", F.explode(F.split("words", "\n")).alias("w")).where("w != ''").groupBy("w").agg(
+        F.sum("y").alias("n"), F.count_if(F.col("y") == 0).alias("u"))
+    e = (F.col("u") + 1) * (size.get(1, 0) / max(1, size.get(0, 0)))
+    names = {r["w"] for r in words.where((F.col("n") >= least) & (F.col("n") - e >= 4 * F.sqrt(e) + 2)).select("w").collect()}
+    rows = sample.select("y", "words", "h").mapInArrow(_only(names), "y int, words string, h long").collect()
+    take = lambda y: [set(r["words"].split("\n")) - {""} for r in sorted(
+        (r for r in rows if r["y"] == y), key=lambda r: (r["h"], r["words"]))]
     prior = (total["toxic"] or 0) / total["n"] if total["n"] else 0.0
-    return PuClassifier.fit(take(p, positives), take(u, unlabelled), prior, seed=seed)
+    return PuClassifier.fit(take(1), take(0), prior, least=least, seed=seed)
 
 
 def _scorer(weights: dict[str, float], bias: float):

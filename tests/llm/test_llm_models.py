@@ -100,3 +100,10 @@ def test_labels_without_documents_change_no_fit(spark):
     docs, labels, more = labelled_documents(spark, "toxic")
     few, many = (toxicity_pu.train(docs, known, positives=25) for known in (labels, more))
     assert few.weights and few.weights == pytest.approx(many.weights) and few.bias == pytest.approx(many.bias)
+
+
+def test_long_documents_teach_toxicity(spark):
+    docs, labels, _ = labelled_documents(spark, "toxic")
+    long = docs.withColumn("text", F.concat("text", F.expr("repeat(' ', 250000)")))
+    short, many = (toxicity_pu.train(d, labels) for d in (docs, long))
+    assert short.weights and many.weights == short.weights and many.bias == short.bias
