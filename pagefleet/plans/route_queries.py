@@ -25,17 +25,15 @@ def customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# First appearance of a word = (doc_id, position in the doc), packed into one
-# long so the route aggregate stays a hash aggregate: positions stay below
-# 2**20 words per document, doc ids below 2**43.
+# First appearance of a word = (doc_id, position in the doc). The oracle packs both
+# into one long, which holds up to 2**20 words per document and doc ids below 2**43.
 POS_BITS = 20
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document (whole texts), with its position."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    words = docs.select("doc_id", F.posexplode(F.split("text", WORD_SPLIT)).alias("pos", "word"))
-    return words.withColumn("first_key", F.col("doc_id") * (1 << POS_BITS) + F.col("pos"))
+    return docs.select("doc_id", F.posexplode(F.split("text", WORD_SPLIT)).alias("pos", "word"))
 
 
 _GEO_CTE = """
@@ -136,7 +134,7 @@ def word_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 + F1 over every word of every document: case and punctuation variants
     of a word share a slug, so paths collide and are disambiguated."""
     words = document_words(spark, sf_dir)
-    routes = R.build_routes(words, ["word"], "Document Words", max_routes=None, order_by=["first_key"])
+    routes = R.build_routes(words, ["word"], "Document Words", max_routes=None, order_by=["doc_id", "pos"])
     return routes.select("path", "title", "description", "row_count")
 
 

@@ -183,3 +183,12 @@ def test_large_component_is_exact(spark):
         seen.add(c)
         want[i] = c
     assert got == want
+
+
+def test_words_past_a_million_come_before_the_next_document(spark, tmp_dir):
+    from pagefleet.plans.route_queries import word_routes
+
+    docs = [(1, "x " * ((1 << 20) + 5) + "B!"), (2, "x B?")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    paths = {r.title.split(" ")[0]: r.path for r in word_routes(spark, tmp_dir).collect()}
+    assert (paths["B!"], paths["B?"]) == ("/b", "/b-2")
