@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagefleet.llm import byte_bpe, multi_index, ngram_lm, packing, quality_mil, quality_rules, simhash, token_files, toxicity_pu, warc
+from pagefleet.llm import byte_bpe, filter_audit, merkle, multi_index, ngram_lm, packing, \
+    quality_mil, quality_rules, simhash, token_files, toxicity_pu, warc
 from pagefleet.plans.registry import table
 from pagefleet.session import configure
 
@@ -87,3 +88,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"), arity=3)
+
+
+ORACLE["op11_merkle"] = merkle.oracle_sql(arity=3)
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.document_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = filter_audit.oracle_sql()
