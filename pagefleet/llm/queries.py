@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagefleet.llm import byte_bpe, filter_audit, merkle, multi_index, ngram_lm, packing, \
-    quality_mil, quality_rules, simhash, token_files, toxicity_pu, warc
+from pagefleet.llm import byte_bpe, filter_audit, merkle, multi_index, ngram_join, ngram_lm, \
+    packing, quality_mil, quality_rules, simhash, token_files, toxicity_pu, warc
 from pagefleet.plans.registry import table
 from pagefleet.session import configure
 
@@ -104,3 +104,8 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_filter_audit"] = filter_audit.oracle_sql()
+
+
+@query
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), words=5, percent=80)
