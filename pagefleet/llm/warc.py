@@ -35,8 +35,8 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _record_id(uid: Column) -> Column:
-    h = F.md5(uid.cast("string").cast("binary"))
+def _record_id(name: Column) -> Column:
+    h = F.md5(name.cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in (
         (1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
@@ -46,39 +46,62 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
     """Write a record for every row of ``pages`` (``page_id, url, html``).
 
     Payloads shorter than ``least`` bytes are never revisited. A null html is an
-    empty payload, a null page_id or url leaves its header out; of rows that
-    repeat a page_id and payload, the first read is the response. Uncompressed
-    archives are read back in byte ranges, compressed ones file by file.
+    empty payload, a null page_id or url leaves its header out. Rows that
+    repeat a page_id, url and payload are records of their own: the first is
+    the response where it is the smallest, the others revisit it. Records are
+    named by their content and number, never by the task that met them, so
+    ``pages`` may come in any order, from any plan, and be computed again.
+    Uncompressed archives are read back in byte ranges, compressed ones file
+    by file.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(
-        F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("page_id"),
+        F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.col("url").cast("string"), r"[\x00-\x20]", "%20").alias("url"), html.alias("html"),
         F.octet_length(html).cast("long").alias("n"), base32_sha1(html.cast("binary")).alias("digest"))
-    # A short payload is its own group, under a name no digest has.
-    rows = rows.withColumn("same", F.when(F.col("n") >= least, F.col("digest")).otherwise(F.col("uid").cast("string")))
-    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "uid")
-    first = rows.groupBy(F.col("same")).agg(F.min(order).alias("first")).select("same", "first.uid", "first.page_id") \
-        .toDF("same", "first_uid", "first_page")
-    rows = rows.join(first, "same")
-    revisit = F.col("uid") != F.col("first_uid")
-    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
-    when = lambda value: F.when(revisit, value)
-    header = F.concat(
-        F.lit(MAGIC), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", _record_id(F.col("uid"))), line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", F.col("url")), line("X-Page-ID", F.col("page_id").cast("string")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        line("WARC-Profile", when(F.lit(PROFILE))), line("WARC-Refers-To", when(_record_id(F.col("first_uid")))),
-        line("X-Refers-To-Page", when(F.col("first_page").cast("string"))), F.lit("Content-Type: text/html\r\nContent-Length: "),
-        F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string")), F.lit(BLANK))
-    records = rows.select(F.concat(header, F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("value"))
+    rows = rows.withColumn("who", F.md5(F.to_json(F.struct("page_id", "url")).cast("binary")))
+    # Every kind of row once, with its number of copies; no payload is moved for this.
+    kinds = rows.groupBy("digest", "who", "page_id", "url", "n").agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "who")
+    first = kinds.where(F.col("n") >= least).groupBy("digest").agg(F.min(order).alias("first")).select(
+        "digest", F.col("first.who").alias("first_who"), F.col("first.page_id").alias("first_page"))
+    found = spool(kinds.join(first, "digest", "left"), "warc-kinds")
+    short, opens = F.col("first_who").isNull(), F.col("who") == F.col("first_who")
+    name = lambda who, number: _record_id(F.concat_ws("|", "digest", who, number.cast("string")))
+    again = found.where(~short).select("*", F.explode(F.expr(
+        "sequence(1L, copies)")).alias("number")).where(~(opens & (F.col("number") == 1))).select(
+        F.concat(_head("revisit", name("who", F.col("number"))), _line("WARC-Date", F.lit(date)), _about(),
+                 _line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", name("first_who", F.lit(1))),
+                 _line("X-Refers-To-Page", F.col("first_page").cast("string")), _length(F.lit("0"))).alias("value"))
+    # One row of each kind that is a response, with its payload.
+    own = found.where(short | opens).select("digest", "who", F.when(short, F.col("copies")).otherwise(1).alias("times"))
+    payloads = rows.join(own, ["digest", "who"]).dropDuplicates(["digest", "who"])
+    answers = payloads.select("*", F.explode(F.expr("sequence(1L, times)")).alias("number")).select(
+        F.concat(_head("response", name("who", F.col("number"))), _line("WARC-Date", F.lit(date)), _about(),
+                 _length(F.col("n").cast("string")), F.col("html")).alias("value"))
     # The separator ends a record: the payload's end and a blank line.
-    records.write.option("lineSep", BLANK).option("compression", compression).option(
+    answers.unionByName(again).write.option("lineSep", BLANK).option("compression", compression).option(
         "maxRecordsPerFile", 20_000).text(path)
     return path
 
 
+def _line(name: str, value: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
+
+
+def _head(kind: str, record: Column) -> Column:
+    return F.concat(F.lit(MAGIC), _line("WARC-Type", F.lit(kind)), _line("WARC-Record-ID", record))
+
+
+def _about() -> Column:
+    return F.concat(_line("WARC-Target-URI", F.col("url")), _line("X-Page-ID", F.col("page_id").cast("string")),
+                    _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))))
+
+
+def _length(n: Column) -> Column:
+    return F.concat(F.lit("Content-Type: text/html\r\nContent-Length: "), n, F.lit(BLANK))
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """What lies between magic lines: ``file, block, seq, value``, in the order of the file within (block, seq).
 
@@ -179,13 +202,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.lit(None).cast("long").alias("refers_to"))
     answers = records.where("type = 'response'").select(
         F.col("record").alias("refers"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
-    again = records.where("type = 'revisit'").select("page_id", "refers", "refers_page").join(answers, "refers").select(
+    # A revisit whose response is not in the archives stays, without bytes and digest.
+    again = records.where("type = 'revisit'").select("page_id", "refers", "refers_page").join(answers, "refers", "left").select(
         "page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"),
         F.col("refers_page").alias("refers_to"))
     return own.unionByName(again)
 
 
 def archived_pages(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write the archives to the shared scratch folder and read them back."""
+    """Write the archives to the shared scratch folder and read them back: a row for every row of ``pages``.
+
+    See ``write_archives`` for null, repeated and short pages, and
+    ``read_archives`` for the columns. An empty table gives an empty result;
+    extra columns are left behind; a payload of any length is one record.
+    """
     path = write_archives(pages, scratch_dir(pages.sparkSession, "warc"), least)
     return read_archives(pages.sparkSession, path)

@@ -6,6 +6,7 @@ import base64
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagefleet.llm import warc
 from pagefleet.session import scratch_dir
@@ -77,3 +78,18 @@ def test_reads_packed_differently(spark, monkeypatch, compression):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == {r[:3] for r in brute(ROWS)}
+
+
+@pytest.mark.parametrize("plan", ["repartition", "sort", "join", "union"])
+def test_pages_of_any_plan(spark, plan):
+    """Pages whose order changes with the columns read and with every run of their plan."""
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").repartition(3)
+    if plan == "repartition":
+        pages = pages.repartition(7)
+    elif plan == "sort":
+        pages = pages.orderBy(F.rand())
+    elif plan == "join":
+        pages = pages.join(spark.createDataFrame([(u,) for u in {r[1] for r in ROWS}], "u string"), F.col("url").eqNullSafe(F.col("u")))
+    else:
+        pages = pages.where("page_id % 2 = 0").unionByName(pages.where("page_id IS NULL OR page_id % 2 = 1"))
+    assert sorted(map(tuple, warc.archived_pages(pages).collect()), key=repr) == brute(ROWS)
