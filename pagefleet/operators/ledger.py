@@ -1,11 +1,11 @@
 """Append-only pipeline state: writes, latest-state views, keys, schema evolution.
 
-B1 append_ledger, F3 latest_state, F4 assign_keys, H4 evolve_schema,
+B1 append_ledger, F3 latest_state, F4 assign_keys (key_id, audit_keys), H4 evolve_schema,
 C4 status_gate, C10 reconcile_jobs, C15 lookup_by_id, G7 pending limit.
 
-The reference updates rows in place; here every status transition is a new
-appended row and the current state is a per-key "latest" view, which keeps
-writes idempotent per run and safe under executor loss.
+Every status transition is a new appended row and the current state is a per-key
+"latest" view; the commit log (``operators.commits``) keeps a run's rows from
+counting twice and makes them safe under executor loss.
 """
 
 from __future__ import annotations
@@ -14,17 +14,20 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pagefleet import schemas
+from pagefleet.operators.commits import LedgerRun, evolve_schema  # noqa: F401 - H4 is part of this module's interface
 
 
-def append_ledger(df: DataFrame, root: str, table: str) -> None:
-    """B1: append rows to one ledger table, conformed to its fixed schema."""
-    conformed = evolve_schema(df, schemas.LEDGER[table]).select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LEDGER[table].fields]
-    )
-    conformed.write.mode("append").parquet(f"{root.rstrip('/')}/{table}")
+def append_ledger(df: DataFrame, root: str, table: str, run: LedgerRun | None = None) -> None:
+    """B1: append rows to one ledger table, conformed to its fixed schema.
+
+    With ``run`` the rows belong to it and appear when it commits; without, they
+    are a run of their own, committed here.
+    """
+    own = run or LedgerRun(df.sparkSession, root)
+    own.append(df, table)
+    if run is None:
+        own.commit()
 
 
 def latest_state(log: DataFrame, key: str | list[str], newest_by: list[str | Column]) -> DataFrame:
@@ -44,24 +47,45 @@ def latest_state(log: DataFrame, key: str | list[str], newest_by: list[str | Col
     return latest.select(*keys, *[F.col(f"_s.`{c}`").alias(c) for c in others])
 
 
+def key_halves(*parts: str | Column) -> tuple[Column, Column]:
+    """The two signed 64-bit halves of the 128-bit key of ``parts`` (SHA-256, each part with its length)."""
+    texts = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
+    named = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    digest = F.sha2(F.concat(*named).cast("binary"), 256)
+    return tuple(F.conv(F.substring(digest, 1 + 16 * k, 16), 16, -10).cast("long") for k in (0, 1))
+
+
+def key_id(*parts: str | Column) -> Column:
+    """The ledger id of ``parts``: the first half of their key."""
+    return key_halves(*parts)[0]
+
+
 def assign_keys(df: DataFrame, run_id: str, natural_key: list[str]) -> DataFrame:
-    """a deterministic surrogate ``id`` from (run id, natural key).
+    """a deterministic surrogate key from (run id, natural key): ``id`` and ``id_low``, 128 bits together.
 
     No global ordering, no driver round trip: the same input gives the same
-    ids on a retry, so appends stay idempotent.
+    keys on a retry, so appends stay idempotent. ``id`` is what the ledger
+    tables hold; ``audit_keys`` tells whether it stands for one row only.
     """
-    return df.withColumn("id", F.xxhash64(F.lit(run_id), *[F.col(c) for c in natural_key]))
+    high, low = key_halves(run_id, *[F.col(c) for c in natural_key])
+    return df.withColumn("id", high).withColumn("id_low", low)
 
 
-def evolve_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """H4: add every column of ``schema`` missing from ``df`` as a typed null.
+class KeyCollision(RuntimeError):
+    """Two different rows got one ledger id."""
 
-    Existing columns are never altered or dropped; applying it twice changes
-    nothing.
-    """
-    present = set(df.columns)
-    missing = {f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in present}
-    return df.withColumns(missing) if missing else df
+
+def audit_keys(keyed: DataFrame) -> DataFrame:
+    """The ids that stand for more than one 128-bit key, with their number (empty: every id is sound)."""
+    return keyed.groupBy("id").agg(F.count_distinct("id_low").alias("keys")).where("keys > 1")
+
+
+def checked_keys(keyed: DataFrame) -> DataFrame:
+    """``keyed`` without ``id_low``; raises ``KeyCollision`` where an id stands for two keys."""
+    clash = audit_keys(keyed).limit(1).collect()
+    if clash:
+        raise KeyCollision(f"ledger id {clash[0]['id']} stands for {clash[0]['keys']} different rows")
+    return keyed.drop("id_low")
 
 
 def status_gate(df: DataFrame, status_col: str, required: str, message: str | None = None

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pagefleet import schemas
 from pagefleet.functions import scalar
+from pagefleet.operators.verdicts import one_per_request
 
 # --------------------------------------------------------------------------
 # fixed values: candidate fields, their kinds and defaults, in model order
@@ -308,9 +309,12 @@ def fill_missing_metrics(cands: DataFrame, answers: DataFrame, key: str = "reque
     """For candidates failing C13, add only the keys they lack from the answer.
 
     ``answers`` has ``key, ok, result`` (VARIANT object). Present keys,
-    explicit nulls included, are kept; no or failed answer leaves the row as is.
+    explicit nulls included, are kept; no or failed answer leaves the row as is;
+    an answer that landed more than once counts once (a good one before a failed one).
     """
-    a = answers.select(F.col(key).alias("_akey"), F.col("ok").alias("_ok"), F.col("result").alias("_ans"))
+    if "error" not in answers.columns:
+        answers = answers.withColumn("error", F.lit(None).cast("string"))
+    a = one_per_request(answers, key).select(F.col(key).alias("_akey"), F.col("ok").alias("_ok"), F.col("result").alias("_ans"))
     joined = cands.join(a, F.col(key) == F.col("_akey"), "left")
     cand_map = _as_map(F.col(candidate))
     ans_map = _as_map(F.col("_ans"))
@@ -366,19 +370,25 @@ def pool_candidates(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def source_reflections(pool: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+def source_reflections(pool: DataFrame, errors: DataFrame | None = None, sources: list[str] | None = None) -> DataFrame:
     """Per source ``ok, candidate_count, error``; failing sources do not stop others.
 
-    ``errors``: ``source_id, error`` rows of sources that failed.
+    ``errors``: ``source_id, error`` rows of sources that failed. ``sources``
+    names every source that ran: one without candidates and without an error
+    has a row of its own, with a count of zero.
     """
-    ok = pool.groupBy("source_id").agg(F.count(F.lit(1)).alias("candidate_count")).select(
-        "source_id", F.lit(True).alias("ok"), "candidate_count", F.lit(None).cast("string").alias("error")
-    )
+    found = pool.groupBy("source_id").agg(F.count(F.lit(1)).alias("candidate_count"))
+    spark = pool.sparkSession
     if errors is None:
-        return ok
-    bad = errors.select("source_id", F.lit(False).alias("ok"), F.lit(0).cast("long").alias("candidate_count"),
-                        F.col("error").cast("string"))
-    return ok.unionByName(bad)
+        errors = spark.createDataFrame([], "source_id string, error string")
+    bad = errors.select("source_id", F.col("error").cast("string"))
+    if sources is None:
+        known = found.select("source_id").unionByName(bad.select("source_id")).distinct()
+    else:
+        known = spark.createDataFrame([(s,) for s in sources], "source_id string")
+    rows = known.join(found, "source_id", "left").join(bad.withColumn("_bad", F.lit(True)), "source_id", "left")
+    return rows.select("source_id", F.col("_bad").isNull().alias("ok"),
+                       F.coalesce("candidate_count", F.lit(0)).cast("long").alias("candidate_count"), "error")
 
 
 def candidate_variant(df: DataFrame, fields: list[str], keep_nulls: bool = False) -> Column:

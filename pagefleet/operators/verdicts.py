@@ -104,6 +104,21 @@ def default_answers(spark: SparkSession, path: str, task: str) -> DataFrame:
     )
 
 
+def one_per_request(answers: DataFrame, key: str = "request_id") -> DataFrame:
+    """``key, ok, result, error``: an answer that landed more than once counts once, a good one before a failed one.
+
+    Only the repeated requests are reduced (the largest text of a result or
+    error among the best); answers that landed once, nearly all of them, pass
+    untouched.
+    """
+    rows = answers.where(F.col(key).isNotNull()).select(F.col(key), F.coalesce("ok", F.lit(False)).alias("ok"), "result", "error")
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(key)
+    text = F.struct("ok", F.to_json("result").alias("r"), F.col("error").alias("e"))
+    best = rows.join(again, key, "left_semi").groupBy(key).agg(F.max(text).alias("a")).select(
+        key, F.col("a.ok").alias("ok"), F.parse_json("a.r").alias("result"), F.col("a.e").alias("error"))
+    return rows.join(again, key, "left_anti").unionByName(best)
+
+
 def apply_verdicts(
     opportunities: DataFrame,
     answers: DataFrame,
@@ -117,10 +132,8 @@ def apply_verdicts(
     messages; otherwise APPROVED iff confidence >= ``min_confidence`` else
     REJECTED. ``answers``: ``key, ok, result, error``.
     """
-    # An answer that landed more than once counts once: a good one before a failed one.
-    text = F.struct(F.coalesce("ok", F.lit(False)).alias("ok"), F.to_json("result").alias("r"), F.col("error").alias("e"))
-    a = answers.groupBy(F.col(key).alias("_k")).agg(F.max(text).alias("_a")).select(
-        "_k", F.col("_a.ok").alias("_ok"), F.parse_json("_a.r").alias("_r"), F.col("_a.e").alias("_e"))
+    a = one_per_request(answers, key).select(F.col(key).alias("_k"), F.col("ok").alias("_ok"), F.col("result").alias("_r"),
+                                             F.col("error").alias("_e"))
     j = opportunities.join(a, F.col(key) == F.col("_k"), "left")
     r = F.col("_r")
     pattern = F.try_variant_get(r, "$.monetization_pattern", "string")

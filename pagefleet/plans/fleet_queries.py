@@ -412,13 +412,36 @@ def schema_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.evolve_schema(once, _EVOLVED)
 
 
-@register("keys_assigned")
+def key_half_sql(half: int, *parts: str) -> str:
+    """DuckDB spelling of ``key_halves``: a signed 64-bit half of the SHA-256 of the parts with their lengths."""
+    named = " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts)
+    digits = f"substr(sha256({named}), {1 + 16 * half}, 16)"
+    number = f"('0x' || {digits})::UBIGINT::HUGEINT"
+    return f"(CASE WHEN {number} > 9223372036854775807 THEN {number} - 18446744073709551616 ELSE {number} END)::BIGINT"
+
+
+@register(
+    "keys_assigned",
+    f"""SELECT o_orderkey, o_custkey, {key_half_sql(0, "'run-1'", "o_orderkey::VARCHAR")} AS id,
+    {key_half_sql(1, "'run-1'", "o_orderkey::VARCHAR")} AS id_low FROM orders""",
+)
 def keys_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """deterministic surrogate keys (xxhash64 of run id and natural key)."""
+    """deterministic 128-bit surrogate keys from run id and natural key."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return L.assign_keys(o, "run-1", ["o_orderkey"])
 
 
+@register(
+    "key_audit",
+    "SELECT (o_custkey % 97)::BIGINT AS id, count(DISTINCT o_orderkey) AS keys FROM orders GROUP BY 1 "
+    "HAVING count(DISTINCT o_orderkey) > 1",
+)
+def key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the audit finds every id that stands for several keys (here ids of 97 values)."""
+    o = table(spark, sf_dir, "orders")
+    return L.audit_keys(o.select((F.col("o_custkey") % 97).alias("id"), F.col("o_orderkey").alias("id_low")))
+
+
 # ---------------------------------------------------------------- deployments
 def lineitem_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spread(table(spark, sf_dir, "lineitem"))

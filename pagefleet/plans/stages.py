@@ -6,16 +6,19 @@ P5 run_optimize, P6 fleet_dashboard; K1/K2 source registries.
 Each stage is one declarative plan from its inputs to ledger appends. A
 result that is written *and* reported is computed once: it is cut with
 ``checkpoint()`` (reliable, in ``spark.checkpoint.dir``) before the actions.
-Row ids are deterministic hashes (F4), so a retried stage appends the same
-ids and the latest-state views (F3) stay correct.
+A stage appends under its run id and commits once at its end
+(``operators.commits``), so a retried run counts once and a run that stopped
+half way not at all; a failing run leaves a failed row with its trace in the
+ledger. Row ids are deterministic 128-bit keys (F4) of the run and what
+the row is about, so two polls of one page are two snapshots.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagefleet import schemas
@@ -27,9 +30,11 @@ from pagefleet.operators import pages as P
 from pagefleet.operators import routes as R
 from pagefleet.operators import scoring as S
 from pagefleet.operators import telemetry as TM
+from pagefleet.operators.commits import LedgerRun, run_stage
 from pagefleet.operators import verdicts as V
 from pagefleet.sinks import writers as W
 from pagefleet.session import checkpointed
+from pagefleet.sources import payloads as PL
 from pagefleet.sources.files import read_ledger
 
 # ---------------------------------------------------------------- K1 / K2
@@ -52,9 +57,29 @@ def register_telemetry_source(name: str, fn: TelemetrySourceFn) -> None:
 
 
 def _latest(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """F3 over a ledger table; transitions of one time are told apart by their status, then by all they hold."""
     log = read_ledger(spark, root, table)
-    ts = "updated_at" if "updated_at" in log.columns else "created_at"
-    return L.latest_state(log, "id", [ts, "created_at"])
+    ts = [c for c in ("updated_at", "created_at", "finished_at", "started_at") if c in log.columns]
+    tie = F.xxhash64(*[F.to_json(F.struct(*log.columns))])
+    return L.latest_state(log, "id", [*ts, *([] if "status" not in log.columns else ["status"]), tie])
+
+
+def _read_source(spark: SparkSession, name: str, seed: str) -> DataFrame:
+    """One source, staged by a job of its own: what fails in its tasks fails here."""
+    return checkpointed(CANDIDATE_SOURCES[name](spark, seed))
+
+
+def manifest_source(path: str) -> CandidateSourceFn:
+    """A4 as a K1 source: the manifest's readable candidates that match the seed."""
+
+    def source(spark: SparkSession, seed: str) -> DataFrame:
+        rows = PL.read_manifest(spark, path).where("error IS NULL").select(F.col("pos").cast("long").alias("pos"), "candidate")
+        c = F.col("candidate")
+        rows = rows.withColumn("_niche", F.try_variant_get(c, "$.niche_id", "string")).withColumn(
+            "_kw", F.try_variant_get(c, "$.primary_keywords", "array<string>"))
+        return S.match_seed(rows, seed, niche="_niche", keywords="_kw").select("pos", "candidate")
+
+    return source
 
 
 def _stamp_rows(df: DataFrame) -> DataFrame:
@@ -77,26 +102,33 @@ def run_scout(
     """Sources -> pool -> override -> fill -> validate -> classify -> score ->
     rank -> keyed append of accepted rows (status pending).
 
-    A failing source becomes a reflection row; the others still run. Returns
-    ``accepted``, ``rejected``, ``reflections`` and ``report`` frames.
+    Each source is staged by its own job: one that fails, while it is planned or
+    in its tasks, becomes a reflection row and the others still run; one
+    without candidates has a row as well. Filtering by ``seed`` is up to a source
+    (``manifest_source`` does). Returns ``accepted``, ``rejected``,
+    ``reflections`` and ``report`` frames, or ``status`` where the run failed;
+    its ``scout_jobs`` row then holds the trace.
     """
+    job_id = L.key_id("scout_job", F.lit(run_id))
+    return run_stage(spark, ledger, "scout", run_id, lambda: _scout(
+        spark, sources, seed, ledger, run_id, job_id, measured, answers, max_difficulty, min_uniqueness),
+        job_id, {"seed_niche": F.lit(seed)})
+
+
+def _scout(spark, sources, seed, ledger, run_id, job_id, measured, answers, max_difficulty, min_uniqueness):
     pools, errors = [], []
     for name in sources:
         try:
-            pools.append((name, CANDIDATE_SOURCES[name](spark, seed)))
+            pools.append((name, _read_source(spark, name, seed)))
         except Exception as exc:  # noqa: BLE001 - a source failure is a reflection, not a run failure
             errors.append((name, str(exc)))
     err_df = spark.createDataFrame(errors, "source_id string, error string") if errors else None
     if not pools:
-        empty = spark.createDataFrame([], "pos long, candidate variant, source_id string, source_ordinal int")
-        pool = empty
+        pool = spark.createDataFrame([], "pos long, candidate variant, source_id string, source_ordinal int")
     else:
         pool = S.pool_candidates(pools)
-    reflections = S.source_reflections(pool, err_df)
-    c = F.col("candidate")
-    pool = pool.withColumn("niche_key", F.try_variant_get(c, "$.niche_id", "string"))
-    pool = pool.withColumn("_kw", F.try_variant_get(c, "$.primary_keywords", "array<string>"))
-    pool = S.match_seed(pool, seed, niche="niche_key", keywords="_kw").drop("_kw")
+    reflections = S.source_reflections(pool, err_df, sources)
+    pool = pool.withColumn("niche_key", F.try_variant_get(F.col("candidate"), "$.niche_id", "string"))
     if measured is not None:
         pool = S.override_metrics(pool, measured.withColumnRenamed("niche_id", "niche_key"), key="niche_key")
     if answers is not None:
@@ -104,13 +136,13 @@ def run_scout(
     classified = checkpointed(S.classify_candidates(S.validate_candidates(pool.drop("niche_key")),
                                                     max_difficulty, min_uniqueness))
     accepted = S.rank_accepted(classified.withColumn("pos_key", F.struct("source_ordinal", "pos")), "pos_key")
-    keyed = L.assign_keys(accepted, run_id, ["source_ordinal", "pos"])
-    rows = _stamp_rows(keyed.withColumn("status", F.lit("pending")).withColumn(
-        "scout_job_id", F.xxhash64(F.lit(run_id))))
-    L.append_ledger(rows, ledger, "arbitrage_opportunities")
-    job = spark.range(1).select(F.xxhash64(F.lit(run_id)).alias("id"), F.lit(seed).alias("seed_niche"),
-                                F.lit("completed").alias("status"))
-    L.append_ledger(_stamp_rows(job), ledger, "scout_jobs")
+    keyed = L.checked_keys(L.assign_keys(accepted, run_id, ["source_ordinal", "pos"]))
+    run = LedgerRun(spark, ledger, run_id)
+    run.append(_stamp_rows(keyed.withColumn("status", F.lit("pending")).withColumn("scout_job_id", job_id)),
+               "arbitrage_opportunities")
+    run.append(_stamp_rows(spark.range(1).select(job_id.alias("id"), F.lit(seed).alias("seed_niche"),
+                                                 F.lit("completed").alias("status"))), "scout_jobs")
+    run.commit()
     rejected = classified.filter(F.col("reason").isNotNull()).select(
         F.coalesce("niche_id", F.lit("<unknown>")).alias("niche_id"), "reason", "detail")
     report = classified.agg(
@@ -128,6 +160,7 @@ def run_evaluate(
     min_confidence: float = schemas.MIN_CONFIDENCE,
     limit: int | None = None,
     requests_out: str | None = None,
+    run_id: str | None = None,
 ) -> dict[str, DataFrame]:
     """Pending opportunities -> request envelopes -> answers -> verdicts ->
     evaluation rows + opportunity transitions. ``answer_bodies``:
@@ -146,15 +179,17 @@ def run_evaluate(
     outcomes = checkpointed(outcomes)
     ok = outcomes.filter(F.col("status") != "FAILED")
     evals = ok.select(
-        F.xxhash64(F.lit("evaluation"), "opportunity_id").alias("id"), "opportunity_id", "monetization_pattern",
+        L.key_id("evaluation", F.col("opportunity_id")).alias("id"), "opportunity_id", "monetization_pattern",
         "template_type", "seo_route_pattern", "seo_high_volume_columns", "seo_sample_routes", "confidence",
         F.lower("status").alias("verdict"), "rationale")
-    L.append_ledger(_stamp_rows(evals), ledger, "evaluations")
+    run = LedgerRun(spark, ledger, run_id)
+    run.append(_stamp_rows(evals), "evaluations")
     marks = outcomes.select(
         F.col("opportunity_id").alias("id"),
         F.when(F.col("status") == "FAILED", "failed").otherwise("completed").alias("status"))
     cur = opps.drop("status", "updated_at")
-    L.append_ledger(cur.join(marks, "id").withColumn("updated_at", scalar.stamp()), ledger, "arbitrage_opportunities")
+    run.append(cur.join(marks, "id").withColumn("updated_at", scalar.stamp()), "arbitrage_opportunities")
+    run.commit()
     return {"outcomes": outcomes, "report": D.outcome_totals(outcomes)}
 
 
@@ -169,13 +204,24 @@ def run_compile(
     row_limit: int | None = None,
     route_limit: int | None = None,
     site_id: int | None = None,
+    run_id: str | None = None,
 ) -> dict[str, DataFrame]:
     """Approved evaluation + dataset -> rows, routes, membership, meta,
     sitemap, robots and route pages written under ``out_dir``; a
     site_generations row records the build.
 
     All rows and routes are compiled; ``row_limit`` and ``route_limit`` cap them when given (Q7).
+    A build that fails leaves a failed site_generations row with its trace.
     """
+    run_id = run_id or uuid.uuid4().hex
+    site = F.lit(site_id).cast("long") if site_id is not None else L.key_id(
+        "site", F.lit(evaluation_id), F.lit(out_dir))
+    return run_stage(spark, ledger, "compile", run_id, lambda: _compile(
+        spark, ledger, evaluation_id, dataset, out_dir, order_by, row_limit, route_limit,
+        spark.range(1).select(site).first()[0], run_id), site, {"evaluation_id": F.lit(evaluation_id).cast("long")})
+
+
+def _compile(spark, ledger, evaluation_id, dataset, out_dir, order_by, row_limit, route_limit, site, run_id):
     ev = _latest(spark, ledger, "evaluations").filter(F.col("id") == evaluation_id)
     opp = _latest(spark, ledger, "arbitrage_opportunities").select(
         F.col("id").alias("opportunity_id"), "niche_id", "target_dataset_url")
@@ -188,7 +234,6 @@ def run_compile(
         return {"status": spark.createDataFrame(
             [("REJECTED", f"evaluation verdict is {e.verdict}, not approved")], "status string, message string")}
     niche = e.niche_id or f"evaluation-{evaluation_id}"
-    site = site_id if site_id is not None else zlib.crc32(f"{evaluation_id}|{out_dir}".encode())
     cols = list(e.seo_high_volume_columns or []) if e.template_type == "directory" else []
     data = R.cap_rows(dataset, row_limit, order_by) if row_limit is not None else dataset
     niche_title = spark.range(1).select(text.title_from(F.lit(e.niche_id)).alias("t")).first().t
@@ -233,7 +278,9 @@ def run_compile(
         F.lit(e.template_type).alias("template_type"), F.lit("completed").alias("status"),
         F.concat(F.lit(out_dir.rstrip("/") + "/"),
                  text.build_name(F.lit(niche), F.lit(evaluation_id), F.lit(site))).alias("build_path"))
-    L.append_ledger(_stamp_rows(gen), ledger, "site_generations")
+    run = LedgerRun(spark, ledger, run_id)
+    run.append(_stamp_rows(gen), "site_generations")
+    run.commit()
     report = data.agg(F.count(F.lit(1)).alias("row_count")).crossJoin(
         routes.agg(F.count(F.lit(1)).alias("route_count"))).select(
         F.lit("COMPLETED").alias("status"), F.lit(evaluation_id).cast("long").alias("evaluation_id"),
@@ -243,21 +290,45 @@ def run_compile(
 
 
 # ---------------------------------------------------------------- P4 deploy records
-def run_deploy_records(spark: SparkSession, ledger: str) -> dict[str, DataFrame]:
-    """Every latest site generation -> deployment record (no upload):
-    completed generations get a project slug and canonical URL, the others a
-    REJECTED outcome."""
+def run_deploy_records(spark: SparkSession, ledger: str, site_generation_id: int | None = None,
+                       run_id: str | None = None) -> dict[str, DataFrame]:
+    """Latest site generations -> deployment records (no upload): completed
+    generations get a project slug and canonical URL, the others a REJECTED
+    outcome.
+
+    With ``site_generation_id`` only that generation is deployed, again if it
+    was before; an unknown one gives ``status`` AGENT_ACTION_REQUIRED. Without,
+    every generation that has no completed deployment yet is.
+    """
+    run_id = run_id or uuid.uuid4().hex
+    failed = L.key_id("deployment", F.lit(run_id))
+    return run_stage(spark, ledger, "deploy", run_id, lambda: _deploy(spark, ledger, site_generation_id, run_id), failed,
+                     {"site_generation_id": F.lit(site_generation_id).cast("long")})
+
+
+def _deploy(spark, ledger, site_generation_id, run_id):
     sites = _latest(spark, ledger, "site_generations")
+    if site_generation_id is not None:
+        sites = L.lookup_by_id(sites, "id", site_generation_id)
+        if sites.limit(1).count() == 0:
+            return {"status": spark.createDataFrame(
+                [("AGENT_ACTION_REQUIRED", "SiteGenerationNotFound", f"site generation {site_generation_id} not found")],
+                "status string, error_type string, message string")}
+    else:
+        live = _latest(spark, ledger, "deployments").where("status = 'completed'")
+        sites = sites.join(live.select(F.col("site_generation_id").alias("id")), "id", "left_anti")
     evals = _latest(spark, ledger, "evaluations")
     opps = _latest(spark, ledger, "arbitrage_opportunities")
     plan = checkpointed(DP.deployment_plan(DP.resolve_targets(sites, evals, opps)))
     done = plan.filter(F.col("outcome") == "COMPLETED").select(
-        F.xxhash64(F.lit("deployment"), "site_generation_id").alias("id"), "site_generation_id", "project_slug",
+        L.key_id("deployment", F.lit(run_id), F.col("site_generation_id")).alias("id"), "site_generation_id", "project_slug",
         # records only (no upload): a deterministic dry-run deployment id
-        F.concat(F.lit("dryrun-"), F.substring(F.sha2(F.col("site_generation_id").cast("string"), 256), 1, 12))
-        .alias("cloudflare_deployment_id"),
+        F.concat(F.lit("dryrun-"), F.substring(F.sha2(F.concat_ws("|", F.lit(run_id), F.col("site_generation_id").cast(
+            "string")), 256), 1, 12)).alias("cloudflare_deployment_id"),
         "live_url", F.lit("completed").alias("status"))
-    L.append_ledger(_stamp_rows(done), ledger, "deployments")
+    run = LedgerRun(spark, ledger, run_id)
+    run.append(_stamp_rows(done), "deployments")
+    run.commit()
     return {"plan": plan}
 
 
@@ -272,6 +343,9 @@ def run_optimize(
     max_ctr: float = schemas.MAX_CTR,
     max_pages: int | None = None,
     deployment_id: int | None = None,
+    run_id: str | None = None,
+    reinforce: bool = True,
+    redeploy: bool = False,
 ) -> dict[str, DataFrame]:
     """P5: page metrics of completed deployments (or of one named deployment,
     whatever its status, Q16) -> analytics_logs append ->
@@ -283,58 +357,98 @@ def run_optimize(
     that produces them for the selected deployments; ``answer_bodies``:
     ``request_id, body``; ``meta``: ``site_id, title, description`` keyed by
     site generation id.
+
+    A run is one poll: its ``run_id`` is part of every row's id, so the next
+    poll adds a snapshot (Q13) and a retried one nothing. A flagged page is
+    (deployment, page, position) and asks one request (``page_request``),
+    whose repeated answers count once. ``reinforce=False`` records the metrics
+    and the flags only; ``redeploy`` appends a deployment for every site whose
+    meta was rewritten.
     """
+    run_id = run_id or uuid.uuid4().hex
+    return run_stage(spark, ledger, "optimize", run_id, lambda: _optimize(
+        spark, ledger, metrics, answer_bodies, meta, min_impressions, max_ctr, max_pages, deployment_id, run_id, reinforce,
+        redeploy), L.key_id("optimize", F.lit(run_id)), {"action": F.lit("failed")})
+
+
+#: What names a flagged page within a poll.
+PAGE_KEY = ["deployment_id", "page_path", "pos"]
+
+
+def page_request(deployment_id: Column, page_path: Column, pos: Column) -> Column:
+    """The id of the rewrite request of a flagged page."""
+    return V.request_id("optimize_content", F.concat_ws("|", deployment_id.cast("string"), page_path, pos.cast("string")))
+
+
+def _optimize(spark, ledger, metrics, answer_bodies, meta, min_impressions, max_ctr, max_pages, deployment_id, run_id,
+              reinforce, redeploy):
     deps = _latest(spark, ledger, "deployments")
     deps = deps.filter(F.col("id") == deployment_id) if deployment_id is not None else \
         deps.filter(F.col("status") == "completed")
     if isinstance(metrics, str):
         metrics = TELEMETRY_SOURCES[metrics](spark, deps)
-    m = metrics.join(deps.select(F.col("id").alias("deployment_id"), "site_generation_id"), "deployment_id")
+    m = metrics.join(deps.select(F.col("id").alias("deployment_id"), "site_generation_id", "project_slug", "live_url"),
+                     "deployment_id")
     m = checkpointed(m)
-    logs = m.select(F.xxhash64(F.lit("log"), "deployment_id", "page_path", "pos").alias("id"), "deployment_id",
+    run = LedgerRun(spark, ledger, run_id)
+    log_key = L.key_halves("log", F.lit(run_id), *map(F.col, PAGE_KEY))
+    logs = m.select(log_key[0].alias("id"), log_key[1].alias("id_low"), "deployment_id",
                     "page_path", "impressions", "clicks", "revenue_cents", scalar.stamp().alias("captured_at"))
-    L.append_ledger(logs, ledger, "analytics_logs")
+    run.append(L.checked_keys(logs), "analytics_logs")
     flagged = TM.flag_underperformers(m, min_impressions, max_ctr)
-    capped = TM.cap_flagged_pages(flagged, "deployment_id", ["pos"], max_pages)
-    key = F.concat_ws("|", F.col("deployment_id").cast("string"), F.col("page_path"))
-    capped = capped.withColumn("_key", key).withColumn("site_id", F.col("site_generation_id")) \
-        .withColumn("seq", F.col("pos"))
-    answers = V.unwrap_agent_responses(answer_bodies)
-    joined = capped.withColumn("request_id", V.request_id("optimize_content", F.col("_key"))).join(
-        answers, "request_id", "left")
-    # (site, seq) repeats where two deployments serve one generation.
-    page = ["deployment_id", "page_path"]
-    ans = joined.select("site_id", "seq", *page, F.coalesce("ok", F.lit(False)).alias("ok"),
+    totals = m.agg(F.countDistinct("deployment_id").alias("deployments_processed"),
+                   F.count(F.lit(1)).alias("pages_ingested")).crossJoin(
+        flagged.agg(F.count(F.lit(1)).alias("flagged")))
+    if not reinforce:
+        run.commit()
+        return {"report": totals.select("*", F.lit(0).cast("long").alias("reinforced"), F.lit(0).cast("long").alias("redeployed"))}
+    capped = TM.cap_flagged_pages(flagged, "deployment_id", ["pos", "page_path"], max_pages)
+    capped = capped.withColumn("site_id", F.col("site_generation_id")).withColumn("seq", F.col("pos"))
+    answers = V.one_per_request(V.unwrap_agent_responses(answer_bodies))
+    joined = capped.withColumn("request_id", page_request(*map(F.col, PAGE_KEY))).join(answers, "request_id", "left")
+    # (site, seq) repeats where two deployments serve one generation, (deployment, page) where a poll groups a page twice.
+    ans = joined.select("site_id", "seq", *PAGE_KEY, F.coalesce("ok", F.lit(False)).alias("ok"),
                         F.when(F.col("ok").isNull(), F.lit("no answer")).otherwise(F.col("error")).alias("error"),
                         F.try_variant_get("result", "$.title", "string").alias("title"),
                         F.try_variant_get("result", "$.description", "string").alias("description"),
                         F.coalesce(F.try_variant_get("result", "$.keywords", "array<string>"),
                                    F.array().cast("array<string>")).alias("keywords"))
-    rewritten = TM.apply_rewrites(meta, capped, ans, key=page)
-    outcomes = checkpointed(TM.optimization_outcomes(capped, ans.drop("seq"), meta, key=page))
+    rewritten = TM.apply_rewrites(meta, capped, ans, key=PAGE_KEY)
+    outcomes = checkpointed(TM.optimization_outcomes(capped, ans.drop("seq"), meta, key=PAGE_KEY).withColumn(
+        "redeployed", F.lit(redeploy) & (F.col("status") == "COMPLETED") & (F.col("action") == "meta_rewrite")))
+    if redeploy:
+        again = outcomes.where("redeployed").select("site_generation_id", "project_slug", "live_url").distinct()
+        run.append(_stamp_rows(again.select(
+            L.key_id("redeployment", F.lit(run_id), F.col("site_generation_id"), F.col("project_slug")).alias("id"), "*",
+            F.concat(F.lit("dryrun-"), F.substring(F.sha2(F.concat_ws("|", F.lit(run_id), F.col("site_generation_id").cast(
+                "string"), F.lit("again")), 256), 1, 12)).alias("cloudflare_deployment_id"),
+            F.lit("completed").alias("status"))), "deployments")
+    opt_key = L.key_halves("opt", F.lit(run_id), *map(F.col, PAGE_KEY))
     opt = outcomes.select(
-        F.xxhash64(F.lit("opt"), "deployment_id", "page_path").alias("id"), "deployment_id", "page_path",
+        opt_key[0].alias("id"), opt_key[1].alias("id_low"), "deployment_id", "page_path",
         "impressions", "clicks", scalar.ctr("clicks", "impressions", 4).alias("ctr"), "action", "detail",
-        F.lit(False).alias("redeployed"), F.lower("status").alias("status"), scalar.stamp().alias("created_at"))
-    L.append_ledger(opt, ledger, "optimizations")
-    report = m.agg(F.countDistinct("deployment_id").alias("deployments_processed"),
-                   F.count(F.lit(1)).alias("pages_ingested")).crossJoin(
-        flagged.agg(F.count(F.lit(1)).alias("flagged"))).crossJoin(
-        outcomes.agg(F.count_if(F.col("status") == "COMPLETED").alias("reinforced")))
+        "redeployed", F.lower("status").alias("status"), scalar.stamp().alias("created_at"))
+    run.append(L.checked_keys(opt), "optimizations")
+    run.commit()
+    report = totals.crossJoin(outcomes.agg(F.count_if(F.col("status") == "COMPLETED").alias("reinforced"),
+                                           F.count_if("redeployed").alias("redeployed")))
     return {"outcomes": outcomes, "meta": rewritten, "report": report}
 
 
 # ---------------------------------------------------------------- P6 dashboard
+#: Tables that the dashboard counts under another name.
+_COUNTED = {"arbitrage_opportunities": "opportunities"}
+
+
 def fleet_dashboard(spark: SparkSession, ledger: str, top: int = 20) -> dict[str, DataFrame]:
     """The dashboard frames over the ledger (lazy; nothing collected)."""
     t = {name: read_ledger(spark, ledger, name) for name in schemas.LEDGER}
     latest = {name: _latest(spark, ledger, name) for name in
-              ("scout_jobs", "arbitrage_opportunities", "evaluations", "site_generations", "deployments",
-               "optimizations")}
+              ("scout_jobs", "dataset_profiles", "arbitrage_opportunities", "evaluations", "site_generations", "deployments",
+               "optimizations", "jobs")}
     return {
-        "counts": D.table_counts({"scout_jobs": latest["scout_jobs"], "opportunities": latest["arbitrage_opportunities"],
-                                  "evaluations": latest["evaluations"], "site_generations": latest["site_generations"],
-                                  "deployments": latest["deployments"], "optimizations": latest["optimizations"]}),
+        # Every ledger table: rows of the append-only ones, current rows of those that change state.
+        "counts": D.table_counts({_COUNTED.get(name, name): latest.get(name, t[name]) for name in schemas.LEDGER}),
         "deployments_by_status": D.counts_by_status(latest["deployments"]),
         "live_sites": D.live_sites(latest["deployments"]),
         "revenue": D.traffic_scorecard(t["analytics_logs"], latest["deployments"], latest["arbitrage_opportunities"]),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pagefleet import schemas
 from pagefleet.functions.scalar import sql_type_name
+from pagefleet.operators.commits import committed_rows
 
 _IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -120,14 +121,8 @@ def scalar(spark: SparkSession, sql: str, params: dict[str, Any] | None = None)
 
 
 def read_ledger(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Scan one of the fixed-schema ledger tables (empty when never written)."""
-    schema = schemas.LEDGER[table]
-    path = f"{root.rstrip('/')}/{table}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
-    if not fs.exists(jvm_path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mergeSchema", "true").parquet(path)
+    """The committed rows of one of the fixed-schema ledger tables (empty when never written)."""
+    return committed_rows(spark, root, table)
 
 
 def profile_file(spark: SparkSession, path: str, limit: int = schemas.PROFILE_SAMPLE,

@@ -81,9 +81,8 @@ def test_five_stages(spark, tmp_dir):
     metrics = spark.createDataFrame([(dep_id, "/", 1010, 5, 0, 0), (dep_id, "/directory", 240, 18, 4200, 1)],
                                     "deployment_id long, page_path string, impressions long, clicks long, "
                                     "revenue_cents long, pos long")
-    key = f"{dep_id}|/"
-    bodies = spark.createDataFrame([(key,)], "k string").select(
-        V.request_id("optimize_content", F.col("k")).alias("request_id"),
+    bodies = metrics.where("page_path = '/'").select(
+        ST.page_request(F.col("deployment_id"), F.col("page_path"), F.col("pos")).alias("request_id"),
         F.lit(json.dumps({"result": {"title": "Better", "description": "", "keywords": ["a"]}})).alias("body"))
     meta = spark.createDataFrame([(site_id, "Old", "d")], "site_id long, title string, description string")
     ST.register_telemetry_source("landed", lambda s, deps: metrics.join(
