@@ -39,6 +39,8 @@ class BacktrackCodec:
     #: Whether case makes no difference.
     folds = False
 
+    word_ends = False  # segments end at spaces only
+
     def __init__(self, path: str, pattern: str):
         import ahocorasick
         import regex

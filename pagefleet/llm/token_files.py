@@ -5,17 +5,17 @@ little-endian:
 
     8 bytes   magic
     4 x u64   file's partition, file's number in it, documents, ids
-    u8 u8     bytes of an id (2 or 4), low bits of a boundary
-    u64 x 2   bytes of the low-bit array, bytes of the high-bit vector
-    i64[]     doc_ids, then u8[] 1 where the doc_id is null
-    bytes     low bits of the boundaries, packed
-    bytes     high bits of the boundaries in unary
-    u32[]     select samples: the place of every 64th set bit
+    u64 i64   documents without a doc_id (the first ones), smallest doc_id
+    u8        bytes of an id (2 or 4)
+    2 x       a sequence: u8 low bits, u64 bytes of the low-bit array, u64 bytes of the high-bit vector
+    2 x       the sequence's bytes: low bits, packed; high bits in unary; u32[] select samples
     ids       u16[] or u32[]
 
-The i-th boundary is the number of ids before document i in the file. Each
-costs about 2 + log2(ids / documents) bits, plus half a bit for the samples;
-there is no 64-bit offset table.
+The first sequence has the boundaries: the i-th is the number of ids before
+document i in the file. The second has the doc_ids less the smallest one. Both
+never decrease, so a number costs about 2 + log2(last / documents) bits, plus
+half a bit for the samples (the place of every 64th set bit); there is no
+64-bit table.
 """
 
 from __future__ import annotations
@@ -34,8 +34,11 @@ from pagefleet.llm.segments import batches, encoder
 from pagefleet.session import scratch_dir
 
 MAGIC = b"EFTOKEN1"
-HEAD = struct.Struct("<8s4QBB2Q")
+HEAD = struct.Struct("<8s5QqB")
+SEQUENCE = struct.Struct("<B2Q")
 SAMPLE = 64
+#: The place of the k-th set bit of each byte (0 where there are fewer).
+BYTE_SELECT = np.array([[*[i for i in range(8) if b >> i & 1], *[0] * 8][:8] for b in range(256)], dtype=np.int64)
 
 
 class EliasFano:
@@ -75,48 +78,82 @@ class EliasFano:
         window = int.from_bytes(self.low[at >> 3:(at + self.low_bits + 7) >> 3], "little") >> (at & 7)
         return (place - i) << self.low_bits | window & ((1 << self.low_bits) - 1)
 
-    def select_all(self) -> np.ndarray:
-        """Every value, in one pass over the bit vectors."""
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[:self.n]
-        planes = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[:self.n * self.low_bits]
-        low = planes.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-        return ((places - np.arange(self.n)) << self.low_bits) + low
+    def select_many(self, wanted: np.ndarray) -> np.ndarray:
+        """The values at ``wanted``: as ``select``, all of them a byte further in every step until each is found."""
+        wanted = np.asarray(wanted, dtype=np.int64)
+        high = np.frombuffer(self.high, np.uint8)
+        place = self.samples.astype(np.int64)[wanted // SAMPLE]
+        byte, left = place >> 3, wanted % SAMPLE
+        word = high[byte] >> (place & 7).astype(np.uint8) << (place & 7).astype(np.uint8)
+        todo = np.arange(len(wanted))
+        while len(todo):
+            ones = np.bitwise_count(word[todo]).astype(np.int64)
+            todo, ones = todo[further := ones <= left[todo]], ones[further]
+            left[todo] -= ones
+            byte[todo] += 1
+            word[todo] = high[byte[todo]]
+        place = byte * 8 + BYTE_SELECT[word, left]
+        low = np.zeros(len(wanted), dtype=np.int64)
+        bits, at = np.frombuffer(self.low, np.uint8), wanted * self.low_bits
+        for i in range(self.low_bits):
+            low |= (bits[at + i >> 3] >> (at + i & 7).astype(np.uint8) & 1).astype(np.int64) << i
+        return (place - wanted) << self.low_bits | low
+
+    def head(self) -> bytes:
+        return SEQUENCE.pack(self.low_bits, len(self.low), len(self.high))
+
+    def body(self) -> bytes:
+        return self.low + self.high + self.samples.tobytes()
 
 
 def pack_file(part: int, number: int, doc_ids: list, ids: list[bytes], narrow: bool) -> bytes:
-    """One file's bytes; ``ids`` are each document's little-endian unsigned 32-bit ids."""
+    """One file's bytes; ``doc_ids`` ascend, nulls first; ``ids`` are each document's little-endian unsigned 32-bit ids."""
     sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
     ends = np.cumsum(sizes)
-    ef = EliasFano.encode(ends - sizes)
+    named = [x for x in doc_ids if x is not None]
+    least = named[0] if named else 0
+    starts = EliasFano.encode(ends - sizes)
+    names = EliasFano.encode(np.array([x - least for x in named], dtype=np.uint64))
     flat = np.frombuffer(b"".join(ids), "<u4")
     return b"".join([
-        HEAD.pack(MAGIC, part, number, len(ids), int(ends[-1]) if len(ids) else 0, 2 if narrow else 4, ef.low_bits,
-                  len(ef.low), len(ef.high)),
-        np.array([x or 0 for x in doc_ids], "<i8").tobytes(), bytes(x is None for x in doc_ids),
-        ef.low, ef.high, ef.samples.tobytes(), flat.astype("<u2" if narrow else "<u4").tobytes()])
+        HEAD.pack(MAGIC, part, number, len(ids), int(ends[-1]) if len(ids) else 0, len(ids) - len(named), least,
+                  2 if narrow else 4),
+        starts.head(), names.head(), starts.body(), names.body(), flat.astype("<u2" if narrow else "<u4").tobytes()])
 
 
 class TokenFile:
     """A file's documents; ``ids(i)`` finds one by select, without the others."""
 
     def __init__(self, data: bytes):
-        magic, self.part, self.number, self.n_docs, self.n_ids, width, low_bits, n_low, n_high = HEAD.unpack_from(data)
+        magic, self.part, self.number, self.n_docs, self.n_ids, self.n_nameless, self.least, width = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token file")
         at = HEAD.size
+        heads = [SEQUENCE.unpack_from(data, at), SEQUENCE.unpack_from(data, at + SEQUENCE.size)]
+        at += 2 * SEQUENCE.size
 
         def take(n: int) -> bytes:
             nonlocal at
             at += n
             return data[at - n:at]
 
-        ids = np.frombuffer(take(8 * self.n_docs), "<i8").tolist()
-        self.doc_ids = [None if gone else x for x, gone in zip(ids, take(self.n_docs))]
-        low, high = take(n_low), take(n_high)
-        samples = np.frombuffer(take(4 * -(-self.n_docs // SAMPLE)), "<u4")
-        self.starts = EliasFano(self.n_docs, low_bits, low, high, samples)
+        def sequence(n: int, low_bits: int, n_low: int, n_high: int) -> EliasFano:
+            low, high = take(n_low), take(n_high)
+            return EliasFano(n, low_bits, low, high, np.frombuffer(take(4 * -(-n // SAMPLE)), "<u4"))
+
+        self.starts = sequence(self.n_docs, *heads[0])
+        self.names = sequence(self.n_docs - self.n_nameless, *heads[1])
         self.flat = np.frombuffer(take(width * self.n_ids), f"<u{width}")
 
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_nameless else self.names.select(i - self.n_nameless) + self.least
+
+    def doc_ids(self) -> list:
+        """All of them, in order."""
+        # Differences of 64-bit ids wrap round where they pass 2^63, and so does their sum with the least one.
+        found = self.names.select_many(np.arange(self.names.n)) + np.int64(self.least) if self.names.n else []
+        return [None] * self.n_nameless + [int(x) for x in found]
+
     def ids(self, i: int) -> np.ndarray:
         end = self.starts.select(i + 1) if i + 1 < self.n_docs else self.n_ids
         return self.flat[self.starts.select(i):end]
@@ -174,12 +211,12 @@ def _reader(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(content.as_py()):  # a part without rows
                 continue
             f = TokenFile(content.as_py())
-            starts = f.starts.select_all()
+            starts = f.starts.select_many(np.arange(f.n_docs))
             ends = np.append(starts[1:], f.n_ids)
             raw = f.flat.astype("<u4")
             yield pa.RecordBatch.from_arrays([
                 pa.array([f.part] * f.n_docs, pa.int64()), pa.array([f.number] * f.n_docs, pa.int64()),
-                pa.array(f.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()),
+                pa.array(f.doc_ids(), pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()),
                 pa.array([zlib.crc32(raw[a:b]) for a, b in zip(starts, ends)], pa.int64())],
                 ["part", "number", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 

@@ -74,7 +74,7 @@ def test_elias_fano():
     for values in ([], [0], [0, 0, 5], list(range(0, 10_000, 7)), [3] * 300, [0] * 100 + [1 << 33] * 100,
                    np.cumsum(np.random.default_rng(1).integers(0, 900, 2000)).tolist()):
         ef = token_files.EliasFano.encode(np.array(values, dtype=np.uint64))
-        assert ef.select_all().tolist() == values
+        assert ef.select_many(np.arange(len(values))).tolist() == values
         assert [ef.select(i) for i in range(len(values))] == values
     assert len(ef.low) + len(ef.high) + 4 * len(ef.samples) < 2000 * 2
 
@@ -93,6 +93,16 @@ def test_token_files(spark):
     one = spark.read.format("binaryFile").load(path).where("length > 0").first()
     f = token_files.TokenFile(bytes(one.content))
     assert sum(len(f.ids(i)) for i in range(f.n_docs)) == f.n_ids
+    assert [f.doc_id(i) for i in range(f.n_docs)] == f.doc_ids()
+
+
+def test_token_file_names():
+    """Ids of any distance, repeated and missing ones, in a few bits each."""
+    for names in ([], [None], [None, None, -(1 << 63), 0, 0, (1 << 63) - 1], [5], list(range(7, 3000, 3))):
+        f = token_files.TokenFile(token_files.pack_file(1, 2, names, [b"\1\0\0\0"] * len(names), True))
+        assert f.doc_ids() == names == [f.doc_id(i) for i in range(len(names))]
+        assert f.starts.select_many(np.arange(len(names))[::-1]).tolist() == list(range(len(names)))[::-1]
+    assert len(f.names.body()) < len(names) * 5 / 8
 
 
 def test_bpe_is_tiktokens():
