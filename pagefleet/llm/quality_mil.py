@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from pagefleet.llm.common import crc_bucket, spool
 
@@ -86,31 +87,30 @@ class GatedAttention:
         z = np.add.reduceat(a[:, None] * h, first) / np.add.reduceat(a, first)[:, None]
         return 1 / (1 + np.exp(-(z @ self.p["c"] + self.p["d"][0]).astype(np.float64)))
 
-    def gradients(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted log loss, for padded bags x (bag, passage, feature)."""
-        p = self.p
+    def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted log loss, for the passages ``x`` of bags that begin at ``first``."""
+        p, of = self.p, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+        total = lambda v: np.add.reduceat(v, first)
         h, t, s, e = self.encode(x)
-        a = np.exp(np.where(inside, e, -1e9) - np.where(inside, e, -1e9).max(1, keepdims=True))
-        a /= a.sum(1, keepdims=True)
-        z = (a[..., None] * h).sum(1)
+        a = np.exp(e - np.maximum.reduceat(e, first)[of])
+        a /= total(a)[of]
+        z = total(a[:, None] * h)
         f = z @ p["c"] + p["d"][0]
         df = weight * (1 / (1 + np.exp(-f)) - y) / len(y)
-        dz = df[:, None] * p["c"]
-        da = (h * dz[:, None]).sum(2)
-        de = a * (da - (a * da).sum(1, keepdims=True))
-        dts = de[..., None] * p["w"]
+        dz = (df[:, None] * p["c"])[of]
+        da = (h * dz).sum(1)
+        de = a * (da - total(a * da)[of])
+        dts = de[:, None] * p["w"]
         dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
-        dh = a[..., None] * dz[:, None] + dt @ p["V"].T + ds @ p["U"].T
-        du = dh * (1 - h * h)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
+        du = (a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
         xs = (x - p["mean"]) / p["scale"]
-        return {"W": flat(xs).T @ flat(du), "b": flat(du).sum(0), "V": flat(h).T @ flat(dt), "U": flat(h).T @ flat(ds),
-                "w": (de[..., None] * t * s).sum((0, 1)), "c": df @ z, "d": df.sum(keepdims=True)}
+        return {"W": xs.T @ du, "b": du.sum(0), "V": h.T @ dt, "U": h.T @ ds,
+                "w": (de[:, None] * t * s).sum(0), "c": df @ z, "d": df.sum(keepdims=True)}
 
     @classmethod
     def fit(cls, bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 12, batch: int = 64,
             rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> GatedAttention:
-        """Adam over padded minibatches. Without bags of both labels the score is constant."""
+        """Adam over minibatches of whole bags. Without bags of both labels the score is constant."""
         net, r = cls.start(seed), np.random.default_rng(seed)
         every = np.concatenate(bags) if bags else np.zeros((1, FEATURES), np.float32)
         net.p["mean"], net.p["scale"] = every.mean(0), every.std(0) + 0.05
@@ -125,12 +125,10 @@ class GatedAttention:
             order = r.permutation(len(bags))
             for lo in range(0, len(order), batch):
                 pick = order[lo:lo + batch]
-                longest = max(len(bags[i]) for i in pick)
-                x, inside = np.zeros((len(pick), longest, FEATURES), np.float32), np.zeros((len(pick), longest), bool)
-                for k, i in enumerate(pick):
-                    x[k, :len(bags[i])], inside[k, :len(bags[i])] = bags[i], True
+                some = [bags[i] for i in pick]
+                first = np.cumsum([0, *map(len, some)])[:-1]
                 step += 1
-                for k, grad in net.gradients(x, inside, y[pick], weight[pick]).items():
+                for k, grad in net.gradients(np.concatenate(some), first, y[pick], weight[pick]).items():
                     m[k] += 0.1 * (grad - m[k])
                     v[k] += 0.001 * (grad * grad - v[k])
                     net.p[k] -= (rate * (m[k] / (1 - 0.9 ** step) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
@@ -138,27 +136,26 @@ class GatedAttention:
         return net
 
 
-def _bags(most: int):
-    """Passage features of the sampled documents; of a longer bag, ``most`` passages spread over it."""
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            out = []
-            for text in batch.column("text"):
-                x = passages(text.as_py() or "")
-                out.append(x[np.unique(np.linspace(0, len(x) - 1, most).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.binary())], ["y", "bag"])
-
-    return run
+def _bags(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of all passages of the sampled documents."""
+    for batch in it:
+        found = [passages(t.as_py() or "") for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("y"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())],
+            ["y", "n", "bag"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, most: int = 16,
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, most: int = 200_000,
           folds: int = 5, held: int = 0, seed: int = 7) -> GatedAttention:
-    """Fit on at most ``per_class`` documents of each label, ``most`` passages of each.
+    """Fit on at most ``per_class`` documents of each label, whole, of ``most`` passages together at most.
 
     The sample is the first rows by a hash of the id among those whose
-    crc32(doc_id) mod ``folds`` is not ``held``. Weights undo the even sample,
+    crc32(doc_id) mod ``folds`` is not ``held``; where all their passages are more
+    than ``most`` (200 MB of text), the first documents by a hash of their features. A
+    document that is in the sample teaches with every passage. Weights undo the even sample,
     so scores follow the share of label 1 among all labels of the training folds.
-    Labels of documents that ``docs`` doesn't hold count nowhere.
+    Labels of documents that ``docs`` doesn't hold count nowhere. Null labels and
+    labels of no id count nowhere either; null and empty texts are one empty passage.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", folds) != held)) \
         .select("doc_id", F.col(label).cast("int").alias("y")).distinct()
@@ -169,8 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     # At most 2 * per_class ids.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text")
-    rows = rows.mapInArrow(_bags(most), "y int, bag binary").orderBy(F.xxhash64("bag")).limit(2 * per_class).collect()
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text").mapInArrow(
+        _bags, "y int, n long, bag binary")
+    sample = spool(sample.select("*", F.xxhash64("bag").alias("h"), F.monotonically_increasing_id().alias("uid")), "quality-bags")
+    # A repeated id brings all its rows; at most 2 * per_class rows go on, so the window is over few.
+    first = sample.select("h", "uid", "n").orderBy("h", "uid").limit(2 * per_class)
+    first = first.withColumn("upto", F.sum("n").over(Window.orderBy("h", "uid"))).where(F.col("upto") <= most)
+    rows = sample.join(F.broadcast(first.select("uid")), "uid", "left_semi").select("y", "h", "bag").collect()
+    rows.sort(key=lambda r: (r["h"], r["y"], bytes(r["bag"])))
     y = np.array([r["y"] for r in rows], dtype=np.float32)
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows]
     weight = np.ones(len(y), np.float32)
@@ -205,7 +208,8 @@ def _scorer(params: dict[str, np.ndarray]):
 def score(docs: DataFrame, net: GatedAttention, folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    Null and empty texts are one empty passage; repeated rows are scored
+    Null and empty texts are one empty passage; very long texts are scored over
+    all their passages; repeated rows are scored
     alike; a null doc_id is hashed as an empty text; an empty table gives an
     empty result. Other columns are not read.
     """

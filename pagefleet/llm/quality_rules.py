@@ -26,6 +26,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from pagefleet.functions.scalar import optimizer_fence
 from pagefleet.llm.common import SPACES
@@ -54,6 +55,8 @@ RULES = (
     Rule("short_words", "10 * word_chars", "n_words", (10, 15, 20, 25, 30), "<"),
 )
 STRATA = ("en", "de", "fr", "es")
+#: Of the rows of one labelled doc_id, the first by these is its trial.
+TRIAL = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "stratum")
 OTHER = "other"
 
 
@@ -170,13 +173,17 @@ def judged(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES,
     ``labels`` has ``doc_id, quality``: 1 good, 0 bad; a document whose labels
     disagree is bad, null labels do not count. Null texts are empty (and fail the
     base rule); null or unlisted strata are pooled as ``other``; repeated rows
-    are judged alike; with empty tables nothing is proven or nothing comes
+    are judged alike and are one trial of the proof (of several rows of one
+    labelled doc_id the one with the smallest counts); with empty tables nothing is proven or nothing comes
     back. Columns of ``docs`` stay inside ``row``, so no name can clash.
     """
     rows = measured(docs, stratum, strata)
     good = labels.where("quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     own = rows.withColumn("doc_id", F.col("row.doc_id")).drop("row")
-    cuts = thresholds(own.join(good, "doc_id"), rules, strata, total_risk, error, price)
+    # A label is one trial of the test, however many rows its document has.
+    one = Window.partitionBy("doc_id").orderBy(*TRIAL)
+    trials = own.join(good, "doc_id").withColumn("k", F.row_number().over(one)).where("k = 1").drop("k")
+    cuts = thresholds(trials, rules, strata, total_risk, error, price)
     # At most len(strata) + 1 rows.
     rows = rows.join(F.broadcast(cuts), "stratum", "left")
     rejected = " OR ".join(f"coalesce({r.rejects(f'cut_{r.name}')}, false)" for r in rules)
@@ -213,11 +220,12 @@ stats AS (SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '
           FROM docs JOIN words USING (uid) LEFT JOIN lines USING (uid) LEFT JOIN covered USING (uid)),
 base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats),
 labelled AS (SELECT base.*, good FROM base JOIN (SELECT doc_id, min(quality) = 1 AS good FROM labels
-             WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+             WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)
+             QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {', '.join(TRIAL)}) = 1),
 grid AS (SELECT * FROM (VALUES {grid}) AS t(rule, strictness, cutoff)),
 counts AS (SELECT stratum, rule, strictness, cutoff, count(*) FILTER (good) AS n,
                   count(*) FILTER (good AND ({beyond('cutoff')})) AS k, count(*) FILTER (NOT good AND ({beyond('cutoff')})) AS bad
-           FROM labelled, grid GROUP BY ALL),
+           FROM labelled, grid WHERE NOT base_failed GROUP BY ALL),
 tests AS (SELECT *, CASE WHEN k >= n * {risk!r}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
               exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk!r}::DOUBLE)
                   + (n - j) * ln(1 - {risk!r}::DOUBLE)))) END AS p FROM counts),

@@ -180,7 +180,8 @@ def _scorer(weights: dict[str, float], bias: float):
 def score(docs: DataFrame, model: PuClassifier, folds: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    Null and empty texts have no words and score as the bias does; repeated
+    Null and empty texts have no words and score as the bias does; very long
+    texts are scored over all their words; repeated
     rows are scored alike; an empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -51,6 +51,39 @@ def test_same_verdicts_as_sql(spark, tmp_path):
     assert rows.columns == docs.columns and rows.where("doc_id >= 1000").count() == 2700
 
 
+def by_sql(docs, labels):
+    documents, known = docs.select("doc_id", "text", "lang").toPandas(), labels.toPandas().astype("Int64")  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    con.register("labels", known)
+    return con.execute(Q.oracle_sql()).fetchall()
+
+
+COLUMNS = ("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def test_every_stratum_proves_cutoffs(spark):
+    good, bad = (" ".join(f"word{i}{mark}" for i in range(70)) for mark in ("", "###"))
+    place = F.col("id") % 5
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.when(F.floor(F.col("id") / 5) % 8 == 0, bad).otherwise(good).alias("text"),
+        F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es", "xx"))), (place + 1).cast("int")).alias("lang"))
+    labels = docs.select("doc_id", (F.floor(F.col("doc_id") / 5) % 8 != 0).cast("int").alias("quality"))
+    got = Q.judged(docs, labels).select(*COLUMNS)
+    assert sorted(map(tuple, got.collect())) == sorted(by_sql(docs, labels))
+    kept = {r.doc_id for r in got.where("kept").collect()}
+    assert kept == {i for i in range(6000) if i // 5 % 8}  # in all five strata
+
+
+def test_repeated_rows_are_one_trial(spark):
+    """One labelled document in 700 rows proves nothing."""
+    words, marked = (" ".join(f"word{i}{m}" for i in range(70)) for m in ("", "###"))
+    docs = spark.createDataFrame([(1, words, "en")] * 700 + [(2, marked, "en")] * 50 + [(3, "few", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    got = Q.judged(docs, labels).select(*COLUMNS)
+    assert got.where("kept").count() == 750 and sorted(map(tuple, got.collect())) == sorted(by_sql(docs, labels))
+
+
 def test_too_few_labels_prove_nothing(spark):
     docs = hostile(spark)
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
