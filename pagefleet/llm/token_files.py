@@ -173,7 +173,7 @@ def _writer(path: str, end_id: int, file_ids: int):
 
         for batch in it:
             names = batch.column("doc_id").to_pylist()
-            for lo, texts in batches(batch.column("text")):
+            for lo, texts in batches(batch.column("text"), 4_000_000):
                 for name, x in zip(names[lo:], enc.encode(texts)):
                     doc_ids.append(name)
                     ids.append(x + end)
