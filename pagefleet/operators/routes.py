@@ -12,8 +12,8 @@ Scale notes
   route cap is asked for, and then it is a bounded TakeOrderedAndProject.
 * F1 needs rank order only among paths that can collide. Partial aggregates
   find the families of paths with a duplicate; only their route rows (not
-  data rows) are split into components, sorted and resolved in one streaming
-  ``mapInPandas`` pass.
+  data rows) are numbered, by range partitions plus offsets, so a path that
+  holds a third of all routes is numbered by all tasks.
 * D8 joins data rows to routes on the key columns. The strategy is left to
   statistics; in a shuffle join AQE splits a hot route key on the row side.
 """
@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from pagefleet import schemas
 from pagefleet.functions import scalar, text
+from pagefleet.operators.numbering import running_count
 from pagefleet.session import checkpointed
 
 
@@ -155,83 +156,71 @@ def build_routes(
 # F1 exact path disambiguation
 # --------------------------------------------------------------------------
 FAMILY_PATTERN = r"(-[0-9]+)+$"
+FAMILY_PATTERN_GROUP = r"((-[0-9]+)+)$"
 
 
-def _resolve_sorted(batches):
-    """Stream route rows sorted by (group, rank) and assign paths in order.
+#: A last number that a copy's suffix can be: 2 and up, without leading zeros, within a long.
+SUFFIX_PATTERN = r"^(.*)-([1-9][0-9]{0,17})$"
 
-    ``_family`` holds the interaction component here. The state is the set
-    of names taken in the current component; it is reset at every component
-    boundary, so memory is bounded by the largest component, never by the
-    partition.
+
+def _fold_children(batches):
+    """Whether a name that is also some path's copy name is held by its own first row, or taken by a copy.
+
+    Rows come sorted by (parent, suffix): the present paths ``parent-suffix``. ``before`` is how many
+    copies of the parent rank before the child's first row. With ``b`` smaller suffixes
+    held by their own rows, the copy that reaches ``suffix`` is number ``suffix - 1 - b``: it finds
+    the name held unless it ranks before the child. The state is one number, whatever a parent's number of children.
     """
-    family = None
-    taken: set[str] = set()
-    next_suffix: dict[str, int] = {}
+    parent, held = None, 0
     for pdf in batches:
-        fams = pdf["_family"].to_numpy()
-        nats = pdf["_natural"].to_numpy()
-        out = [None] * len(pdf)
-        for i in range(len(pdf)):
-            if fams[i] != family:
-                family = fams[i]
-                taken = set()
-                next_suffix = {}
-            p = nats[i]
-            cand = p
-            if cand in taken:
-                s = next_suffix.get(p, 2)
-                cand = f"{p}-{s}"
-                while cand in taken:
-                    s += 1
-                    cand = f"{p}-{s}"
-                next_suffix[p] = s + 1  # names only get taken: later copies start here
-            taken.add(cand)
-            out[i] = cand
-        yield pdf.drop(columns=["_family", "_natural"]).assign(path=out)
-
-
-def _components(rows: DataFrame, path_col: str) -> DataFrame:
-    """Exact interaction components of the natural paths of dup families.
-
-    A route with natural path ``p`` only ever takes ``p`` or ``p-k``, so it
-    can only meet routes of its own path or of its parent (``p`` minus its
-    last ``-digits`` group). The parent's routes take child names only when
-    the parent is *active*: present with duplicates, or itself linked to an
-    active parent. The component of ``p`` is therefore the top of its chain
-    of active, present ancestors. Each path's ancestor chain (one per
-    trailing ``-digits`` group, a handful) is joined with the present paths
-    and folded top-down with ``aggregate``; nothing is gathered per family.
+        reaching, own = [], []
+        for p, suffix, before in zip(pdf["parent"], pdf["suffix"].tolist(), pdf["before"].tolist()):
+            if p != parent:
+                parent, held = p, 0
+            j = suffix - 1 - held
+            reaching.append(j)
+            own.append(before < j)
+            held += own[-1]
+        yield pdf.drop(columns=["suffix", "before"]).assign(copy=reaching, held=own)
+
+
+def _child_names(numbered: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """``(lost, skipped)``: the names that a copy of their parent takes before their own first row, and, per
+    parent, the copies (numbers) from which on one more suffix is skipped.
+
+    Decided from the outermost paths inwards: whether a path keeps its name
+    decides which of its rows are copies, and so what its children meet.
     """
-    if "_stem" not in rows.columns:  # one namespace: the family is the path without its numbers
-        rows = rows.withColumn("_stem", F.col("_family"))
-    nat = rows.groupBy("_family", "_stem", path_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    sfx = F.regexp_extract(F.col(path_col), r"((-[0-9]+)+)$", 1)
-    parts = F.when(sfx == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.substring(sfx, 2, 1 << 30), "-"))
-    chain = F.transform(
-        F.sequence(F.lit(0), F.size(parts)),
-        lambda i: F.when(i == 0, F.col("_stem")).otherwise(
-            F.concat(F.col("_stem"), F.lit("-"), F.array_join(F.slice(parts, F.lit(1), i), "-"))),
-    )
-    nodes = nat.select("_family", path_col, F.posexplode(chain).alias("_lvl", "_node"))
-    present = nat.select("_family", F.col(path_col).alias("_node"), F.col("_cnt").alias("_ncnt"))
-    flagged = nodes.join(present, ["_family", "_node"], "left")
-    chains = flagged.groupBy("_family", path_col).agg(
-        F.array_sort(F.collect_list(F.struct("_lvl", "_node", "_ncnt"))).alias("_chain"))
-    init = F.struct(F.lit(False).alias("active"), F.lit(False).alias("present"), F.lit("").alias("comp"))
-
-    def step(acc, x):
-        linked = acc["present"] & acc["active"]
-        here = x["_ncnt"].isNotNull()
-        return F.struct(
-            (here & ((F.coalesce(x["_ncnt"], F.lit(0)) >= 2) | linked)).alias("active"),
-            here.alias("present"),
-            F.when(linked, acc["comp"]).otherwise(x["_node"]).alias("comp"),
-        )
-
-    comp = F.aggregate("_chain", init, step)["comp"]
-    return chains.select("_family", path_col, comp.alias("_comp"))
+    spark = numbered.sparkSession
+    first = numbered.where("_pos = 1").select("*", F.regexp_extract("_name", SUFFIX_PATTERN, 1).alias("parent"),
+                                              F.regexp_extract("_name", SUFFIX_PATTERN, 2).try_cast("long").alias("suffix"))
+    first = first.where("suffix >= 2").withColumn("child", F.col("_name"))
+    present = numbered.where("_pos = 1").select(F.col("_name").alias("parent"))
+    keep = [f"_o{i}" for i in range(len(order))]
+    marks = first.join(present, "parent").select(F.col("parent").alias("_name"), *keep, "child", "suffix", F.lit(1).alias("_kind"))
+    marks = checkpointed(marks)
+    rows = numbered.join(marks.select("_name").distinct(), "_name", "left_semi").select(
+        "_name", *keep, F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("suffix"), F.lit(0).alias("_kind"))
+    # Where a child's first row ties with a row of its parent, the parent's path is the smaller and comes first.
+    counted = running_count(rows.unionByName(marks), "_name", [*order, F.col("_kind").asc()], F.col("_kind") == 0, "rows")
+    depth = F.length(F.regexp_extract("_name", FAMILY_PATTERN_GROUP, 0)) - F.length(
+        F.replace(F.regexp_extract("_name", FAMILY_PATTERN_GROUP, 0), F.lit("-"), F.lit("")))
+    children = checkpointed(counted.where("_kind = 1").select(F.col("_name").alias("parent"), "child", "suffix", "rows",
+                                                              depth.alias("depth")))
+    lost = spark.createDataFrame([], "child string")
+    skipped = spark.createDataFrame([], "parent string, copy long")
+    depths = sorted(r[0] for r in children.select("depth").distinct().collect())  # numbers at the end of one path: a few
+    for d in depths:
+        here = children.where(F.col("depth") == d).join(
+            lost.select(F.col("child").alias("parent"), F.lit(True).alias("gone")), "parent", "left")
+        # A path that keeps its name spends its first row on it.
+        before = F.when(F.col("gone"), F.col("rows")).otherwise(F.greatest(F.col("rows") - 1, F.lit(0)))
+        told = here.select("parent", "child", "suffix", before.alias("before")).repartition("parent") \
+            .sortWithinPartitions("parent", "suffix").mapInPandas(_fold_children, "parent string, child string, copy long, held boolean")
+        told = checkpointed(told)
+        lost = lost.unionByName(told.where("NOT held").select("child"))
+        skipped = skipped.unionByName(told.where("held").select("parent", "copy"))
+    return lost, skipped
 
 
 def disambiguate_paths(
@@ -241,21 +230,22 @@ def disambiguate_paths(
     """give every row a unique ``path`` following the sequential rule.
 
     In rank order a path already taken becomes ``p-2``, ``p-3``, ... until free;
-    a generated ``x-2`` can itself collide with a natural ``x-2``.
+    a generated ``x-2`` can itself collide with a natural ``x-2``. Rows that tie
+    in rank are ordered by their natural path.
 
     * Paths can only interact inside a *family* (same path after stripping
-      ``(-[0-9]+)+$``) and scope. Partial aggregates classify families.
-      Families without a duplicate keep their paths; families that repeat one
-      single natural path number the copies with ``row_number`` -- both in
-      the JVM.
-    * Families holding several natural paths and a duplicate are split into
-      exact interaction components
-      (``_components``), so a wide family (e.g. every date of a year) does not
-      land in one task. Components are resolved in one streaming
-      ``mapInPandas`` pass over rank-sorted partitions; its memory is the
-      taken set of one component.
+      ``(-[0-9]+)+$``) and scope. Partial aggregates classify families;
+      families without a duplicate keep their paths.
+    * In the others the rows of each natural path are numbered in rank order
+      by range partitions and offsets (``running_count``). Only a path's own
+      copies and its present children ``p-k`` can take a name ``p-k``, and
+      the copies take theirs in ascending order. So the j-th copy takes the
+      j-th suffix that no child holds: ``j + 1`` plus the number of suffixes
+      skipped so far, which is one more running count. Which children hold
+      their names is folded over the children alone (``_child_names``), one
+      number of state for each parent.
     * The route table is checkpointed once (reliable, in
-      ``spark.checkpoint.dir``) and read by all three branches; without it
+      ``spark.checkpoint.dir``) and read by all branches; without it
       each branch would re-run the input scan and aggregation. Pass
       ``materialize=False`` only when ``df`` is already materialised.
       Nested rank columns are consumed by the sort and not passed on.
@@ -264,12 +254,9 @@ def disambiguate_paths(
     # lengths keep neighbouring scopes apart. The path itself stays unscoped.
     names = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
              for c in (F.col(x).cast("string") for x in scope or [])]
-    staged = df.withColumn("_scope", F.concat(F.lit(""), *names)).withColumn(
-        "_stem", F.regexp_replace(F.col(path_col), FAMILY_PATTERN, "")).withColumn("_family", F.concat("_scope", "_stem"))
-    # The route table is read by all three branches and the component step:
-    # materialise it once (reliable checkpoint in spark.checkpoint.dir; route
-    # rows, not data rows) so the input scan and aggregation run once and a
-    # lost executor recomputes from here.
+    prefix = F.concat(F.lit(""), *names)
+    staged = df.withColumn("_scope", prefix).withColumn("_family", F.concat("_scope", F.regexp_replace(
+        F.col(path_col), FAMILY_PATTERN, "")))
     if materialize:
         staged = checkpointed(staged)
     # Families are classified by partial aggregates and joined back, so a family
@@ -279,46 +266,36 @@ def disambiguate_paths(
         (F.max("_copies") > 1).alias("_dup_family"), (F.min(path_col) == F.max(path_col)).alias("_one_path"))
     marked = staged.join(families, "_family")
     cols = list(df.columns)
-    order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in zip(rank_cols, ascending)]
     nested = (T.StructType, T.ArrayType, T.MapType)
     keep = [f.name for f in df.schema.fields if not (f.name in rank_cols and isinstance(f.dataType, nested))]
     # No duplicate in the family: every path stays as it is.
-    clean = marked.filter(~F.col("_dup_family")).select(*cols, F.col(path_col).alias("path"))
-    if materialize:
-        # One pass over the materialised route rows says which branches have
-        # work; branches without rows are left out of the plan.
-        need = families.agg(
-            F.max(F.col("_dup_family").cast("int")).alias("dup"),
-            F.max((F.col("_dup_family") & ~F.col("_one_path")).cast("int")).alias("complex"),
-        ).first()
-        need_single, need_complex = bool(need.dup), bool(need.complex)
+    clean = marked.filter(~F.col("_dup_family")).select(*cols, F.col(path_col).alias("path")).select(*keep, "path")
+    # One pass over the materialised route rows says which branches have work;
+    # branches without rows are left out of the plan.
+    need = families.agg(F.max(F.col("_dup_family").cast("int")).alias("dup"),
+                        F.max((F.col("_dup_family") & ~F.col("_one_path")).cast("int")).alias("complex")).first()
+    if not need.dup:
+        return clean
+    order = [F.col(f"_o{i}").asc() if asc else F.col(f"_o{i}").desc() for i, asc in enumerate(ascending)]
+    ranks = [F.col(c).alias(f"_o{i}") for i, c in enumerate(rank_cols)]
+    dup = marked.filter("_dup_family").select(*cols, F.concat("_scope", F.col(path_col)).alias("_name"), *ranks)
+    numbered = running_count(dup, "_name", order, F.lit(1), "_pos")
+    if not need.complex:  # one natural path in every family: copies take p, p-2, p-3, ...
+        suffix = F.when(F.col("_pos") > 1, F.col("_pos"))
     else:
-        need_single = need_complex = True
-    result = clean.select(*keep, "path")
-    # One natural path repeated: copies take p, p-2, p-3, ... in rank order.
-    copy_no = F.row_number().over(Window.partitionBy("_family").orderBy(*order))
-    single = marked.filter(F.col("_dup_family") & F.col("_one_path")).withColumn(
-        "path", F.when(copy_no == 1, F.col(path_col)).otherwise(
-            F.concat(F.col(path_col), F.lit("-"), copy_no.cast("string")))).select(*cols, "path")
-    if need_single:
-        result = result.unionByName(single.select(*keep, "path"))
-    if not need_complex:
-        return result
-
-    dup = marked.filter(F.col("_dup_family") & ~F.col("_one_path")).drop("_dup_family", "_one_path")
-    comps = _components(dup, path_col)
-    keyed = dup.join(comps, ["_family", path_col]).withColumn("_family", F.concat("_scope", "_comp"))
-    sorted_rows = (
-        keyed.repartition("_family")
-        .sortWithinPartitions(F.col("_family"), *order, F.col(path_col))
-        .select(*[F.col(c) for c in keep], F.col("_family"), F.col(path_col).alias("_natural"))
-    )
-    out_schema = T.StructType(
-        [f for f in sorted_rows.schema.fields if f.name not in ("_family", "_natural")]
-        + [T.StructField("path", T.StringType())]
-    )
-    resolved = sorted_rows.mapInPandas(_resolve_sorted, out_schema)
-    return result.unionByName(resolved.select(*keep, "path"))
+        numbered = checkpointed(numbered)
+        lost, skipped = _child_names(numbered, order)
+        gone = lost.select(F.col("child").alias("_name"), F.lit(True).alias("_gone"))
+        copies = numbered.join(gone, "_name", "left").withColumn(
+            "_copy", F.col("_pos") - F.when(F.col("_gone"), 0).otherwise(1)).drop("_gone")
+        # Skipped suffixes lie before the copy that meets them.
+        events = skipped.select(F.col("parent").alias("_name"), F.col("copy").alias("_copy"), F.lit(True).alias("_event"))
+        both = copies.withColumn("_event", F.lit(False)).unionByName(events, allowMissingColumns=True)
+        numbered = running_count(both, "_name", [F.col("_copy").asc(), F.col("_event").desc()], F.col("_event"), "_skipped") \
+            .where("NOT _event")
+        suffix = F.when(F.col("_copy") > 0, F.col("_copy") + 1 + F.col("_skipped"))
+    path = F.concat(F.col(path_col), F.coalesce(F.concat(F.lit("-"), suffix.cast("string")), F.lit("")))
+    return clean.unionByName(numbered.select(*keep, path.alias("path")))
 
 
 # --------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import random
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagefleet.operators import routes as R
@@ -150,15 +151,44 @@ def test_disambiguation_deep_chains_random(spark):
         assert {r["rank"]: r.path for r in out} == expected
 
 
-def test_wide_family_splits_into_components(spark):
+def test_wide_family_keeps_its_paths(spark):
     # every date of a year shares the family '/2024'; only '/2024-01-05' has a
     # duplicate and its only present child is '/2024-01-05-2'.
     paths = [f"/2024-01-{d:02d}" for d in range(1, 29)] + ["/2024-01-05", "/2024-01-05-2"]
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "rank long, natural string") \
-        .withColumn("_family", F.lit("/2024"))
-    comps = {r.natural: r._comp for r in R._components(df, "natural").collect()}
-    assert comps["/2024-01-05-2"] == "/2024-01-05"
-    assert len(set(comps.values())) == 28
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "rank long, natural string")
+    out = {r["rank"]: r.path for r in R.disambiguate_paths(df, "natural", ["rank"], [True]).collect()}
+    assert out == dict(enumerate(_sequential(paths)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_path_is_numbered_by_all_tasks(spark, seed):
+    """A third of all routes share a path; natural children come early and late, of several levels and scopes."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(9000):
+        path = "/hot" if rng.random() < 0.34 else rng.choice(
+            [f"/hot-{rng.randint(2, 4000)}", f"/hot-{rng.randint(2, 40)}-{rng.randint(2, 9)}", f"/other-{rng.randint(0, 3000)}", "/hot-007"])
+        rows.append((i, path, rng.choice(["a", "a", "b", None])))
+    df = spark.createDataFrame(rows, "rank long, natural string, site string").repartition(7)
+    out = {r["rank"]: r.path for r in R.disambiguate_paths(df, "natural", ["rank"], [True], scope=["site"]).collect()}
+    want = {}
+    for site in ("a", "b", None):
+        own = [r for r in rows if r[2] == site]
+        want |= dict(zip([r[0] for r in own], _sequential([r[1] for r in own])))
+    assert out == want
+
+
+def test_running_count_spreads_a_group(spark):
+    from pagefleet.operators.numbering import running_count
+
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.lit(None)).alias("g"))
+    out = running_count(df, "g", [F.col("id").asc()], F.col("id") % 2 == 0, "n", partitions=8)
+    got = {r.id: r.n for r in out.collect()}
+    seen: dict = {}
+    for i in range(5000):
+        g = i % 3 > 0
+        seen[g] = seen.get(g, 0) + (i % 2 == 0)
+        assert got[i] == seen[g]
 
 
 def test_large_component_is_exact(spark):
