@@ -133,10 +133,17 @@ def _iso_timestamp(col: Column) -> Column:
     return F.when(frac == "000000", base).otherwise(F.concat(base, F.lit("."), frac))
 
 
+def json_number(col: Column) -> Column:
+    """A decimal as a JSON number (VARIANT) of its full precision, without trailing zeros: 5.00 is 5."""
+    plain = col.cast("string")
+    return F.parse_json(F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain))
+
+
 def json_safe(col: Column, dt: T.DataType) -> Column:
-    """NaN/±Inf -> null, dates -> ISO text, binary -> UTF-8 text.
+    """NaN/±Inf -> null, dates -> ISO text, binary -> UTF-8 text, decimals -> JSON numbers.
 
-    Integral decimals keep their value; the JSON writer renders them.
+    Follows the schema into structs, arrays and maps, at any depth. Map keys are
+    their cell texts (a key that has none is the text ``null``).
     """
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return F.when(F.isnan(col) | (F.abs(col) == float("inf")), F.lit(None).cast(dt)).otherwise(col)
@@ -147,17 +154,28 @@ def json_safe(col: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.BinaryType):
         return F.make_valid_utf8(col.cast("string"))
     if isinstance(dt, T.DecimalType):
-        integral = col == F.floor(col)
-        return F.when(integral, col.cast("decimal(38,0)").cast("string")).otherwise(col.cast("double").cast("string"))
+        return json_number(col)
+    if isinstance(dt, T.StructType):
+        fields = [json_safe(col.getField(f.name), f.dataType).alias(f.name) for f in dt.fields]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    if isinstance(dt, T.ArrayType):
+        return F.transform(col, lambda x: json_safe(x, dt.elementType))
+    if isinstance(dt, T.MapType):
+        return F.map_from_entries(F.transform(F.map_entries(col), lambda e: F.struct(
+            F.coalesce(cell_text(e["key"], dt.keyType), F.lit("null")).alias("key"),
+            json_safe(e["value"], dt.valueType).alias("value"))))
     return col
 
 
 def cell_text(col: Column, dt: T.DataType) -> Column:
     """``str(sanitised cell)`` as used for route keys and labels (Q6, Q21)."""
-    safe = json_safe(col, dt)
     if isinstance(dt, T.BooleanType):
         return F.when(col, F.lit("True")).when(~col, F.lit("False"))
-    return safe.cast("string")
+    if isinstance(dt, T.DecimalType):
+        return F.when(col == F.floor(col), col.cast("decimal(38,0)").cast("string")).otherwise(col.cast("double").cast("string"))
+    if isinstance(dt, (T.StructType, T.ArrayType, T.MapType)):
+        return col.cast("string")
+    return json_safe(col, dt).cast("string")
 
 
 def json_safe_frame(df: DataFrame) -> DataFrame:
@@ -167,10 +185,15 @@ def json_safe_frame(df: DataFrame) -> DataFrame:
 
 def strict_json(c: Column) -> Column:
     """JSON text that keeps null fields and never holds NaN/Infinity tokens
-    (callers pass columns through ``json_safe`` first)."""
+    (callers pass columns through ``json_safe`` first, or use ``json_text``)."""
     return F.to_json(c, {"ignoreNullFields": "false"})
 
 
+def json_text(df: DataFrame) -> Column:
+    """I12 of a whole row: the strict JSON object of its cells, nested ones included."""
+    return strict_json(F.struct(*[json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]))
+
+
 def calculator_value(df: DataFrame, inputs: list[tuple[str, float]], base: float = 0.0) -> Column:
     """I16: ``base + Σ value*weight``; non-numeric, NaN or null cells count as 0."""
     total: Column = F.lit(float(base))

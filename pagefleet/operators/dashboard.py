@@ -87,12 +87,15 @@ def latest_errors(branches: list[tuple[str, DataFrame, str]], limit: int = 20,
 
 
 def evaluation_listing(evaluations: DataFrame, opportunities: DataFrame, limit: int = 20) -> DataFrame:
-    """Evaluations ⟕ opportunities, niche ``-`` when missing, newest first."""
+    """Evaluations ⟕ opportunities, niche ``-`` when missing, newest first.
+
+    Cut before the join: an opportunity has one row, so the newest evaluations are the listing's.
+    """
+    newest = [F.desc("created_at"), F.desc("id")]
     o = opportunities.select(F.col("id").alias("_oid"), F.col("niche_id"))
-    j = evaluations.join(o, evaluations.opportunity_id == F.col("_oid"), "left")
-    return j.withColumn("niche_id", F.coalesce("niche_id", F.lit("-"))).drop("_oid").orderBy(
-        F.desc("created_at"), F.desc("id")
-    ).limit(limit)
+    cut = evaluations.orderBy(*newest).limit(limit)
+    j = cut.join(o, F.col("opportunity_id") == F.col("_oid"), "left")
+    return j.withColumn("niche_id", F.coalesce("niche_id", F.lit("-"))).drop("_oid").orderBy(*newest)
 
 
 def outcome_totals(outcomes: DataFrame, status: str = "status") -> DataFrame:

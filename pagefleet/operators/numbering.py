@@ -32,3 +32,16 @@ def running_count(rows: DataFrame, group: str, order: list[Column], counted: Col
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     same = counts[group].eqNullSafe(offsets["_group"]) & (counts["_part"] == offsets["_at"])
     return counts.join(offsets, same).select(*rows.columns, (F.col("_here") + F.col("_before")).alias(out))
+
+
+def first_per_group(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``, for any ``n``.
+
+    Up to Spark's window group limit a group ships at most ``n`` rows from each
+    map task. Beyond it a window would sort a whole group in one task; there the rows are
+    counted over range partitions instead.
+    """
+    if n <= int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        number = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        return rows.withColumn("_n", number).where(F.col("_n") <= n).drop("_n")
+    return running_count(rows, group, order, F.lit(1), "_n").where(F.col("_n") <= n).drop("_n")

@@ -5,7 +5,7 @@ B5 sitemap_lines (with H3), B6 robots_txt, B7 render_route_pages.
 
 Documents that grow with the data (sitemaps, route pages) are produced as
 ordered *lines* ``(doc, seq..., line)``: every data row renders its own line
-in parallel and nothing is collected per document. ``sinks.write_lines``
+in parallel and nothing is collected per document. ``sinks.containers``
 range-partitions on the document and order keys, so one huge document is
 split over several ordered part files instead of one task.
 """
@@ -144,8 +144,8 @@ def robots_txt(sites: DataFrame) -> DataFrame:
 
 
 def render_route_pages(routes: DataFrame, route_rows: DataFrame, columns: list[str], base: Column | str,
-                       order_by: str | list[str]) -> DataFrame:
-    """Route pages as ordered HTML lines ``path, part, seq, line``.
+                       order_by: str | list[str], site: str | None = None) -> DataFrame:
+    """Route pages as ordered HTML lines ``[site,] path, part, seq, line``.
 
     Head (title, description, canonical link, JSON-LD), the table header, one
     ``<tr>`` per data row in ``order_by`` order (null cells render empty,
@@ -157,6 +157,7 @@ def render_route_pages(routes: DataFrame, route_rows: DataFrame, columns: list[s
     head and foot, behind the line number.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
+    keys = ["path"] if site is None else [site, "path"]
     fields = route_rows.select(*order).schema.fields
     if [f.dataType.typeName() for f in fields] in (["byte"], ["short"], ["integer"], ["long"]):
         line_seq, row_seq = (lambda i: i.cast("long")), F.col(order[0]).cast("long")
@@ -183,14 +184,14 @@ def render_route_pages(routes: DataFrame, route_rows: DataFrame, columns: list[s
         F.concat(F.lit("<p>"), text.html_escape("description"), F.lit("</p>")),
         F.lit(f"<table><thead><tr>{header_cells}</tr></thead><tbody>"),
     )
-    head = routes.select("path", F.posexplode(head_lines).alias("_i", "line")).select(
-        "path", F.lit(0).alias("part"), line_seq(F.col("_i")).alias("seq"), "line")
-    foot = routes.select("path", F.lit(2).alias("part"), line_seq(F.lit(0)).alias("seq"),
+    head = routes.select(*keys, F.posexplode(head_lines).alias("_i", "line")).select(
+        *keys, F.lit(0).alias("part"), line_seq(F.col("_i")).alias("seq"), "line")
+    foot = routes.select(*keys, F.lit(2).alias("part"), line_seq(F.lit(0)).alias("seq"),
                          F.lit("</tbody></table></body></html>").alias("line"))
     cells = [F.concat(F.lit("<td>"), text.html_escape(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))),
                       F.lit("</td>")) for c in columns]
     body = route_rows.select(
-        "path", F.lit(1).alias("part"), row_seq.alias("seq"),
+        *keys, F.lit(1).alias("part"), row_seq.alias("seq"),
         F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("line"),
     )
     return head.unionByName(body).unionByName(foot)

@@ -20,13 +20,13 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagefleet import schemas
 from pagefleet.functions import scalar, text
-from pagefleet.operators.numbering import running_count
+from pagefleet.operators.numbering import first_per_group, running_count
 from pagefleet.session import checkpointed
 
 
@@ -101,8 +101,7 @@ def route_groups(
     if max_routes is not None and site is None:
         groups = groups.orderBy(F.desc("row_count"), F.asc("first_pos")).limit(max(max_routes, 0))
     elif max_routes is not None:
-        w = Window.partitionBy(site).orderBy(F.desc("row_count"), F.asc("first_pos"))
-        groups = groups.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_routes).drop("_rn")
+        groups = first_per_group(groups, site, [F.desc("row_count"), F.asc("first_pos")], max(max_routes, 0))
     return groups
 
 

@@ -6,11 +6,12 @@ D3 deployment_sites, D7 apply_rewrites.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefleet import schemas
 from pagefleet.functions import scalar
+from pagefleet.operators.numbering import first_per_group
 
 
 def page_metrics(
@@ -54,15 +55,11 @@ def cap_flagged_pages(
 ) -> DataFrame:
     """the first ``max_pages`` flagged pages per deployment in source order; all without a cap.
 
-    ``row_number() <= n`` lets Spark insert a per-partition group limit before
-    the shuffle while n is at most ``spark.sql.optimizer.windowGroupLimitThreshold``
-    (1000), so a deployment holding most flagged pages ships at most n rows per
-    map task. Beyond that threshold its rows are sorted in one task.
+    Any number of pages: see ``first_per_group``.
     """
     if max_pages is None:
         return flagged
-    w = Window.partitionBy(partition).orderBy(*order_by)
-    return flagged.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_pages).drop("_rn")
+    return first_per_group(flagged, partition, [F.col(c).asc() for c in order_by], max_pages)
 
 
 def flagged_count(flagged: DataFrame, partition: str) -> DataFrame:

@@ -232,7 +232,7 @@ def compile_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ST.run_compile(spark, ledger, 1, customer_geo(spark, sf_dir), out_dir, ["c_custkey"], run_id="compile-1")
     written = spark.read.json(f"{out_dir}/rows").agg(F.count("*").alias("rows_written")).crossJoin(
         spark.read.json(f"{out_dir}/routes/routes").agg(F.count("*").alias("routes_written"))).crossJoin(
-        spark.read.text(f"{out_dir}/sitemap").agg(F.count("*").alias("sitemap_lines")))
+        spark.read.text(f"{out_dir}/sitemap/data").agg(F.count("*").alias("sitemap_lines")))
     return out["report"].select("status", "row_count", "route_count").crossJoin(written)  # one row each
 
 
@@ -327,3 +327,18 @@ def stage_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
         run_id="poll-1")
     errors = ST.fleet_dashboard(spark, ledger)["errors"]
     return errors.where("trace LIKE '%Traceback%'").select("kind", F.regexp_extract("trace", "order [0-9]+", 0).alias("cause"))
+
+
+# ---------------------------------------------------------------- F2: caps of any size
+@register(
+    "flagged_cap_large",
+    "SELECT deployment_id, pos FROM (SELECT CASE WHEN l_orderkey % 3 > 0 THEN 0 ELSE l_suppkey END AS deployment_id, "
+    "l_orderkey * 1000 + l_linenumber * 100 + l_quantity::BIGINT AS pos FROM lineitem) "
+    "QUALIFY row_number() OVER (PARTITION BY deployment_id ORDER BY pos) <= 5000",
+)
+def flagged_cap_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the first 5,000 pages of every deployment, one of which holds two thirds of all."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_orderkey") % 3 > 0, 0).otherwise(F.col("l_suppkey")).alias("deployment_id"),
+        (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")).alias("pos"))
+    return TM.cap_flagged_pages(li, "deployment_id", ["pos"], 5000)

@@ -14,7 +14,9 @@ from pagefleet.functions import text
 from pagefleet.operators import pages as P
 from pagefleet.operators import routes as R
 from pagefleet.plans.registry import register, slug_sql, table
-from pagefleet.session import checkpointed
+from pagefleet.session import checkpointed, scratch_dir
+from pagefleet.sinks import writers as W
+from pagefleet.sinks.containers import document_index, read_document, write_documents
 from pagefleet.sources import files
 
 _TITLE_SQL = ("array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|[^\\p{{L}}]+)', 1), "
@@ -189,6 +191,77 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path", "part", "seq", "line")
 
 
+_LINES_CTE = (
+    "WITH " + _SITE_CTE + ", lines AS (" + " UNION ALL ".join(
+        f"SELECT site, path, 0 AS part, CAST({i} AS BIGINT) AS seq, {expr} AS line FROM rt" for i, expr in enumerate(_HEAD_SQL))
+    + " UNION ALL SELECT rt.site, rt.path, 1, CAST(ds.c_custkey AS BIGINT), '<tr>' || "
+    + " || ".join(f"'<td>' || {_esc(f'coalesce(CAST(ds.{c} AS VARCHAR), {chr(39)}{chr(39)})')} || '</td>'" for c in _PAGE_COLS)
+    + " || '</tr>' FROM ds JOIN rt ON ds.site = rt.site AND ds.n_name = rt.n_name AND ds.c_mktsegment = rt.c_mktsegment"
+    " UNION ALL SELECT site, path, 2, CAST(0 AS BIGINT), '</tbody></table></body></html>' FROM rt)")
+
+
+def packed_pages(spark: SparkSession, sf_dir: str) -> str:
+    """The pages of all region sites, written to containers."""
+    ds, sites, routes = region_routes(spark, sf_dir)
+    root = scratch_dir(spark, "pages")
+    members = R.route_rows(ds, routes, ["n_name", "c_mktsegment"], site="site")
+    with_base = routes.join(sites.select("site", "base"), "site")
+    lines = P.render_route_pages(with_base, members, _PAGE_COLS, F.col("base"), "c_custkey", site="site")
+    write_documents(lines, root, ["site", "path"], ["part", "seq"])
+    return root
+
+
+@register(
+    "page_index",
+    _LINES_CTE + "SELECT site, path, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM lines GROUP BY ALL",
+)
+def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's bytes and lines by the containers' index, keyed by site and path."""
+    index = document_index(spark, packed_pages(spark, sf_dir))
+    return index.groupBy("site", "path").agg(F.sum("length").alias("bytes"), F.sum("lines").alias("lines"))
+
+
+@register(
+    "page_lookup",
+    _LINES_CTE + "SELECT CAST(row_number() OVER (ORDER BY part, seq) AS BIGINT) AS n, line FROM lines "
+    "WHERE (site, path) = (SELECT (max(site), max_by(path, (site, path))) FROM rt)",
+)
+def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page read by its byte ranges, line by line."""
+    root = packed_pages(spark, sf_dir)
+    last = document_index(spark, root).orderBy(F.desc("site"), F.desc("path")).first()
+    page = read_document(spark, root, site=last["site"], path=last["path"]).decode()
+    return spark.createDataFrame(list(enumerate(page.split("\n")[:-1], 1)), "n long, line string")
+
+
+_TRIM = "regexp_replace({x}, '\\.?0+$', '')"
+_BIG_SQL = "'9' || l_orderkey || '0000000000' || l_linenumber || '.' || CASE WHEN l_linenumber = 1 THEN '00' ELSE '50' END"
+
+
+@register(
+    "rows_json_text",
+    f"""SELECT '{{"big":' || {_TRIM.format(x=_BIG_SQL)} || ',"cells":[' || CAST(l_discount AS VARCHAR) || ',' ||
+CASE WHEN l_linenumber = 2 THEN 'null' ELSE CAST(l_tax AS VARCHAR) END || '],"line":{{"flag":"' || l_returnflag || '","parts":[{{"no":' ||
+CAST(l_linenumber AS VARCHAR) || '}},null]}},"by":{{"' || l_linestatus || '":' ||
+CASE WHEN l_linenumber = 3 THEN 'null' ELSE CAST(l_quantity AS DOUBLE)::VARCHAR END || '}}}}' AS line FROM lineitem""",
+)
+def rows_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict JSON rows with decimals above 2^53, and NaN inside arrays, structs and maps; written and read back."""
+    li = table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber")
+    nan = F.lit(float("nan"))
+    number = F.concat(F.lit("9"), F.col("l_orderkey"), F.lit("0000000000"), n, F.lit("."), F.when(n == 1, "00").otherwise("50"))
+    rows = li.select(
+        number.cast("decimal(38,2)").alias("big"),
+        F.array(F.col("l_discount"), F.when(n == 2, nan).otherwise(F.col("l_tax"))).alias("cells"),
+        F.struct(F.col("l_returnflag").alias("flag"), F.array(
+            F.struct(n.cast("decimal(10,3)").alias("no")), F.lit(None)).alias("parts")).alias("line"),
+        F.create_map(F.col("l_linestatus"), F.when(n == 3, nan).otherwise(F.col("l_quantity").cast("double"))).alias("by"))
+    out = scratch_dir(spark, "rows")
+    W.write_rows(rows, out)
+    return spark.read.text(out).select(F.col("value").alias("line"))
+
+
 _CATALOG_TABLES = ["lineitem", "orders", "part", "customer", "supplier", "events"]
 
 

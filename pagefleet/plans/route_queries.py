@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagefleet.operators import routes as R
@@ -25,11 +25,15 @@ def customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# First appearance of a word = (doc_id, position in the doc). The oracle packs both
-# into one long, which holds up to 2**20 words per document and doc ids below 2**43.
+# First appearance of a word = (doc_id, position in the doc). The oracle packs both into one long, which holds up to 2**20 words per document and doc ids below 2**43.
 POS_BITS = 20
 
 
+def first_place() -> Column:
+    """(doc_id, pos) as one number, so that its minimum stays in the hash aggregate."""
+    return F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos")
+
+
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document (whole texts), with its position."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -134,10 +138,41 @@ def word_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 + F1 over every word of every document: case and punctuation variants
     of a word share a slug, so paths collide and are disambiguated."""
     words = document_words(spark, sf_dir)
-    routes = R.build_routes(words, ["word"], "Document Words", max_routes=None, order_by=["doc_id", "pos"])
+    routes = R.build_routes(words, ["word"], "Document Words", max_routes=None, order_by=[first_place()])
     return routes.select("path", "title", "description", "row_count")
 
 
+#: Keys of one hot path: every third word spelled in marks, which slugs drop.
+_MARKS = "!\"#$%&()*+,./:;<=>?@[]^_`{|"
+_HOT_SQL = f"""
+ds AS (
+  SELECT lang, doc_id, pos, CASE WHEN length(word) % 3 = 0
+    THEN 'Hot' || translate(lower(word), 'abcdefghijklmnopqrstuvwxyz', '{_MARKS}') ELSE word END AS word FROM (
+    SELECT lang, doc_id, unnest(parts) AS word, unnest(range(len(parts))) AS pos
+    FROM (SELECT lang, doc_id, string_split_regex(text, '{WORD_SPLIT}') AS parts FROM documents)
+  )
+)"""
+
+
+@register(
+    "site_word_routes",
+    f"""WITH {_HOT_SQL},
+g AS (SELECT lang, word, count(*) AS row_count, min(doc_id * {1 << POS_BITS} + pos) AS first_pos FROM ds
+      WHERE NOT regexp_full_match(coalesce(word, ''), '{_BLANK_RE2}') GROUP BY ALL),
+s AS (SELECT *, {slug_sql('word')} AS slug FROM g)
+SELECT lang, '/' || slug || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '-' || CAST(row_number() OVER w AS VARCHAR) END AS path,
+       word, row_count FROM s WHERE slug <> '' WINDOW w AS (PARTITION BY lang, slug ORDER BY row_count DESC, first_pos)""",
+)
+def site_word_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 per site over every word of every document, a third of which share one path of their site."""
+    docs = spread(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"))
+    words = docs.select("lang", "doc_id", F.posexplode(F.split("text", WORD_SPLIT)).alias("pos", "word"))
+    hot = F.concat(F.lit("Hot"), F.translate(F.lower("word"), "abcdefghijklmnopqrstuvwxyz", _MARKS))
+    words = words.withColumn("word", F.when(F.length("word") % 3 == 0, hot).otherwise(F.col("word")))
+    routes = R.build_routes(words, ["word"], "Words", order_by=[first_place()], keep_keys=True, site="lang")
+    return routes.select("lang", "path", F.col("k0").alias("word"), "row_count")
+
+
 @register(
     "profile_lineitem",
     """

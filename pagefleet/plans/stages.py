@@ -33,6 +33,7 @@ from pagefleet.operators import telemetry as TM
 from pagefleet.operators.commits import LedgerRun, run_stage
 from pagefleet.operators import verdicts as V
 from pagefleet.sinks import writers as W
+from pagefleet.sinks.containers import write_documents
 from pagefleet.session import checkpointed
 from pagefleet.sources import payloads as PL
 from pagefleet.sources.files import read_ledger
@@ -262,17 +263,16 @@ def _compile(spark, ledger, evaluation_id, dataset, out_dir, order_by, row_limit
     W.write_meta(P.site_meta(sites, counts), f"{out_dir}/meta")
     site_rows = spark.range(1).select(F.lit("site").alias("site"), F.lit(base).alias("base"),
                                       F.lit(e.template_type).alias("template_type"))
-    W.write_lines(P.sitemap_lines(routes.select(F.lit("site").alias("site"), "path", "row_count"), site_rows),
-                  f"{out_dir}/sitemap", "site", ["section", "rank_key", "path_key"])
-    P.robots_txt(site_rows).select("site", F.col("body").alias("line")).write.mode("overwrite") \
-        .partitionBy("site").text(f"{out_dir}/robots")
+    write_documents(P.sitemap_lines(routes.select(F.lit("site").alias("site"), "path", "row_count"), site_rows),
+                    f"{out_dir}/sitemap", ["site"], ["section", "rank_key", "path_key"])
+    write_documents(P.robots_txt(site_rows), f"{out_dir}/robots", ["site"], [], "body")
     index_site = site_rows.select("site", F.lit(niche_title).alias("title"),
                                   F.lit(e.target_dataset_url or "").alias("description"), "base")
-    W.write_lines(P.render_index_pages(routes.select(F.lit("site").alias("site"), "path", "title", "row_count"),
-                                       index_site), f"{out_dir}/index", "site", ["part", "rank_key", "path_key"])
+    write_documents(P.render_index_pages(routes.select(F.lit("site").alias("site"), "path", "title", "row_count"),
+                                         index_site), f"{out_dir}/index", ["site"], ["part", "rank_key", "path_key"])
     if members is not None:
         pages = P.render_route_pages(routes, members, data.columns, base, order_by)
-        W.write_lines(pages, f"{out_dir}/pages", "path", ["part", "seq"])
+        write_documents(pages.withColumn("site", F.lit("site")), f"{out_dir}/pages", ["site", "path"], ["part", "seq"])
     gen = spark.range(1).select(
         F.lit(site).cast("long").alias("id"), F.lit(evaluation_id).cast("long").alias("evaluation_id"),
         F.lit(e.template_type).alias("template_type"), F.lit("completed").alias("status"),

@@ -1,7 +1,7 @@
-"""Writers: strict-JSON rows/routes/meta, ordered line documents, ledger appends.
+"""Writers: strict-JSON rows, routes and meta.
 
 B1 (see operators.ledger.append_ledger), B2 write_rows, B3 write_routes,
-B4 write_meta, B5/B6/B7 write_lines.
+B4 write_meta; B5/B6/B7 documents go through ``sinks.containers``.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagefleet.functions import scalar
+from pagefleet.sinks.containers import write_documents
 
 
 def write_rows(df: DataFrame, path: str, limit: int | None = None, order_by: list[str] | None = None) -> None:
     """B2: strict-JSON row payload (I11 coercions, nulls kept, no NaN tokens)."""
-    safe = scalar.json_safe_frame(df)
     if limit is not None:
-        safe = (safe.orderBy(*order_by) if order_by else safe).limit(max(limit, 0))
-    safe.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        df = (df.orderBy(*order_by) if order_by else df).limit(max(limit, 0))
+    df.select(scalar.json_text(df).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_routes(routes: DataFrame, path: str, membership: DataFrame | None = None) -> None:
@@ -32,19 +32,5 @@ def write_routes(routes: DataFrame, path: str, membership: DataFrame | None = No
 
 
 def write_meta(meta: DataFrame, path: str, site: str = "site") -> None:
-    """One strict-JSON meta document per site, partitioned by site."""
-    out = meta.select(site, scalar.strict_json(F.col("meta")).alias("value"))
-    out.write.mode("overwrite").partitionBy(site).text(path)
-
-
-def write_lines(lines: DataFrame, path: str, doc: str, order: list[str], line: str = "line",
-                partitions: int | None = None) -> None:
-    """Ordered line documents, one folder per document.
-
-    Range partitioning on (doc, order...) splits one huge document over
-    several part files that concatenate in part order; no document is
-    gathered into one task.
-    """
-    n = partitions or lines.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = lines.repartitionByRange(int(n), doc, *order).sortWithinPartitions(doc, *order)
-    ranged.select(doc, line).write.mode("overwrite").partitionBy(doc).text(path)
+    """One strict-JSON meta document per site, in containers keyed by site."""
+    write_documents(meta.select(site, scalar.strict_json(F.col("meta")).alias("line")), path, [site], [])

@@ -61,7 +61,7 @@ def test_json_safe(spark):
     row = scalar.json_safe_frame(df).first()
     assert row.a is None and row.b is None and row.c == 1.5
     assert row.d == "2026-01-02" and row.t == "2026-01-02T03:04:05"
-    assert row.n == "3.5" and row.x == "4"
+    assert row.n.toJson() == "3.5" and row.x.toJson() == "4"  # JSON numbers
     doc = scalar.json_safe_frame(df).select(scalar.strict_json(F.struct("a", "c")).alias("j")).first().j
     assert json.loads(doc) == {"a": None, "c": 1.5}
 
@@ -75,3 +75,15 @@ def test_calculator_value(spark):
 def test_json_list_codec(spark):
     assert _one(spark, scalar.json_list_decode("s"), '["a", "b"]') == ["a", "b"]
     assert _one(spark, scalar.json_list_decode("s"), None) == []
+
+
+def test_json_text_follows_the_schema(spark):
+    from decimal import Decimal
+
+    df = spark.createDataFrame(
+        [(Decimal("12345678901234567890.1200"), [float("nan"), 1.5, None], {"a": Decimal("7.0000")}, (float("inf"), [(Decimal("-0.0100"),)])),
+         (Decimal("5.0000"), None, {}, None)],
+        "d decimal(38,4), xs array<double>, m map<string, decimal(10,4)>, s struct<x: double, ys: array<struct<z: decimal(8,4)>>>")
+    got = [r[0] for r in df.select(scalar.json_text(df)).collect()]
+    assert got == ['{"d":12345678901234567890.12,"xs":[null,1.5,null],"m":{"a":7},"s":{"x":null,"ys":[{"z":-0.01}]}}',
+                   '{"d":5,"xs":null,"m":{},"s":null}']

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -41,19 +42,30 @@ def test_writers_strict_json(spark, tmp_dir):
     assert text_rows == ['{"a":1,"b":null}']
     meta = spark.createDataFrame([("s1", 1)], "site string, x long").select("site", F.struct("x").alias("meta"))
     W.write_meta(meta, f"{tmp_dir}/meta")
-    assert spark.read.text(f"{tmp_dir}/meta").first().value == '{"x":1}'
-
-
-def test_write_lines_keeps_document_order_across_parts(spark, tmp_dir):
-    import glob
-
-    rows = [("big", i, f"line {i:05d}") for i in range(2000)] + [("small", i, f"s{i}") for i in range(3)]
-    df = spark.createDataFrame(rows, "doc string, seq long, line string")
-    W.write_lines(df, f"{tmp_dir}/docs", "doc", ["seq"], partitions=6)
-    parts = sorted(glob.glob(f"{tmp_dir}/docs/doc=big/part-*"))
-    assert len(parts) > 1  # the big document is split over several ordered files
-    text = "".join(open(p).read() for p in parts).splitlines()
-    assert text == [f"line {i:05d}" for i in range(2000)]
+    assert spark.read.text(f"{tmp_dir}/meta/data").first().value == '{"x":1}'
+
+
+def test_documents_lie_in_order_in_few_files(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from pagefleet.sinks.containers import document_index, read_document, write_documents
+
+    df = spark.range(3000).select(  # a third of all lines in one document, 200 small ones of two sites
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), F.col("id") % 200)).alias("path"),
+        F.when(F.col("id") % 2 == 0, F.lit("a")).otherwise(F.lit(None)).alias("site"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("é line "), F.col("id"))).alias("line")).repartition(5)
+    write_documents(df, f"{tmp_dir}/docs", ["site", "path"], ["seq"], partitions=6)
+    want: dict = {}
+    for r in sorted(df.collect(), key=lambda r: r.seq):
+        want[r.site, r.path] = want.get((r.site, r.path), b"") + (r.line or "").encode() + b"\n"
+    index = document_index(spark, f"{tmp_dir}/docs")
+    assert {(r.site, r.path): r.length for r in index.groupBy("site", "path").agg(F.sum("length").alias("length")).collect()} \
+        == {k: len(v) for k, v in want.items()}
+    assert index.where("path = 'hot'").select("container").distinct().count() > 2
+    assert len(list(Path(f"{tmp_dir}/docs/data").glob("part-*"))) <= 6 < len(want)
+    for site, path in [("a", "hot"), (None, "hot"), ("a", "d2"), (None, "d1")]:
+        assert read_document(spark, f"{tmp_dir}/docs", site=site, path=path) == want[site, path]
+    assert read_document(spark, f"{tmp_dir}/docs", site="a", path="none") is None
 
 
 def test_missing_manifest_is_an_error_row(spark, tmp_dir):

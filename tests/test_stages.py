@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-from pathlib import Path
-from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pagefleet.operators import ledger as L
 from pagefleet.operators import verdicts as V
 from pagefleet.plans import stages as ST
+from pagefleet.sinks.containers import read_document
 from pagefleet.sources import payloads as PL
 from pagefleet.sources.files import read_ledger
 
@@ -65,9 +64,9 @@ def test_five_stages(spark, tmp_dir):
     assert comp["routes"].count() == 4
     rep = comp["report"].first()
     assert (rep.row_count, rep.route_count, rep.niche_id) == (8, 4, "b2b_chemical_compliance")
-    sitemap = spark.read.text(f"{tmp_dir}/site/sitemap").count()
+    sitemap = spark.read.text(f"{tmp_dir}/site/sitemap/data").count()
     assert sitemap == 2 + 1 + 4 + 1
-    index = [r.value for r in spark.read.text(f"{tmp_dir}/site/index").collect()]
+    index = [r.value for r in spark.read.text(f"{tmp_dir}/site/index/data").collect()]
     assert sum(1 for line in index if line.startswith("<a href=")) == 4
 
     dep = ST.run_deploy_records(spark, ledger)
@@ -115,9 +114,9 @@ def test_route_pages_for_any_order(spark, tmp_dir, order_by):
         want.setdefault(row[1:3], []).append(row[0])
     routes = {r.path: (r.params["city"], r.params["category"]) for r in comp["routes"].collect()}
     got = {}
-    for folder in Path(f"{tmp_dir}/site/pages").glob("path=*"):
-        lines = [x for f in sorted(folder.glob("part-*")) for x in f.read_text().splitlines()]
+    for path in routes:
+        lines = read_document(spark, f"{tmp_dir}/site/pages", site="site", path=path).decode().splitlines()
         assert lines[0] == "<!doctype html>" and lines[-1] == "</tbody></table></body></html>"
         rows = [x.split("</td>")[0].removeprefix("<tr><td>") for x in lines if x.startswith("<tr>")]
-        got[routes[unquote(folder.name.removeprefix("path="))]] = rows if order_by else sorted(rows)
+        got[routes[path]] = rows if order_by else sorted(rows)
     assert got == {k: v if order_by else sorted(v) for k, v in want.items() if k in routes.values()} and len(got) == len(routes)
