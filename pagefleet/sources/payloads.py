@@ -175,15 +175,27 @@ def parse_rum_groups(raw: DataFrame, value: str = "value", keep: list[str] | Non
     )
 
 
-def parse_rum_errors(raw: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
-    """Analytics payloads that carry ``errors`` or don't parse -> ``error``, one row per payload.
+def judge_rum_payloads(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Every payload with its ``error`` (null: none) and its number of ``groups``.
 
-    Such a payload has no groups, so its source failed rather than being idle.
+    One that doesn't parse, is not an object or carries ``errors`` has an error: its source failed
+    rather than being idle. One without error and groups is empty.
     """
-    errors = F.from_json(F.col(value), "errors array<struct<message: string>>")["errors"]
+    text = F.col(value)
+    errors = F.from_json(text, "errors array<struct<message: string>>")["errors"]
     told = F.array_join(F.transform(errors, lambda e: F.coalesce(e["message"], F.lit("unknown error"))), "; ")
-    error = F.when(F.try_parse_json(F.col(value)).isNull(), F.lit("payload is not JSON")).when(F.size(errors) > 0, told)
-    return raw.select(*(keep or []), error.alias("error")).where(F.col("error").isNotNull())
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    error = F.when(kind.isNull(), F.lit("payload is not JSON")).when(
+        ~kind.startswith("OBJECT"), F.lit("payload is not a JSON object")).when(F.size(errors) > 0, told)
+    accounts = F.coalesce(F.from_json(text, _RUM)["data"]["viewer"]["accounts"], F.array())
+    groups = F.aggregate(accounts, F.lit(0), lambda n, a: n + F.coalesce(
+        F.size(F.coalesce(a["rumPageloadEventsAdaptiveGroups"], F.array())), F.lit(0)))
+    return raw.select("*", error.alias("error"), groups.alias("groups"))
+
+
+def parse_rum_errors(raw: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Analytics payloads that carry ``errors`` or don't parse -> ``error``, one row per payload."""
+    return judge_rum_payloads(raw, value).select(*(keep or []), "error").where(F.col("error").isNotNull())
 
 
 def read_site_meta(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -112,18 +113,69 @@ def test_entry_and_registry(spark):
     assert len(q) >= 60
 
 
-def test_telemetry_stream_quarantines_bad_payloads(spark, tmp_dir):
+GOOD = {"data": {"viewer": {"accounts": [{"rumPageloadEventsAdaptiveGroups": [
+    {"count": 900, "sum": {"visits": 6}, "dimensions": {"requestPath": "/"}}]}]}}}
+
+
+def test_telemetry_stream_loses_no_payload(spark, tmp_dir):
     import json as _json
     import os
 
-    good = {"data": {"viewer": {"accounts": [{"rumPageloadEventsAdaptiveGroups": [
-        {"count": 900, "sum": {"visits": 6}, "dimensions": {"requestPath": "/"}}]}]}}}
-    os.makedirs(f"{tmp_dir}/in/deployment_id=7")
-    with open(f"{tmp_dir}/in/deployment_id=7/p.txt", "w") as fh:
-        fh.write(_json.dumps(good) + "\n" + "{broken\n")
-    q = flows.ingest_telemetry_stream(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ck",
-                                      quarantine_dir=f"{tmp_dir}/bad")
-    q.awaitTermination()
-    rows = spark.read.parquet(f"{tmp_dir}/out").collect()
-    assert [(r.deployment_id, r.page_path, r.impressions) for r in rows] == [(7, "/", 900)]
-    assert spark.read.parquet(f"{tmp_dir}/bad").count() == 1
+    idle = {"data": {"viewer": {"accounts": []}}}
+    failed = {"data": None, "errors": [{"message": "no access"}, {}]}
+    waves = [[_json.dumps(GOOD), "{broken", _json.dumps(idle)], [_json.dumps(failed), _json.dumps(GOOD), "[1]"]]
+    for n, lines in enumerate(waves):
+        os.makedirs(f"{tmp_dir}/in/deployment_id={n}")
+        Path(f"{tmp_dir}/in/deployment_id={n}/p.txt").write_text("\n".join(lines) + "\n")
+        for _ in range(2):  # the second time nothing is new
+            flows.ingest_telemetry_stream(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
+    rows = flows.read_output(spark, f"{tmp_dir}/out", "rows", flows.METRIC_ROWS).collect()
+    assert sorted((r.deployment_id, r.page_path, r.impressions) for r in rows) == [(0, "/", 900), (1, "/", 900)]
+    errors = flows.read_output(spark, f"{tmp_dir}/out", "errors", flows.ERROR_ROWS).collect()
+    assert sorted((r.deployment_id, r.error) for r in errors) == [
+        (0, "payload is not JSON"), (1, "no access; unknown error"), (1, "payload is not a JSON object")]
+    assert tuple(flows.ingested(spark, f"{tmp_dir}/out").first()) == (6, 2, 1, 3)
+    # A batch that was written but not committed is not read.
+    spark.createDataFrame([(9, 0, "/x", 1, 1, 0, None)], flows.METRIC_ROWS).write.parquet(f"{tmp_dir}/out/rows/batch_id=99")
+    assert flows.read_output(spark, f"{tmp_dir}/out", "rows", flows.METRIC_ROWS).count() == 2
+
+
+def test_late_events_are_counted_and_kept(spark, tmp_dir):
+    schema = "page_path string, event_type string, ts timestamp"
+    at = lambda h, m=0: datetime(2026, 1, 1, h, m)
+    waves = [[("/a", "view", at(1)), ("/a", "click", at(1, 30)), ("/a", "view", at(3))],
+             [("/a", "view", at(1, 10)), ("/b", "view", at(2, 55)), ("/a", "view", at(3, 5)), ("/a", "view", None)],
+             [("/b", "view", at(2, 59)), ("/b", "view", at(9))]]
+    for n, rows in enumerate(waves):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_dir}/in/{n}")
+        events = spark.readStream.schema(schema).parquet(f"{tmp_dir}/in/*")
+        for _ in range(2):
+            flows.page_metrics_stream(events, f"{tmp_dir}/out", f"{tmp_dir}/ck", ["page_path"]).awaitTermination()
+    got = {(r.window_start.hour, r.page_path): (r.impressions, r.clicks)
+           for r in flows.window_metrics(spark, f"{tmp_dir}/out", ["page_path"]).collect()}
+    # Before the second batch the watermark is 2:50, so the window from 1 is closed and that from 2 open; before the third it is 2:55.
+    assert got == {(1, "/a"): (1, 1), (2, "/b"): (2, 0), (3, "/a"): (2, 0), (9, "/b"): (1, 0)}
+    late = flows.read_output(spark, f"{tmp_dir}/out", "late", schema).collect()
+    assert {(r.page_path, r.ts) for r in late} == {("/a", None), ("/a", at(1, 10))} and len(late) == 2
+    assert tuple(flows.window_counts(spark, f"{tmp_dir}/out").first()) == (9, 2)
+
+
+def test_job_state_ends(spark, tmp_dir):
+    schema = "id string, status string, ts timestamp, seq long"
+    at = lambda h, m=0: datetime(2026, 1, 1, h, m)
+    told = []
+    waves = [[("a", "queued", at(1), 1), ("b", "queued", at(1), 1), ("c", "running", at(1), 1)],
+             [("a", "running", at(1, 20), 2), ("a", "queued", at(0, 50), 0), ("b", "completed", at(1, 20), 2)],
+             [("d", "queued", at(4), 1)], [("d", "failed", at(4, 10), 2), ("e", "queued", at(4, 10), 1)]]
+    for n, rows in enumerate(waves):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_dir}/in/{n}")
+        stream = flows.expiring_jobs_stream(spark.readStream.schema(schema).parquet(f"{tmp_dir}/in/*"))
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_dir}/out").option(
+            "checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+        told.append(max(p["stateOperators"][0]["numRowsTotal"] for p in [q.lastProgress]))
+    got = sorted((r.id, r.status, r.ts) for r in spark.read.parquet(f"{tmp_dir}/out").collect())
+    assert got == [("a", "queued", at(1)), ("a", "running", at(1, 20)), ("a", "stale", at(1, 20)),
+                   ("b", "completed", at(1, 20)), ("b", "queued", at(1)), ("c", "running", at(1)), ("c", "stale", at(1)),
+                   ("d", "failed", at(4, 10)), ("d", "queued", at(4)), ("e", "queued", at(4, 10))]
+    assert told[-1] == 1  # only "e" is held
