@@ -22,16 +22,16 @@ def running_count(rows: DataFrame, group: str, order: list[Column], counted: Col
     ranged rows are checkpointed, so that counts and offsets see one partitioning.
     """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.withColumn("_counted", counted.cast("long")).repartitionByRange(n, F.col(group), *order)
-    ranged = checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
-    own = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counts = ranged.withColumn("_here", F.sum("_counted").over(own))
+    ranged = rows.withColumn("_rc_counted", counted.cast("long")).repartitionByRange(n, F.col(group), *order)
+    ranged = checkpointed(ranged.withColumn("_rc_part", F.spark_partition_id()))
+    own = Window.partitionBy("_rc_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counts = ranged.withColumn("_rc_here", F.sum("_rc_counted").over(own))
     # As many rows for a group as partitions that hold some of it.
-    before = Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_at")).agg(F.sum("_counted").alias("_n")) \
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = counts[group].eqNullSafe(offsets["_group"]) & (counts["_part"] == offsets["_at"])
-    return counts.join(offsets, same).select(*rows.columns, (F.col("_here") + F.col("_before")).alias(out))
+    before = Window.partitionBy("_rc_group").orderBy("_rc_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(F.col(group).alias("_rc_group"), F.col("_rc_part").alias("_rc_at")).agg(F.sum("_rc_counted").alias("_rc_n")) \
+        .withColumn("_rc_before", F.coalesce(F.sum("_rc_n").over(before), F.lit(0))).drop("_rc_n")
+    same = counts[group].eqNullSafe(offsets["_rc_group"]) & (counts["_rc_part"] == offsets["_rc_at"])
+    return counts.join(offsets, same).select(*rows.columns, (F.col("_rc_here") + F.col("_rc_before")).alias(out))
 
 
 def first_per_group(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:

@@ -9,3 +9,4 @@ from pagefleet.plans import stream_queries  # noqa: F401
 from pagefleet.plans import stage_queries  # noqa: F401
 from pagefleet.plans import hostile_queries  # noqa: F401
 from pagefleet.plans import ledger_queries  # noqa: F401
+from pagefleet.plans import detail_queries  # noqa: F401
