@@ -25,7 +25,7 @@ from pagefleet.operators import explore as X
 from pagefleet.operators import ledger as L
 from pagefleet.operators import telemetry as TM
 from pagefleet.plans.registry import register, slug_sql, table
-from pagefleet.session import spread
+from pagefleet.session import checkpointed, spread
 
 # ---------------------------------------------------------------- derivations
 _EV_CTE = """
@@ -169,9 +169,8 @@ def site_meta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rewrite_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rewrite_answers(spark: SparkSession, sf_dir: str, capped: DataFrame) -> DataFrame:
     """Rewrite answers for the capped flagged pages; labels decide ok / empty title."""
-    capped = capped_flags(spark, sf_dir)
     labels = table(spark, sf_dir, "labels")
     j = capped.join(labels, capped.k == labels.doc_id, "inner")
     return j.select(
@@ -196,8 +195,9 @@ def rewrite_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rewrites_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewrites of each site's flagged pages applied to its meta; the last
     non-empty value wins."""
-    capped = capped_flags(spark, sf_dir).select(F.col("deployment_id").alias("site_id"), F.col("k").alias("seq"))
-    out = TM.apply_rewrites(site_meta_rows(spark, sf_dir), capped, rewrite_answers(spark, sf_dir))
+    flags = checkpointed(capped_flags(spark, sf_dir))  # read twice: events are scanned once
+    capped = flags.select(F.col("deployment_id").alias("site_id"), F.col("k").alias("seq"))
+    out = TM.apply_rewrites(site_meta_rows(spark, sf_dir), capped, rewrite_answers(spark, sf_dir, flags))
     return out.withColumn("optimized_keywords", F.array_join("optimized_keywords", ","))
 
 
@@ -215,8 +215,9 @@ def rewrites_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def optimization_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per flagged page the action and status of its rewrite."""
-    capped = capped_flags(spark, sf_dir).withColumn("site_id", F.col("deployment_id")).withColumn("seq", F.col("k"))
-    out = TM.optimization_outcomes(capped, rewrite_answers(spark, sf_dir), site_meta_rows(spark, sf_dir))
+    flags = checkpointed(capped_flags(spark, sf_dir))
+    capped = flags.withColumn("site_id", F.col("deployment_id")).withColumn("seq", F.col("k"))
+    out = TM.optimization_outcomes(capped, rewrite_answers(spark, sf_dir, flags), site_meta_rows(spark, sf_dir))
     return out.select("deployment_id", "page_path", "action", "status", "detail")
 
 
