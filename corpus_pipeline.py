@@ -1,4 +1,14 @@
-"""The training-data pipeline over ``documents``: four stages, each written as Parquet and read again."""
+"""The training-data pipeline over ``documents``: four stages, each written as Parquet and read again.
+
+Every stage takes whatever the one before kept. Null and empty texts have no
+words and fail the base quality rule; very long texts are judged, compared and packed
+whole. Repeated rows are judged alike and leave one row of their component;
+rows of one doc_id are documents of their own. Null doc_ids are kept like
+others and come last in a component. Labels that are null, of no id or of no
+document count nowhere; without labels, or with too few, the rules are the base rule and the
+classifier keeps everything. Without documents every stage is empty. Columns
+beside those of documents pass through the first three stages, whatever their names.
+"""
 
 from __future__ import annotations
 
