@@ -274,11 +274,15 @@ def score(docs: DataFrame, order: int = 2, prior: float = 50.0, folds: int = 10,
     blocks = spool(rows.mapInArrow(_blocks, "block string, a binary, b binary, "
                                    "docs array<struct<doc_id: long, held: boolean, size: long>>"), "lm-blocks")
     asked = blocks.mapInArrow(_requests(order, bits), "block string, kind int, shard int, a binary, b binary")
+    # As many partitions as groups, so that a task's part stays as small as a block or a shard at every size.
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(max(least, order << bits), "kind", "shard")
     totals = spool(asked.groupBy("kind", "shard").applyInArrow(
         _totals, "block string, kind int, shard int, totals binary, tokens long, words long"), "lm-totals")
     n, v = totals.where("kind = 1").agg(F.sum("tokens"), F.sum("words")).first()
-    own = blocks.groupBy("block")
-    answers = totals.select("block", "kind", "shard", "totals").groupBy("block")
+    parts = max(least, blocks.count())
+    own = blocks.repartition(parts, "block").groupBy("block")
+    answers = totals.select("block", "kind", "shard", "totals").repartition(parts, "block").groupBy("block")
     found = own.cogroup(answers).applyInArrow(
         _scores(order, n or 0, v or 0, prior),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
