@@ -13,6 +13,7 @@ Readers meet the data files with the manifests by a join on (run, attempt).
 
 from __future__ import annotations
 
+import hashlib
 import json
 import traceback
 import uuid
@@ -59,8 +60,10 @@ class LedgerRun:
     def __init__(self, spark: SparkSession, root: str, run_id: str | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.run_id = run_id if run_id is not None else uuid.uuid4().hex
-        # File names bear any run id; case counts on no file system by chance.
-        self.run = quote(self.run_id, safe="").replace("%", "_") or "_"
+        # A name for any run id, hidden from no listing; one that had to be changed keeps apart by a digest.
+        plain = quote(self.run_id, safe="").replace("%", "_")
+        known = plain == self.run_id and plain[:1] not in ("", "_", ".")
+        self.run = plain if known else f"r{hashlib.sha256(self.run_id.encode()).hexdigest()[:16]}-{plain}"
         self.attempt = uuid.uuid4().hex
         self.tables: list[str] = []
 
