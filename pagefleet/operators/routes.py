@@ -20,7 +20,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,6 +158,8 @@ FAMILY_PATTERN = r"(-[0-9]+)+$"
 FAMILY_PATTERN_GROUP = r"((-[0-9]+)+)$"
 
 
+#: Rows of one path that a window may number in one task; beyond it all tasks do.
+WINDOW_ROWS = 10_000
 #: A last number that a copy's suffix can be: 2 and up, without leading zeros, within a long.
 SUFFIX_PATTERN = r"^(.*)-([1-9][0-9]{0,17})$"
 
@@ -236,7 +238,8 @@ def disambiguate_paths(
       ``(-[0-9]+)+$``) and scope. Partial aggregates classify families;
       families without a duplicate keep their paths.
     * In the others the rows of each natural path are numbered in rank order
-      by range partitions and offsets (``running_count``). Only a path's own
+      by range partitions and offsets (``running_count``; a window where no path
+      has more than ``WINDOW_ROWS`` rows). Only a path's own
       copies and its present children ``p-k`` can take a name ``p-k``, and
       the copies take theirs in ascending order. So the j-th copy takes the
       j-th suffix that no child holds: ``j + 1`` plus the number of suffixes
@@ -262,8 +265,9 @@ def disambiguate_paths(
     # with a large share of all routes is neither sorted nor held in one task.
     paths = staged.groupBy("_family", path_col).agg(F.count(F.lit(1)).alias("_copies"))
     families = paths.groupBy("_family").agg(
-        (F.max("_copies") > 1).alias("_dup_family"), (F.min(path_col) == F.max(path_col)).alias("_one_path"))
-    marked = staged.join(families, "_family")
+        (F.max("_copies") > 1).alias("_dup_family"), (F.min(path_col) == F.max(path_col)).alias("_one_path"),
+        F.max("_copies").alias("_most"))
+    marked = staged.join(families.drop("_most"), "_family")
     cols = list(df.columns)
     nested = (T.StructType, T.ArrayType, T.MapType)
     keep = [f.name for f in df.schema.fields if not (f.name in rank_cols and isinstance(f.dataType, nested))]
@@ -272,13 +276,17 @@ def disambiguate_paths(
     # One pass over the materialised route rows says which branches have work;
     # branches without rows are left out of the plan.
     need = families.agg(F.max(F.col("_dup_family").cast("int")).alias("dup"),
-                        F.max((F.col("_dup_family") & ~F.col("_one_path")).cast("int")).alias("complex")).first()
+                        F.max((F.col("_dup_family") & ~F.col("_one_path")).cast("int")).alias("complex"),
+                        F.max("_most").alias("most")).first()
     if not need.dup:
         return clean
     order = [F.col(f"_o{i}").asc() if asc else F.col(f"_o{i}").desc() for i, asc in enumerate(ascending)]
     ranks = [F.col(c).alias(f"_o{i}") for i, c in enumerate(rank_cols)]
     dup = marked.filter("_dup_family").select(*cols, F.concat("_scope", F.col(path_col)).alias("_name"), *ranks)
-    numbered = running_count(dup, "_name", order, F.lit(1), "_pos")
+    if need.most <= WINDOW_ROWS:  # no path is a task's worth of rows: one shuffle does
+        numbered = dup.withColumn("_pos", F.row_number().over(Window.partitionBy("_name").orderBy(*order)))
+    else:
+        numbered = running_count(dup, "_name", order, F.lit(1), "_pos")
     if not need.complex:  # one natural path in every family: copies take p, p-2, p-3, ...
         suffix = F.when(F.col("_pos") > 1, F.col("_pos"))
     else:
