@@ -326,33 +326,41 @@ def fill_missing_metrics(cands: DataFrame, answers: DataFrame, key: str = "reque
     )
 
 
-def representative_keyword(rows: DataFrame, key: str = "niche_id") -> DataFrame:
+def representative_keyword(rows: DataFrame, key: str = "niche_id", items: str | None = None) -> DataFrame:
     """Per candidate, the keyword row with the largest numeric volume
     (first on ties) -> volume (int), cpc USD ``round(cents/100, 2)``, difficulty
     (``difficulty``, falling through to ``keyword_difficulty`` when falsy).
 
     ``rows``: ``key, pos, keyword, volume, cpc, difficulty, keyword_difficulty``
-    with text or numeric values. A partial+final aggregate (max_by) per key:
-    a hot candidate is combined map-side.
+    with text or numeric values, or ``key`` and a list column ``items`` of such rows (a key
+    may have several lists; ``pos`` counts across them). A list gives its best row before
+    anything is sorted or shuffled; then a partial+final aggregate per key: a hot
+    candidate is combined map-side.
     """
-    vol = scalar.to_number("volume")
+    def ranked(row: Column) -> Column:
+        return F.struct(scalar.to_number(row["volume"]).alias("v"), (-row["pos"]).alias("p"), row.alias("r"))
+
+    if items is None:
+        row = F.struct(*[c for c in ("keyword", "cpc", "difficulty", "keyword_difficulty", "difficulty_truthy")
+                         if c in rows.columns])
+        found = rows.select(key, F.struct(scalar.to_number("volume").alias("v"), (-F.col("pos")).alias("p"),
+                                          row.alias("r")).alias("b"))
+    else:
+        found = rows.select(key, F.array_max(F.transform(F.col(items), ranked)).alias("b"))
+    # Lists without rows are left out last: a filter before would be pushed down and rank every list twice.
+    best = found.groupBy(key).agg(F.max_by("b", F.struct("b.v", "b.p")).alias("b")).where(F.col("b").isNotNull())
+    best = best.select(key, "b.v", "b.r.*")
     diff_primary = scalar.to_number("difficulty")
     # ``difficulty or keyword_difficulty`` (Q17): with raw JSON rows the
     # parser supplies ``difficulty_truthy``; typed rows fall through on 0/null.
-    primary_set = F.col("difficulty_truthy") if "difficulty_truthy" in rows.columns else (diff_primary != 0)
+    primary_set = F.col("difficulty_truthy") if "difficulty_truthy" in best.columns else (diff_primary != 0)
     diff = F.when(primary_set, diff_primary).otherwise(scalar.to_number("keyword_difficulty"))
-    best = rows.groupBy(key).agg(
-        F.max_by(
-            F.struct(F.col("keyword"), vol.alias("v"), scalar.to_number("cpc").alias("c"), diff.alias("d")),
-            F.struct(vol, -F.col("pos")),
-        ).alias("b")
-    )
     return best.select(
         key,
-        F.col("b.keyword").alias("keyword"),
-        F.col("b.v").try_cast("long").alias("estimated_monthly_volume"),
-        scalar.cents_to_usd(F.col("b.c")).alias("average_cpc"),
-        F.col("b.d").try_cast("long").alias("keyword_difficulty"),
+        "keyword",
+        F.col("v").try_cast("long").alias("estimated_monthly_volume"),
+        scalar.cents_to_usd(scalar.to_number("cpc")).alias("average_cpc"),
+        diff.try_cast("long").alias("keyword_difficulty"),
     )
 
 

@@ -10,7 +10,7 @@ every oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagefleet.operators import scoring as S
@@ -303,18 +303,37 @@ best AS (
 )"""
 
 
+LIST_ROWS = 500  # keyword rows of one list, payload or landed document (bounded, their count grows with data)
+
+
+def keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword-overview rows: every word of every document is a keyword of its doc.
+
+    ``doc_id, chunk, items``, a list for each range of ``LIST_ROWS`` word positions: the rows
+    stay inside their document's row, so that none of them is sorted or shuffled.
+    """
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.col("text").isNotNull())
+    words = docs.select("doc_id", F.split("text", WORD_SPLIT).alias("words"))
+    last = F.floor((F.size("words") - 1) / LIST_ROWS).cast("int")
+    lists = words.select("doc_id", F.posexplode(F.transform(
+        F.sequence(F.lit(0), last), lambda n: F.slice("words", n * LIST_ROWS + 1, LIST_ROWS))).alias("chunk", "words"))
+
+    def keyword(word: Column, n: Column) -> Column:
+        pos = F.col("chunk") * LIST_ROWS + n
+        return F.struct(
+            word.alias("keyword"), pos.alias("pos"), F.length(word).alias("volume"),
+            (F.ascii(word) * 10).alias("cpc"), (F.length(word) % 4).alias("difficulty"),
+            (pos % 3).alias("keyword_difficulty"))
+
+    # Asked of the words: a filter on ``items`` would be pushed down and build them twice.
+    some = lists.where(F.exists("words", lambda w: w != ""))
+    return some.select("doc_id", "chunk", F.filter(
+        F.transform("words", keyword), lambda r: r["keyword"] != "").alias("items"))
+
+
 def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword-overview rows: every word of every document is a keyword of its doc."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    words = docs.select("doc_id", F.posexplode(F.split("text", WORD_SPLIT)).alias("pos", "keyword"))
-    words = words.filter(F.col("keyword") != "")
-    return words.select(
-        "doc_id", "keyword", "pos",
-        F.length("keyword").alias("volume"),
-        (F.ascii("keyword") * 10).alias("cpc"),
-        (F.length("keyword") % 4).alias("difficulty"),
-        (F.col("pos") % 3).alias("keyword_difficulty"),
-    )
+    """The rows of ``keyword_lists``, one by one."""
+    return keyword_lists(spark, sf_dir).select("doc_id", F.inline("items"))
 
 
 @register(
@@ -326,4 +345,4 @@ def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def best_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the highest-volume keyword (first on ties)."""
-    return S.representative_keyword(keyword_rows(spark, sf_dir), key="doc_id")
+    return S.representative_keyword(keyword_lists(spark, sf_dir), key="doc_id", items="items")
