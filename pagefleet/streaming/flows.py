@@ -225,43 +225,56 @@ FINISHED = ("completed", "failed")
 
 
 def expiring_jobs_stream(transitions: DataFrame, silence: str = "1 hour", delay: str = "10 minutes", key: str = "id",
-                         ts: str = "ts", seq: str = "seq") -> DataFrame:
+                         ts: str = "ts", seq: str = "seq", buckets: int = 4096) -> DataFrame:
     """J3 with an end: rows ``id, status, ts, seq`` where a job's status changed, from transitions of these columns.
 
     A job's state is its newest (ts, seq, status). A finished job is told once and its
     state ends; one that has been silent for ``silence`` of event time is told as
     ``stale`` and its state ends as well (a later transition begins anew). So the state holds the jobs
     that moved within ``silence``, not every job there ever was. Write it in append mode.
+
+    Jobs share a state by the hash of their key, so that a call of the step serves all of a
+    bucket's jobs (a call for each job took most of the time). ``buckets`` holds for a checkpoint's whole life.
     """
     quiet = int(pd.Timedelta(silence).total_seconds() * 1000)
 
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told = []
-        if state.hasTimedOut:
-            at, order, _ = state.get
-            told.append((name[0], "stale", pd.Timestamp(at, unit="us"), order))
-            state.remove()
-        else:
-            held = state.get if state.exists else None
+    def step(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told, mark = [], state.getCurrentWatermarkMs()
+        held = {i: (at, order, status) for i, at, order, status, _ in zip(*state.get)} if state.exists else {}
+        until = dict(zip(state.get[0], state.get[4])) if state.exists else {}
+        moved = set()
+        if not state.hasTimedOut:
             rows = pd.concat(list(batches)).sort_values([ts, seq], kind="stable")
-            for status, at, order in zip(rows["status"], rows[ts], rows[seq]):
-                new = (int(at.value // 1000), int(order), status)
-                if held is not None and new[:2] <= tuple(held[:2]):
+            ids = rows[key].tolist() if bucket[0] >= 0 else [None] * len(rows)
+            for i, status, at, order in zip(ids, rows["status"], rows[ts], rows[seq]):
+                moved.add(i)
+                new, old = (int(at.value // 1000), int(order), status), held.get(i)
+                if old is not None and new[:2] <= old[:2]:
                     continue  # older than what is known
-                if held is None or held[2] != status:
-                    told.append((name[0], status, at, int(order)))
-                held = new
-            if held[2] in FINISHED:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update(held)
-                state.setTimeoutTimestamp(max(held[0] // 1000 + quiet, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(told, columns=["id", "status", "ts", "seq"])
+                if old is None or old[2] != status:
+                    told.append((i, status, at, int(order)))
+                held[i] = new
+        for i in moved:
+            until[i] = max(held[i][0] // 1000 + quiet, mark + 1)
+            if held[i][2] in FINISHED:
+                del held[i]
+        for i in [i for i in held if i not in moved and until[i] < mark]:
+            at, order, _ = held.pop(i)
+            told.append((i, "stale", pd.Timestamp(at, unit="us"), order))
+        if held:
+            state.update((list(held), *map(list, zip(*held.values())), [until[i] for i in held]))
+            state.setTimeoutTimestamp(min(until[i] for i in held))
+        elif state.exists:
+            state.remove()
+        if told:
+            yield pd.DataFrame(told, columns=["id", "status", "ts", "seq"])
 
     kind = transitions.schema[key].dataType.simpleString()
-    return transitions.withWatermark(ts, delay).groupBy(F.col(key).alias("id")).applyInPandasWithState(
-        step, f"id {kind}, status string, ts timestamp, seq long", "at long, seq long, status string", "append",
+    # Jobs without a key have a bucket of their own: beside them pandas would hold whole numbers as floats.
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)))
+    return transitions.withWatermark(ts, delay).withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(
+        step, f"id {kind}, status string, ts timestamp, seq long",
+        f"id array<{kind}>, at array<long>, seq array<long>, status array<string>, until array<long>", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
