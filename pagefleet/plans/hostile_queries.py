@@ -10,14 +10,15 @@ from pagefleet.operators import routes as R
 from pagefleet.operators import scoring as S
 from pagefleet.plans.registry import register, table
 from pagefleet.plans.route_queries import _route_sql
-from pagefleet.session import scratch_dir
+from pagefleet.session import scratch_dir, spread
 from pagefleet.sources import files
 
 
 @register("json_mixed_read", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def json_mixed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: one folder of array documents, line-delimited files and pretty-printed objects."""
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    # Spread: each task writes its own files of one record.
+    cust = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
     path = scratch_dir(spark, "mixed") + "/mixed.json"
     key, row = F.col("c_custkey"), F.struct("*")
     arrays = cust.where(key % 3 == 0).groupBy(F.floor(key / 1000)).agg(F.to_json(F.collect_list(row)).alias("value"))

@@ -51,22 +51,34 @@ def open_dataset(spark: SparkSession, path: str, schema: T.StructType | str | No
     if kind == "ndjson":
         return reader.json(path)
     if kind == "json":
-        return _read_json(spark, reader, path)
+        return _read_json(spark, reader, path, schema)
     return reader.parquet(path)
 
 
-def _read_json(spark: SparkSession, reader, path: str) -> DataFrame:
+#: A separator that no JSON text in any Unicode encoding holds, so that a whole file is one line;
+#: files above so many bytes are streamed instead (a line has 2 GB at most).
+NO_LINE, WHOLE_LINE = "\x00" * 8, 1 << 30
+
+
+def _read_json(spark: SparkSession, reader, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Each file by its own form: line-delimited if its first line is a whole
     object, else one document (an array of records, or a pretty-printed object)."""
     line = F.regexp_replace("value", "^[\ufeff\\s]+|\\s+$", "")
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), line.alias("line"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), line.alias("line"),
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")).where("line != ''")
     kind = F.schema_of_variant(F.try_parse_json(F.min_by("line", "at")))
     # One row per file, as many as a listing holds.
-    files = lines.groupBy("file").agg(F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("by_line")).collect()
-    parts = [reader.option("multiLine", not by_line).json(sorted(f["file"] for f in files if f["by_line"] is by_line))
-             for by_line in (True, False) if any(f["by_line"] is by_line for f in files)]
+    files = lines.groupBy("file").agg(F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("by_line"),
+                                      F.max("size").alias("size")).collect()
+    by_line, whole = (sorted(f["file"] for f in files if f["by_line"] is form) for form in (True, False))
+    parts = [reader.json(by_line)] if by_line else []
+    if whole:
+        # Spark infers the schema of multi-line files in few tasks, however many files there are, and its time
+        # grows with their square. As one line each, files are dealt to tasks by size and number.
+        large = any(f["size"] > WHOLE_LINE and not f["by_line"] for f in files)
+        documents = spark.read if schema is None else spark.read.schema(schema)
+        parts.append((documents.option("multiLine", True) if large else documents.option("lineSep", NO_LINE)).json(whole))
     if not parts:
         return reader.json(path)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
