@@ -54,3 +54,28 @@ def test_register_query_scalar(spark, tmp_dir):
         files.register_dataset(spark, "missing", f"{tmp_dir}/nope.csv")
     with pytest.raises(files.QueryFailed):
         files.query(spark, "SELECT * FROM no_such_view").collect()
+
+
+def test_whole_documents_are_dealt_to_tasks(spark, tmp_dir, monkeypatch):
+    """Arrays and pretty-printed objects in any Unicode encoding: as lines they are as the multi-line reader gives them."""
+    import os
+
+    path = f"{tmp_dir}/many.json"
+    os.makedirs(path)
+    bodies = {f"o{n:03d}": json.dumps({"a": n, "b": "\u00e9\n\x00"}, indent=1).encode() for n in range(200)}
+    bodies |= {"array": json.dumps([{"a": 1000}, {"a": 1001, "c": 1.5}], indent=2).encode(),
+               "mark": "\ufeff[{\"a\": 1002}]".encode(), "wide": json.dumps([{"a": 1003, "b": "\u0100"}], ensure_ascii=False)
+               .encode("utf-16"), "broken": b"[{\"a\": 1,\n", "blank": b" \n", "empty": b"",
+               "two": b"{\n\"a\": 1004}\n{\n\"a\": 1005}"}
+    for name, body in bodies.items():
+        with open(f"{path}/{name}.json", "wb") as f:
+            f.write(body)
+    rows = files.open_dataset(spark, path)
+    got = sorted(map(str, rows.collect()))
+    assert sorted(r.a for r in rows.collect() if r.a is not None) == [*range(200), *range(1000, 1005)]
+    assert rows.rdd.getNumPartitions() > 1
+    monkeypatch.setattr(files, "WHOLE_LINE", -1)  # streamed
+    streamed = files.open_dataset(spark, path)
+    assert streamed.dtypes == rows.dtypes and sorted(map(str, streamed.collect())) == got
+    given = files.open_dataset(spark, path, "a long")
+    assert given.columns == ["a"] and given.where("a >= 0").count() == 205
