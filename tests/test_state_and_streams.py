@@ -179,3 +179,26 @@ def test_job_state_ends(spark, tmp_dir):
                    ("b", "completed", at(1, 20)), ("b", "queued", at(1)), ("c", "running", at(1)), ("c", "stale", at(1)),
                    ("d", "failed", at(4, 10)), ("d", "queued", at(4)), ("e", "queued", at(4, 10))]
     assert told[-1] == 1  # only "e" is held
+
+
+def test_jobs_of_a_bucket_keep_their_own_state(spark, tmp_dir):
+    """Jobs that share a bucket, one without a key among them, are told, expire and end each by itself."""
+    schema = "id long, status string, ts timestamp, seq long"
+    at = lambda h, m=0: datetime(2026, 1, 1, h, m)
+    big = 2 ** 53 + 1  # a float would round it
+    waves = [[(big, "queued", at(1), 1), (big + 1, "running", at(1), 1), (None, "running", at(1, 30), 1), (7, "completed", at(1), 1)],
+             [(big, "running", at(1, 50), 2), (big, "failed", at(1, 40), 1)],
+             [(8, "queued", at(2, 20), 1)], [(9, "queued", at(5), 1), (big, "queued", at(4, 55), 3)]]
+    for n, rows in enumerate(waves):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_dir}/in/{n}")
+        stream = flows.expiring_jobs_stream(spark.readStream.schema(schema).parquet(f"{tmp_dir}/in/*"), buckets=1)
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_dir}/out").option(
+            "checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+        held = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    got = sorted(((r.id or 0, r.ts, r.seq, r.status) for r in spark.read.parquet(f"{tmp_dir}/out").collect()))
+    assert got == [(0, at(1, 30), 1, "running"), (0, at(1, 30), 1, "stale"), (7, at(1), 1, "completed"),
+                   (8, at(2, 20), 1, "queued"), (8, at(2, 20), 1, "stale"), (9, at(5), 1, "queued"),
+                   (big, at(1), 1, "queued"), (big, at(1, 40), 1, "failed"), (big, at(1, 50), 2, "running"),
+                   (big, at(4, 55), 3, "queued"), (big + 1, at(1), 1, "running"), (big + 1, at(1), 1, "stale")]
+    assert held == 1  # one bucket for all jobs with a key
