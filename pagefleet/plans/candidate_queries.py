@@ -331,11 +331,6 @@ def keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("words", keyword), lambda r: r["keyword"] != "").alias("items"))
 
 
-def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``keyword_lists``, one by one."""
-    return keyword_lists(spark, sf_dir).select("doc_id", F.inline("items"))
-
-
 @register(
     "best_keyword",
     f"WITH {_KEYWORD_CTE} SELECT doc_id, keyword, CAST(volume AS BIGINT) AS estimated_monthly_volume, "

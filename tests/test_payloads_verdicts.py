@@ -125,3 +125,32 @@ def test_keyword_difficulty_falls_through_only_when_falsy(spark):
     got = {r.niche_id: r.keyword_difficulty for r in best.collect()}
     # 0, None and "" are falsy -> 7; "0" and "abc" are truthy strings -> their number (0)
     assert got == {0: 7, 1: 0, 2: 7, 3: 7, 4: 0, 5: 5}
+
+
+def test_keyword_overview_lists(spark):
+    """Every payload keeps its rows as a list: places count entries that are no objects, falsy difficulties are marked."""
+    difficulties = [0, "0", None, "", "abc", 5, False, 0.0, -0.0, [], {}, True, [1], {"a": 1}, 0.5, "0.0"]
+    rows = [{"keyword": f"k{n}", "volume": "12", "cpc": 1.5, "difficulty": d} for n, d in enumerate(difficulties)]
+    texts = {"bare": json.dumps([1, None, *rows, "junk"]), "data": json.dumps({"keywords": 1, "data": [{"volume": [1]}]}),
+             "none": json.dumps({"keywords": {}}), "broken": "{", "empty": "[]", "null": None}
+    raw = spark.createDataFrame(list(texts.items()), "key string, value string")
+    lists = {r["key"]: r["items"] for r in PL.keyword_overview_lists(raw).collect()}
+    assert set(lists) == set(texts) and not any(lists[k] for k in ("none", "broken", "empty", "null"))
+    assert [(r.pos, r.keyword) for r in lists["bare"]] == [(n + 2, f"k{n}") for n in range(len(rows))]
+    assert [r.difficulty_truthy for r in lists["bare"]] == [bool(d) for d in difficulties]
+    assert (lists["bare"][0].volume, lists["bare"][0].cpc, lists["bare"][1].difficulty) == ("12", "1.5", "0")
+    assert [(r.pos, r.keyword, r.difficulty_truthy) for r in lists["data"]] == [(0, None, False)]
+    flat = sorted((r["key"], r["pos"]) for r in PL.parse_keyword_overview(raw).collect())
+    assert flat == sorted((k, r.pos) for k, rs in lists.items() for r in rs or [])
+
+
+def test_overview_parse_shuffles_no_words(spark, tmp_dir):
+    from pagefleet.plans import agent_queries as Q
+
+    texts = [(1, "one three three"), (2, "a bb " * 700 + "longest"), (3, None), (4, " "), (None, "x yy")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_dir}/documents.parquet")
+    best = Q.overview_parse(spark, tmp_dir)
+    assert sorted((str(r.doc_id), r.keyword, r.estimated_monthly_volume, r.keyword_difficulty) for r in best.collect()) == [
+        ("1", "three", 5, 1), ("2", "longest", 7, 3), ("None", "yy", 2, 2)]
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "array_max" in plan[plan.rindex("Sort"):]
